@@ -42,11 +42,14 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One row of 8-bit min-hash symbols per text; values[first[i]:first[i + 1]] are the shingles of text i (never none)."""
-    h = (values >> np.uint64(32)).astype(np.uint32)
+    from .kernel import mix64
+
+    # The symbols of one segment come from hashes of their own, so that they are independent of each other.
+    own = [(mix64(values + np.uint64(i)) >> np.uint64(32)).astype(np.uint32) for i in range(WIDTH)]
     out = np.empty((len(first), SEGMENTS * WIDTH), np.uint8)
-    buf = np.empty_like(h)
+    buf = np.empty_like(own[0])
     for j, (a, b) in enumerate(zip(*_seeds(), strict=True)):
-        np.multiply(h, a, out=buf)
+        np.multiply(own[j % WIDTH], a, out=buf)
         np.add(buf, b, out=buf)
         low = np.minimum.reduceat(buf, first)
         low ^= low >> np.uint32(15)
