@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formatcopies, lookalike, mojibake, nearcopies
+from . import formatcopies, leakage, lookalike, mojibake, nearcopies, packing, quality, sharedspans, termstats
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,85 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     links, members = nearcopies.near_copies(_essays(spark, d), k=3, threshold=0.6)
     ends = links.select(F.col("a").alias("cid")).unionAll(links.select("b")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     return members.join(ends, "cid", "left").select(F.col("id").alias("essay_id"), F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@_query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(_essays(spark, d)).where("reason is not null").select(F.col("id").alias("essay_id"))
+
+
+@_query
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(_essays(spark, d)).withColumnRenamed("id", "essay_id")
+
+
+@_query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return termstats.term_counts(table(spark, d, "word_symbols")).where("mark is not null").select(F.col("term").alias("symbol"), "mark")
+
+
+@_query
+def p7_terms(spark: SparkSession, d: str) -> DataFrame:
+    return termstats.term_counts(table(spark, d, "word_symbols")).withColumnRenamed("term", "symbol")
+
+
+@_query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_documents(table(spark, d, "documents"), table(spark, d, "context_windows"))
+
+
+@_query
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "context_windows"))
+
+
+@_query
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity the tokens packed; the assignment itself is p8_packing."""
+    packed = packing.packed(table(spark, d, "documents"), table(spark, d, "context_windows"))
+    used = packed.groupBy("window_key", "window_id").agg(F.sum("tokens").alias("t"))
+    return used.groupBy("window_key").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+
+
+@_query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+@_query
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@_query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = sharedspans.sharing_pairs(table(spark, d, "documents"))
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+@_query
+def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.shared_part(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_COUNTED = """
+    select ws_id, max_by(freq, freq) as freq, any_value(symbols) as symbols from (
+        select ws_id, freq, list_filter(symbols, x -> x is not null) as symbols from word_symbols where freq > 0
+    ) where len(symbols) > 0 group by ws_id
+"""
+_TERMS = f"""
+    with counted as ({_COUNTED}), places as (select ws_id, freq, unnest(symbols) as symbol from counted),
+    sums as (select symbol, cast(sum(freq) as bigint) as occurrences, count(distinct ws_id) as records from places group by symbol)
+    select symbol, occurrences, records, case when occurrences < 10 then 'rare' when records > 0.05 * (select count(*) from counted) then 'common' end as mark from sums
+"""
+ORACLES["p7_terms"] = _TERMS
+ORACLES["p7_found"] = f"select symbol, mark from ({_TERMS}) where mark is not null"
+_SIZES = "(select doc_id, min(coalesce(cast(n_tokens as bigint), strlen(text) + 1)) as tokens from documents where doc_id is not null group by doc_id)"
+ORACLES["p8_found"] = f"select window_key, doc_id from {_SIZES} s, context_windows w where s.tokens > w.capacity"
+ORACLES["p9_found"] = """
+    with words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
+    runs as (select doc_id, array_to_string(w[i : i + 11], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from words)),
+    items as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
+    item_runs as (select item_id, array_to_string(w[i : i + 11], ' ') as run from (select item_id, w, unnest(range(1, len(w) - 10)) as i from items))
+    select distinct item_id, doc_id from runs join item_runs using (run)
+"""
