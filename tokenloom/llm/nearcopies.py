@@ -1,12 +1,13 @@
 """Problem 5: near-duplicates with small edits, by pigeonring filtering.
 
 A text is the set of its k-word shingles.  Its sketch is a vector of
-``SEGMENTS * WIDTH`` min-hash symbols; the Hamming distance of two sketches
-follows the Jaccard distance of their sets.  By the pigeonring principle a pair
-within the distance budget has a start on the ring of segments from which
-every chain of consecutive segments stays within its proportional budget.
-Candidates share an equal segment; the chain condition prunes them before the
-full Hamming check; an exact comparison of the shingle sets decides.
+``SEGMENTS * WIDTH`` min-hash symbols; the lowest bits of the symbols form a bit
+vector, and the Hamming distance of two such vectors follows the Jaccard
+distance of their sets.  By the pigeonring principle a pair within the distance
+budget has a start on the ring of segments from which every chain of
+consecutive segments stays within its proportional budget.  Candidates share an
+equal segment of symbols; the chain condition prunes them before the full
+Hamming check; an exact comparison of the shingle sets decides.
 
 Texts with the same words form one class and enter once.  A bucket with more
 than ``RUN`` classes is not paired up: its classes go to an exact prefix filter
@@ -70,14 +71,17 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def budget(threshold: float) -> int:
-    """The Hamming budget that keeps a pair just at the threshold with 4.5 standard deviations to spare."""
-    k = SEGMENTS * WIDTH
-    return math.ceil(k * (1 - threshold) + 4.5 * math.sqrt(k * threshold * (1 - threshold)))
+    """The Hamming budget that keeps a pair just at the threshold with 4.5 standard deviations to spare.
+
+    Two bits are equal if the symbols are, else in half of all cases.
+    """
+    k, p = SEGMENTS * WIDTH, (1 - threshold) / 2
+    return math.ceil(k * p + 4.5 * math.sqrt(k * p * (1 - p)))
 
 
 def chain_and_distance(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
-    """Which pairs of sketches have a viable chain and lie within the budget."""
-    d = (a != b).reshape(len(a), SEGMENTS, WIDTH).sum(2)
+    """Which pairs of packed bit vectors (one row each) have a viable chain and lie within the budget."""
+    d = np.unpackbits(a ^ b, axis=1).reshape(len(a), SEGMENTS, WIDTH).sum(2, dtype=np.int64)
     ring = np.concatenate([d, d[:, : CHAIN - 1]], axis=1)
     alive = np.ones((len(a), SEGMENTS), bool)
     total = np.zeros((len(a), SEGMENTS), np.int64)
@@ -94,7 +98,7 @@ def _signed(v: np.ndarray) -> pa.Array:
 
 
 def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: np.ndarray, damage: np.ndarray | None) -> DataFrame:
-    """(id, k1, k2, s1, s2, sketch) of every record that takes part."""
+    """(id, k1, k2, s1, s2, sketch, bits) of every record that takes part."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +127,10 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: np.ndar
                 starts = first[live]
                 sums = np.add.reduceat(np.stack([v, mix64(v)]), starts, axis=1)
                 sk = sketches(v, starts)
-                cols = [ids.take(pa.array(at[lo:hi][live])), _signed(h1[live]), _signed(h2[live]), _signed(mix64(sums[0])), _signed(mix64(sums[1])), pa.array([r.tobytes() for r in sk], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "s1", "s2", "sketch"])
+                cols = [ids.take(pa.array(at[lo:hi][live])), _signed(h1[live]), _signed(h2[live]), _signed(mix64(sums[0])), _signed(mix64(sums[1])), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (sk, np.packbits(sk & 1, axis=1)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "s1", "s2", "sketch", "bits"])
 
-    return spread(rows).mapInArrow(run, "id long, k1 long, k2 long, s1 long, s2 long, sketch binary")
+    return spread(rows).mapInArrow(run, "id long, k1 long, k2 long, s1 long, s2 long, sketch binary, bits binary")
 
 
 def _pairs_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +222,7 @@ def near_copies(df: DataFrame, id_col: str = "essay_id", text_col: str = "text",
         damage = bigram_model(rows, text_col)
     docs = cut(_sketched(rows, id_col, text_col, k, script, damage))
     cls = ["k1", "k2", "s1", "s2"]
-    classes = cut(docs.groupBy(*cls).agg(F.min(F.struct("id", "sketch")).alias("m")).select("m.id", "m.sketch", *cls).withColumnRenamed("id", "cid"))
+    classes = cut(docs.groupBy(*cls).agg(F.min(F.struct("id", "sketch", "bits")).alias("m")).select("m.*", *cls).withColumnRenamed("id", "cid"))
     members = docs.select("id", *cls).join(classes.select("cid", *cls), cls).select("id", "cid").distinct()
 
     part = lambda i: F.substring("sketch", i * WIDTH + 1, WIDTH)
@@ -231,8 +235,8 @@ def near_copies(df: DataFrame, id_col: str = "essay_id", text_col: str = "text",
         found = light.unionByName(prefix_candidates(cut(_texts_of(rows, hot, id_col, text_col, k, script)), threshold)).distinct()
 
     tau = budget(threshold)
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("k1").alias(f"k1_{s}"), F.col("k2").alias(f"k2_{s}"))
-    both = found.join(side("a"), "a").join(side("b"), "b").where("k1_a <> k1_b or k2_a <> k2_b").select("a", "b", "sketch_a", "sketch_b")
+    side = lambda s: classes.select(F.col("cid").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("k1").alias(f"k1_{s}"), F.col("k2").alias(f"k2_{s}"))
+    both = found.join(side("a"), "a").join(side("b"), "b").where("k1_a <> k1_b or k2_a <> k2_b").select("a", "b", "bits_a", "bits_b")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
