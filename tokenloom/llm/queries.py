@@ -131,7 +131,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 _COUNTED = """
     select ws_id, max_by(freq, freq) as freq, any_value(symbols) as symbols from (
-        select ws_id, freq, list_filter(symbols, x -> x is not null) as symbols from word_symbols where freq > 0
+        select ws_id, freq, list_filter(symbols, lambda x: x is not null) as symbols from word_symbols where freq > 0
     ) where len(symbols) > 0 group by ws_id
 """
 _TERMS = f"""
