@@ -5,6 +5,453 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import chars
+from .functions.chars import PUNCT, WS_BPE, WS_SP
+from .operators import bpe, charcodec, container, pretokenize, unigram
+from .plans import pipeline
+from .plans.config import APP_BPE, BpeConfig, CodecConfig, SpConfig
+from .sources import corpus as corpora
+from .sources import strictcsv
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return _spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", *more))
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- pre-tokens -----------------------------------------------------------
+
+_CAMEL = "regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')"
+_ALL = f"[{PUNCT}]|[^{WS_BPE}{PUNCT}]+"
+
+
+def _unnested(pattern: str, text: str = _CAMEL, source: str = "documents") -> str:
+    array = f"regexp_extract_all({text}, '{pattern}')"
+    return f"(select *, unnest(list_zip(range(len(ts)), ts)) as z from (select *, {array} as ts from {source} where text is not null))"
+
+
+def _tokens_sql(source: str) -> str:
+    token = f"trim(translate(z[2], '{chars.UPPER}', '{chars.LOWER}'), ' ')"
+    return f"(select doc_id, lang, cast(z[1] as integer) as pos, {token} as token, regexp_matches(z[2], '^[{PUNCT}]$') as is_punct from {_unnested(_ALL, source=source)})"
+
+
+_TOKENS = _tokens_sql("documents")
+_WORDS = f"(select * from {_TOKENS} where not is_punct and token <> '')"
+
+
+@_query("select doc_id, cast(ceil(octet_length(encode(text)) / 4.0) as bigint) as approx from documents where text is not null")
+def approx_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select("doc_id", chars.approx_tokens(F.col("text")).alias("approx"))
+
+
+def _pretokens(spark: SparkSession, d: str, cfg: BpeConfig = APP_BPE, *more: str) -> DataFrame:
+    arr = F.transform(pretokenize.pretoken_strings(F.col("text"), cfg), lambda t: F.struct(chars.normalize_token(t, cfg.lowercase).alias("token"), pretokenize.is_punct_token(t, cfg).alias("is_punct")))
+    return _docs(spark, d, *more).select("doc_id", *more, F.posexplode(arr).alias("pos", "t")).select("doc_id", *more, "pos", "t.token", "t.is_punct")
+
+
+@_query(f"select doc_id, pos, token, is_punct from {_TOKENS}")
+def pretokenize_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _pretokens(spark, d)
+
+
+@_query(f"select token, count(*) as n, count(distinct doc_id) as n_docs from {_TOKENS} group by token")
+def pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
+    per_doc = _pretokens(spark, d).groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    return per_doc.groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@_query(f"select lang, count(*) as n_tokens, cast(count(*) filter (where is_punct) as bigint) as n_punct, count(distinct token) as n_types from {_TOKENS} group by lang")
+def pretoken_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates each (language, token) first, so that distinct tokens never meet in one task."""
+    each = _pretokens(spark, d, APP_BPE, "lang").groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_punct").alias("p"))
+    return each.groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("p").alias("n_punct"), F.count(F.lit(1)).alias("n_types"))
+
+
+@_query(f"select doc_id, cast(count(*) as bigint) as n_words from {_unnested(f'[^{WS_BPE}{PUNCT}]+')} group by doc_id")
+def pretokenize_drop_punct(spark: SparkSession, d: str) -> DataFrame:
+    words = pretokenize.pretoken_strings(F.col("text"), BpeConfig(keep_punctuation=False))
+    return _docs(spark, d).select("doc_id", F.size(words).cast("long").alias("n_words")).where("n_words > 0")
+
+
+@_query(f"select doc_id, cast(count(*) as bigint) as n_words, cast(max(length(z[2])) as bigint) as longest from {_unnested(f'[^{WS_BPE}]+')} group by doc_id")
+def pretokenize_no_split(spark: SparkSession, d: str) -> DataFrame:
+    words = pretokenize.pretoken_strings(F.col("text"), BpeConfig(split_on_punctuation=False))
+    sizes = F.array_max(F.transform(words, lambda w: F.length(w))).cast("long")
+    return _docs(spark, d).select("doc_id", F.size(words).cast("long").alias("n_words"), sizes.alias("longest")).where("n_words > 0")
+
+
+@_query(f"select token as word, count(*) as freq from {_WORDS} group by token")
+def word_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.word_types(_pretokens(spark, d).where("not is_punct and token <> ''").withColumnRenamed("token", "word"))
+
+
+@_query("select prompt_key, count(*) as n_essays, cast(sum(ceil(octet_length(encode(text)) / 4.0)) as bigint) as approx from training_essay_data where text is not null group by prompt_key")
+def essay_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Token budget by prompt; partial sums keep the largest prompt from meeting in one task."""
+    rows = _table(spark, d, "training_essay_data").where("text is not null")
+    return rows.groupBy("prompt_key").agg(F.count(F.lit(1)).alias("n_essays"), F.sum(chars.approx_tokens(F.col("text"))).alias("approx"))
+
+
+# --- pair merging ---------------------------------------------------------
+
+_K = 10
+_LIMIT = APP_BPE.word_limit
+_FIRST_ROWS = f"(select * from documents where text is not null and length(text) > 0 order by doc_id limit {_LIMIT})"
+_TRAIN = f"(select token as word from {_tokens_sql(_FIRST_ROWS)} where not is_punct and token <> '' order by doc_id, pos limit {_LIMIT})"
+_TYPES = f"(select word, count(*) as freq from {_TRAIN} group by word)"
+_SEEDS = f"(select word, freq, regexp_replace(word, '(.)', chr(1) || '\\1' || chr(2), 'gs') || chr(1) || '</w>' || chr(2) as s from {_TYPES})"
+_PAIRS_OF = "(select l, r, count(*) as n from (select unnest(list_zip(a[:-2], a[2:])) as p, p[1] as l, p[2] as r from (select regexp_extract_all(s, '\\x01([^\\x02]*)\\x02', 1) as a from {0}) where len(a) > 1) group by l, r)"
+
+
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.word_types(bpe.training_words(_docs(spark, d)))
+
+
+@_query(f"select l, r, n from {_PAIRS_OF.format(_SEEDS)}")
+def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.pair_counts(bpe.seed_symbols(_types(spark, d)))
+
+
+@_query(f"select l, r, n from {_PAIRS_OF.format(_SEEDS)} where n >= 2 order by n desc, l, r limit 1")
+def bpe_best_pair(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.best_pair(bpe.pair_counts(bpe.seed_symbols(_types(spark, d))))
+
+
+def _merged_sql(k: int) -> str:
+    """The word types after k merges, as a chain of common table expressions."""
+    out = [f"w0 as materialized (select word, freq, s from {_SEEDS})"]
+    for i in range(k):
+        out.append(f"b{i} as materialized (select l, r from {_PAIRS_OF.format(f'w{i}')} where n >= 2 order by n desc, l, r limit 1)")
+        old, new = "chr(1) || l || chr(2) || chr(1) || r || chr(2)", "chr(1) || l || r || chr(2)"
+        out.append(f"w{i + 1} as materialized (select word, freq, replace(s, coalesce((select {old} from b{i}), chr(3)), coalesce((select {new} from b{i}), '')) as s from w{i})")
+    return "with " + ", ".join(out)
+
+
+_SYMBOLS = "regexp_extract_all(s, '\\x01([^\\x02]*)\\x02', 1)"
+_HARVEST = f"(select distinct x as subword from (select unnest(regexp_extract_all(word, '(?s).')) as x from w{_K} union all select regexp_replace(unnest({_SYMBOLS}), '</w>$', '') from w{_K}) where x <> '')"
+
+
+@_query(f"{_merged_sql(_K)} select word, freq, array_to_string({_SYMBOLS}, ' ') as symbols from w{_K}")
+def bpe_merges_k(spark: SparkSession, d: str) -> DataFrame:
+    done = bpe.segment_types(_types(spark, d), BpeConfig(merge_ops=_K))
+    return done.select("word", "freq", F.array_join("symbols", " ").alias("symbols"))
+
+
+@_query(f"{_merged_sql(1)} select word, array_to_string({_SYMBOLS}, ' ') as symbols from w1")
+def bpe_merge_step(spark: SparkSession, d: str) -> DataFrame:
+    seeds = bpe.seed_symbols(_types(spark, d))
+    pair = bpe.best_pair(bpe.pair_counts(seeds)).first()
+    merged = bpe.merge_pair(seeds, pair.l, pair.r) if pair else seeds
+    return merged.select("word", F.array_join("symbols", " ").alias("symbols"))
+
+
+@_query(f"{_merged_sql(_K)} select subword, cast(length(subword) as bigint) as n_chars from {_HARVEST}")
+def bpe_vocab_k(spark: SparkSession, d: str) -> DataFrame:
+    vocab = bpe.harvest(bpe.segment_types(_types(spark, d), BpeConfig(merge_ops=_K)))
+    return vocab.select("subword", F.length("subword").cast("long").alias("n_chars"))
+
+
+_MARKS = ", ".join(f"({(1 << 30) + i + 1}, '{m.replace(chr(39), chr(39) * 2)}')" for i, m in enumerate(bpe.STATIC_MARKS))
+_IDS = f"""(select cast(row_number() over (order by o) - 1 as bigint) as id, token from (select token, min(o) as o from (
+    select -1 as o, '<unk>' as token union all
+    select 2 * k, subword from ranked union all select 2 * k + 1, '##' || subword from ranked union all
+    select * from (values {_MARKS}) m(o, token)) group by token))"""
+_RANKED = f"ranked as (select subword, row_number() over (order by octet_length(encode(subword)) desc, subword) as k from {_HARVEST})"
+
+
+@_query(f"{_merged_sql(_K)}, {_RANKED} select id, token from {_IDS}")
+def bpe_id_map(spark: SparkSession, d: str) -> DataFrame:
+    vocab = bpe.harvest(bpe.segment_types(_types(spark, d), BpeConfig(merge_ops=_K)))
+    return bpe.id_map(vocab).select(F.col("id").cast("long").alias("id"), "token")
+
+
+# A frozen vocabulary, the same on both sides.
+FROZEN = [*"abcdefghijklmnopqrstuvwxyz", *"0123456789", "th", "the", "er", "in", "ing", "re", "on", "an", "and", "ed", "st", "en", "at", "or", "tion", "al", "ch", "que", "ar", "es"]
+_FROZEN_PATTERN = "|".join([*sorted(FROZEN, key=lambda s: (-len(s), s)), "."])
+_FROZEN_LIST = ", ".join(f"('{s}')" for s in FROZEN)
+_PIECES = f"(select doc_id, lang, pos, is_punct, unnest(list_zip(range(len(ps)), ps)) as z from (select *, case when is_punct then [token] else regexp_extract_all(token, '(?s){_FROZEN_PATTERN}') end as ps from {_TOKENS} where token <> ''))"
+_FLAT = f"(select doc_id, lang, cast(row_number() over (partition by doc_id order by pos, z[1]) - 1 as integer) as pos, case when z[1] = 0 then z[2] else '##' || z[2] end as piece from {_PIECES})"
+_FROZEN_IDS = _IDS.replace("from ranked", f"from (select subword, row_number() over (order by octet_length(encode(subword)) desc, subword) as k from (values {_FROZEN_LIST}) v(subword))")
+_OOV = f"(select piece as token, (select count(*) from {_FROZEN_IDS}) - 1 + row_number() over (order by at_doc, at_pos) as id from (select piece, min(doc_id) as at_doc, arg_min(pos, struct_pack(a := doc_id, b := pos)) as at_pos from {_FLAT} where piece not in (select token from {_FROZEN_IDS}) group by piece))"
+
+
+def _frozen(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    vocab = spark.createDataFrame([(s,) for s in FROZEN], "subword string")
+    return vocab, bpe.id_map(vocab)
+
+
+@_query(f"select token as word, array_to_string(list_transform(list_zip(range(len(ps)), ps), lambda z: case when z[1] = 0 then z[2] else '##' || z[2] end), ' ') as pieces from (select token, regexp_extract_all(token, '(?s){_FROZEN_PATTERN}') as ps from (select distinct token from {_WORDS}))")
+def bpe_word_segments(spark: SparkSession, d: str) -> DataFrame:
+    words = _pretokens(spark, d).where("not is_punct and token <> ''").select(F.col("token").alias("word")).distinct()
+    return words.select("word", F.array_join(bpe.word_pieces(F.col("word"), bpe.longest_match_pattern(FROZEN)), " ").alias("pieces"))
+
+
+@_query(f"select doc_id, string_agg(piece, ' ' order by pos) as pieces from {_FLAT} group by doc_id")
+def bpe_tokenize(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.tokenize(_docs(spark, d), FROZEN).select("doc_id", F.array_join("pieces", " ").alias("pieces")).where("pieces <> ''")
+
+
+@_query(f"select doc_id, string_agg(cast(coalesce(m.id, 0) as varchar), ' ' order by pos) as ids from {_FLAT} f left join (select token, id from {_FROZEN_IDS} union all select token, id from {_OOV}) m on f.piece = m.token group by doc_id")
+def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
+    tokens = bpe.tokenize(_docs(spark, d), FROZEN)
+    return bpe.encode(tokens, _frozen(spark)[1]).where(F.size("ids") > 0).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@_query(f"select doc_id, cast(count(*) as bigint) as n_ids, cast(count(*) filter (where m.id is null) as bigint) as n_unknown from {_FLAT} f left join {_FROZEN_IDS} m on f.piece = m.token group by doc_id")
+def bpe_encode_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Unknown pieces not preserved: they have id 0."""
+    tokens = bpe.tokenize(_docs(spark, d), FROZEN)
+    ids = bpe.encode(tokens, _frozen(spark)[1], BpeConfig(preserve_unknown=False)).where(F.size("ids") > 0)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("ids", lambda i: i == 0)).cast("long").alias("n_unknown"))
+
+
+@_query(f"select cast(id as bigint) as id, token from {_OOV}")
+def bpe_oov_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.oov_ids(bpe.tokenize(_docs(spark, d), FROZEN), _frozen(spark)[1]).select(F.col("id").cast("long").alias("id"), "token")
+
+
+@_query(f"select piece, count(*) as n from {_FLAT} group by piece")
+def bpe_token_freq(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.tokenize(_docs(spark, d), FROZEN).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""select doc_id, string_agg(case when pos = 0 or piece like '##%' or regexp_matches(piece, '^[{PUNCT}]$') then regexp_replace(piece, '^##', '') else ' ' || piece end, '' order by pos) as decoded
+    from {_FLAT} group by doc_id""")
+def bpe_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Ids back to text; the ids of unseen pieces are known to the decoder too."""
+    tokens = bpe.tokenize(_docs(spark, d), FROZEN)
+    _, model = _frozen(spark)
+    encoded = bpe.encode(tokens, model).where(F.size("ids") > 0)
+    rows = [(int(r.id), r.token) for r in model.union(bpe.oov_ids(tokens, model)).select("id", "token").collect()]
+    return bpe.decode(encoded, rows)
+
+
+@_query(f"""select lang, round(cast(count(*) as double) / count(distinct (doc_id, word_pos)), 9) as fertility
+    from (select doc_id, lang, pos as word_pos from {_PIECES} where not is_punct) group by lang""")
+def bpe_fertility_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces per word by language."""
+    words = F.filter(pretokenize.normalized_tokens(F.col("text")), lambda w: ~w.rlike(f"^[{PUNCT}]$"))
+    pattern = bpe.longest_match_pattern(FROZEN)
+    n = F.aggregate(F.transform(words, lambda w: F.size(bpe.word_pieces(w, pattern))), F.lit(0).cast("long"), lambda a, x: a + x)
+    per_doc = _docs(spark, d, "lang").where("text is not null").select("lang", n.alias("pieces"), F.size(words).alias("words")).where("words > 0")
+    return per_doc.groupBy("lang").agg(F.round(F.sum("pieces").cast("double") / F.sum("words"), 9).alias("fertility"))
+
+
+@_query()
+def bpe_train_encode(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way with the default settings: train, tokenize, encode, decode, report."""
+    docs = _docs(spark, d)
+    return pipeline.bpe_results(docs, bpe.train(docs))
+
+
+# --- unigram --------------------------------------------------------------
+
+_BARE = f"regexp_replace(text, '^[{WS_SP}]+|[{WS_SP}]+$', '', 'g')"
+_NORM_BODY = f"translate(regexp_replace(regexp_replace({_BARE}, '([a-z])([A-Z])', '\\1▁\\2', 'g'), '[{WS_SP}]+', '▁', 'g'), '{chars.UPPER}', '{chars.LOWER}')"
+_NORM = f"(select doc_id, case when length(b) = 0 then '' else '▁' || b end as norm from (select doc_id, {_NORM_BODY} as b from documents where text is not null))"
+_SP_ROWS = _NORM.replace("from documents where text is not null", "from (select * from documents where text is not null and length(text) > 0 order by doc_id limit 25000)")
+
+
+@_query(f"select doc_id, norm from {_NORM}")
+def sp_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select("doc_id", unigram.normalize(F.col("text")).alias("norm"))
+
+
+_SEED_CHARS = f"(select piece, n, round(ln(n / sum(n) over ()), 9) as log_prob from (select piece, count(*) as n from (select unnest(regexp_extract_all(norm, '(?s).')) as piece from {_SP_ROWS}) group by piece))"
+
+
+@_query(f"select * from {_SEED_CHARS}")
+def sp_seed_chars(spark: SparkSession, d: str) -> DataFrame:
+    return unigram.seed_chars(unigram.training_rows(_docs(spark, d), SpConfig(row_limit=25_000))).withColumn("log_prob", F.round("log_prob", 9))
+
+
+_GRAM_CHARS = 4
+_GRAMS = f"(select piece, count(*) as n from (select unnest(list_transform(range(1, length(norm) - k + 2), lambda i: substring(norm, i, k))) as piece from {_SP_ROWS}, (select unnest(range(2, {_GRAM_CHARS + 1})) as k) where length(norm) >= k) group by piece having count(*) >= 2)"
+
+
+@_query(f"select piece, n from {_GRAMS}")
+def sp_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return unigram.ngram_counts(unigram.training_rows(_docs(spark, d), SpConfig(row_limit=25_000)), _GRAM_CHARS)
+
+
+@_query(f"""with grams as materialized {_GRAMS}, seeds as materialized {_SEED_CHARS}, best as (select piece, n from grams order by n desc, octet_length(encode(piece)) desc, piece limit (select 1000 - 1 - count(*) from seeds))
+    select cast(0 as bigint) as id, '<unk>' as piece, -20.0::double as log_prob union all
+    select row_number() over (order by n desc, piece), piece, log_prob from seeds union all
+    select (select count(*) from seeds) + row_number() over (order by n desc, octet_length(encode(piece)) desc, piece), piece, round(ln(n / (select sum(n) from grams)), 9) from best""")
+def sp_model(spark: SparkSession, d: str) -> DataFrame:
+    model = unigram.train(_docs(spark, d), SpConfig(target_vocab=1000, max_piece_chars=_GRAM_CHARS, row_limit=25_000))
+    return model.select(F.col("id").cast("long").alias("id"), "piece", F.round("log_prob", 9).alias("log_prob"))
+
+
+def _sp(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, SpConfig]:
+    docs, cfg = _docs(spark, d), SpConfig(target_vocab=1000, max_piece_chars=4, row_limit=25_000)
+    return docs, unigram.train(docs, cfg), cfg
+
+
+@_query(f"select doc_id, trim(replace(norm, '▁', ' '), ' ') as decoded from {_NORM}")
+def sp_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces back to the normalized text."""
+    docs, model, cfg = _sp(spark, d)
+    return unigram.encode(docs.where("text is not null"), model, cfg).select("doc_id", unigram.decode_pieces(F.col("pieces")).alias("decoded"))
+
+
+@_query()
+def sp_encode_ids(spark: SparkSession, d: str) -> DataFrame:
+    return unigram.encode(*_sp(spark, d))
+
+
+@_query()
+def sp_decode_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs, model, cfg = _sp(spark, d)
+    return unigram.decode_ids(unigram.encode(docs, model, cfg), model)
+
+
+@_query()
+def sp_display(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces glued to words for display; a piece that holds a marker inside does not end a word."""
+    docs, model, cfg = _sp(spark, d)
+    pieces = unigram.encode(docs, model, cfg).where(F.size("pieces") > 0)
+    return pieces.select("doc_id", unigram.display_pieces(F.col("pieces")).alias("words"))
+
+
+@_query()
+def sp_train_encode(spark: SparkSession, d: str) -> DataFrame:
+    docs, model, cfg = _sp(spark, d)
+    return pipeline.sp_results(docs, model, cfg)
+
+
+# --- codecs ---------------------------------------------------------------
+
+_CHUNK = 4096
+
+
+def _bytes(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
+
+
+@_query("select cast(b as integer) as byte, count(*) as n from (select ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::integer as b from documents where text is not null) group by b")
+def byte_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return container.byte_histogram(_bytes(spark, d))
+
+
+_CHUNKS = f"(select doc_id, octet_length(encode(text)) as size, unnest(range(greatest(1, cast(ceil(octet_length(encode(text)) / {_CHUNK}.0) as bigint)))) as i from documents where text is not null)"
+
+
+@_query(f"select doc_id as id, cast(i as integer) as chunk_idx, cast(least({_CHUNK}, size - i * {_CHUNK}) as bigint) as n_bytes from {_CHUNKS}")
+def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return container.split(_bytes(spark, d), _CHUNK).select("id", "chunk_idx", F.octet_length("chunk").cast("long").alias("n_bytes"))
+
+
+@_query("select doc_id as id, sha256(text) as h from documents where text is not null")
+def chunk_roundtrip_hash(spark: SparkSession, d: str) -> DataFrame:
+    return container.join(container.split(_bytes(spark, d), _CHUNK)).select("id", F.sha2("content", 256).alias("h"))
+
+
+@_query("select doc_id as id, sha256(text) as h from documents where text is not null")
+def lz_roundtrip_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Every document through compressed chunks, a container and back."""
+    cfg = CodecConfig(chunk_size=_CHUNK)
+    packed = container.containers(container.compressed_chunks(_bytes(spark, d), cfg), _CHUNK)
+    return packed.select("id", F.sha2(container.decompress_column("container"), 256).alias("h"))
+
+
+@_query(f"""select doc_id as id, '434C4D0100000000' as magic, cast(size as bigint) as original_bytes, cast(count(*) as bigint) as num_chunks, cast({24} as bigint) + 265 * count(*) as overhead
+    from {_CHUNKS} group by doc_id, size""")
+def container_header(spark: SparkSession, d: str) -> DataFrame:
+    cfg = CodecConfig(chunk_size=_CHUNK)
+    packed = container.containers(container.compressed_chunks(_bytes(spark, d), cfg), _CHUNK).withColumn("chunks", container.parse_column("container"))
+    data = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.octet_length(c["data"]))
+    orig = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["orig_size"])
+    return packed.select("id", F.hex(F.substring("container", 1, 8)).alias("magic"), orig.alias("original_bytes"), F.size("chunks").cast("long").alias("num_chunks"), (F.octet_length("container") - data).alias("overhead"))
+
+
+@_query()
+def compression_stats(spark: SparkSession, d: str) -> DataFrame:
+    return container.statistics(container.compressed_chunks(_bytes(spark, d)))
+
+
+@_query()
+def huffman_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """(id, chunk_idx, kraft, used): the code lengths of every chunk; kraft never exceeds 1."""
+    lengths = F.transform(F.regexp_extract_all(F.hex("lengths"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    used = F.filter(lengths, lambda n: n > 0)
+    kraft = F.aggregate(used, F.lit(0.0), lambda a, n: a + F.pow(F.lit(2.0), -n))
+    return container.compressed_chunks(_bytes(spark, d)).select("id", "chunk_idx", kraft.alias("kraft"), F.size(used).alias("used"))
+
+
+@_query("select doc_id as id, sha256(text) as h from documents where text is not null")
+def charcodec_roundtrip_hash(spark: SparkSession, d: str) -> DataFrame:
+    packed = _docs(spark, d).where("text is not null").select("doc_id", charcodec.compress_column("text").alias("z"))
+    return packed.select(F.col("doc_id").alias("id"), F.sha2(charcodec.decompress_column("z"), 256).alias("h"))
+
+
+@_query("select doc_id as id, cast(octet_length(encode(text)) as bigint) as text_bytes, true as same from documents where text is not null")
+def charcodec_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = _docs(spark, d).where("text is not null").select("doc_id", charcodec.statistics_column("text").alias("s"))
+    return s.select(F.col("doc_id").alias("id"), "s.text_bytes", "s.same")
+
+
+# --- line CSV -------------------------------------------------------------
+
+
+@_query()
+def csv_lenient_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The lenient line parser: a quote anywhere toggles quoting."""
+    lines = _table(spark, d, "essay_csv_lines").where("line is not null").groupBy("line_id").agg(F.min("line").alias("line"))
+    return lines.select("line_id", corpora.split_line_column("line").alias("fields"))
+
+
+@_query("select doc_id, case when b < 1024 then printf('%d B', b) when b < 1048576 then printf('%.2f KB', b / 1024.0) else printf('%.2f MB', b / 1048576.0) end as size from (select doc_id, octet_length(encode(text)) as b from documents where text is not null)")
+def byte_sizes_shown(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select("doc_id", chars.format_bytes(F.octet_length("text")).alias("size"))
+
+
+# --- rows that fail to parse (problem 4) ----------------------------------
+
+_CELL = '(?:"(?:[^"]|"")*"|[^",]*)'
+_P4 = f"""
+    with lines as (select line_id, file_name, line_no, rtrim(line, chr(13)) as line from (select line_id, r.line_no as line_no, r.file_name as file_name, r.line as line from (select line_id, min(struct_pack(line_no, file_name, line)) as r from essay_csv_lines group by line_id))),
+    heads as (select file_name, list_transform(regexp_extract_all(replace(rtrim(line, chr(13)), chr(65279), ''), '[A-Za-z_]+'), lambda x: lower(x)) as names from essay_csv_lines where line_no = 1 qualify row_number() over (partition by file_name order by line) = 1),
+    data as (select l.*, h.names, regexp_full_match(l.line, '{_CELL}(?:,{_CELL})*') as quoted_well, regexp_extract_all(',' || l.line, ',({_CELL})', 1) as cells
+        from lines l left join heads h using (file_name) where l.line_no <> 1 and regexp_matches(l.line, '[^\\s]')),
+    plain as (select *, list_transform(cells, lambda c: case when c like '"%' then replace(c[2:-2], '""', '"') else c end) as f from data),
+    typed as (select *, f[list_position(names, 'essay_id')] as k, f[list_position(names, 'text')] as t, f[list_position(names, 'is_generated')] as g, f[list_position(names, 'grade')] as gr, f[list_position(names, 'submitted_at')] as s from plain)
+    select line_id, case when not quoted_well then 'quoting' when len(f) <> len(names) then 'column_count'
+        when not regexp_full_match(k, '[0-9]{{1,15}}') or cast(k as bigint) = 0 or not regexp_matches(t, '[^\\s\\p{{Z}}]') or g not in ('0', '1') or not regexp_full_match(gr, '|0*([1-9]|1[0-2])')
+            or not regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') or try_strptime(s, '%Y-%m-%d %H:%M:%S') is null then 'invalid_value' end as reason
+    from typed
+"""
+
+
+@_query(f"select line_id, reason from ({_P4}) where reason is not null")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return strictcsv.rejected(_table(spark, d, "essay_csv_lines"))
+
+
+@_query()
+def p4_valid(spark: SparkSession, d: str) -> DataFrame:
+    return strictcsv.valid(_table(spark, d, "essay_csv_lines"))
