@@ -82,12 +82,15 @@ def build(ids: list[int], texts: list[str]) -> Index:
     theta = np.full(n, np.inf)
     for i, t in enumerate(terms):
         norm = K1 * (1 - B + B * len(t) / mean)
-        impact = {x: float(idf[x]) * c * (K1 + 1) / (c + norm) for x, c in Counter(t.tolist()).items() if bounding[x]}
+        weights = {x: float(idf[x]) * c * (K1 + 1) / (c + norm) for x, c in Counter(t.tolist()).items()}
+        for impact in ({x: w for x, w in weights.items() if bounding[x]}, weights):
+            least = min((sum(impact.get(x, 0.0) for x in set(t[a : a + RUN].tolist())) for a in range(len(t) - RUN + 1)), default=np.inf)
+            if least > 0:
+                break  # else a stretch of common terms only: this item is bounded by all its terms
+        theta[i] = least - 1e-9
         for x, w in impact.items():
             per_term[x][i] = w
             per_block[x][i // BLOCK_ITEMS] = max(w, per_block[x].get(i // BLOCK_ITEMS, 0.0))
-        if len(t) >= RUN:
-            theta[i] = min(sum(impact.get(x, 0.0) for x in set(t[a : a + RUN].tolist())) for a in range(len(t) - RUN + 1)) - 1e-9
     blocks = math.ceil(n / BLOCK_ITEMS)
     block_theta = np.array([theta[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].min() for b in range(blocks)])
     stretches = [stretch_hashes(w) for w in each]

@@ -39,6 +39,7 @@ CONFUSED = (
 _LATIN_A = "ĀāĂăĄąĆćČčĎďĐđĒēĖėĘęĚěĞğĢģĪīĮįİıĶķĹĺĻļĽľŁłŃńŅņŇňŌōŐőŒœŔŕŘřŚśŞşŠšŢţŤťŪūŮůŰűŲųŸŹźŻżŽž"
 _SIGNS = "ƒˆ˜–—‘’‚“”„†‡•…‰‹›€™№−\ufeff"
 _FINE = frozenset(_LATIN_A + _SIGNS + "".join(map(chr, (*range(0x80, 0x100), *range(0x386, 0x3CF), *range(0x410, 0x450)))) + "ЁёЄєІіЇїҐґЎў")
+_STRONG = frozenset("¿¡«»–—‘’“”„…€")
 _QUIET = frozenset("’‘“”–—…«»¿¡ ­​‌‍⁠﻿•°§№€☐☑")
 
 
@@ -94,6 +95,8 @@ def _believable(text: str, a: int, b: int, now: str) -> bool:
         span = text[a:b]
         mixed_case = any(x.islower() and y.isupper() for x, y in zip(span, span[1:], strict=False))
         rare = any(not 0x410 <= ord(c) < 0x450 for c in span)
+        if len({_script(c) for c in span}) > 1 or now in _STRONG and any(_script(c) not in ("", _script(text[a])) for c in (before, after)):
+            return True
         return len(now) > 2 or len(now) == 2 and (rare or mixed_case) or not first and mixed_case or first == "L" and "L" in (_script(before), _script(after))
     return True
 
@@ -193,7 +196,7 @@ def _inverse() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _FROM_CYRILLIC = np.array([read in ("cp1251", "koi8_r", "cp866") for _, read in CONFUSED])
 _STOP = np.isin(np.arange(_TOP), [ord(c) for c in ".!?\n;|"])
 GAIN_PER_PAIR, GAIN_IN_ALL, LEAST_PAIRS = 1.0, 14.0, 3
-_WRONG_CASE = 6.0
+_WRONG_CASE, _LETTER_LOST = 6.0, 6.0
 
 
 def undo_confusion(text: str, model: np.ndarray) -> str:
@@ -219,6 +222,8 @@ def undo_confusion(text: str, model: np.ndarray) -> str:
     score -= _WRONG_CASE * odd_case
     control = (now[:, pairs] >= 0x7F) & (now[:, pairs] < 0xA0)
     score -= _WRONG_CASE * control
+    letter = (ids > 0) & (ids < _ODD)
+    score[1:] -= _LETTER_LOST * (letter[0, pairs] & ~letter[1:, pairs])
     # A sign no writer puts beside a letter must not appear where there was none.
     score[1:] -= 2 * _WRONG_CASE * ((ids[1:, pairs] == _ODD) & (ids[0, pairs] != _ODD))
     sums = np.add.reduceat(score, first, axis=1)
