@@ -6,6 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -39,6 +43,50 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Size of an id filter: 8 MB, however many ids there are.  A full filter keeps everything, which costs time but never a result.
+FILTER_BITS = 1 << 26
+_CHUNK = 1 << 16
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    from .kernel import mix64
+
+    h = mix64(ids.astype(np.int64).view(np.uint64))
+    return np.stack([h >> np.uint64(k) & np.uint64(FILTER_BITS - 1) for k in (0, 19, 38)])
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A Bloom filter over the first column of ``ids``, built on the executors; its size is fixed."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            at = _bits(b.column(0).to_numpy()).ravel()
+            np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        used = np.flatnonzero(held.reshape(-1, _CHUNK).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([held[k * _CHUNK : (k + 1) * _CHUNK].tobytes() for k in used], pa.binary())], names=["chunk", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.uint8)
+                held[k] = held[k] | x if k in held else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    schema = "chunk long, bits binary"
+    out = bytearray(FILTER_BITS // 8)
+    for k, x in ids.mapInArrow(build, schema).repartition("chunk").mapInArrow(merge, schema).collect():
+        out[k * _CHUNK : (k + 1) * _CHUNK] = x
+    return bytes(out)
+
+
+def may_hold(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the filter; those in it always are."""
+    held, at = np.frombuffer(bits, np.uint8), _bits(ids)
+    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(0)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import cut, spread
+from .frames import cut, id_filter, may_hold, spread
 from .lookalike import MIN_LETTERS, ScriptModel, form, script_model
 
 SEGMENTS, WIDTH = 48, 4
@@ -181,18 +181,20 @@ def _pairs_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _texts_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, script: np.ndarray) -> DataFrame:
-    """(id, shingles) of the given ids only."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(ids, "id", "left_semi")
+    """(id, shingles) of the given ids, and of the few others a fixed-size filter lets pass; no text is shuffled."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    wanted = df.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ScriptModel(script)
         for b in batches:
+            b = b.filter(pa.array(may_hold(wanted.value, b.column(0).to_numpy())))
             sets = shingle_sets([form(t, own) for t in b.column(1).to_pylist()], k)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], names=["id", "shingles"])
 
-    return rows.mapInArrow(run, "id long, shingles array<long>")
+    return spread(rows).mapInArrow(run, "id long, shingles array<long>")
 
 
 def prefix_candidates(sets: DataFrame, threshold: float) -> DataFrame:
