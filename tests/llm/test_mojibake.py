@@ -77,10 +77,10 @@ def test_records(spark):
         "essay_id long, text string, id int",
     )
     results = spark.createDataFrame(
-        [(1, "bpe", ["caf", "##Ã", "©", None]), (2, "sentencepiece", ["▁caf", "é"]), (3, "sentencepiece", ["▁d", "├", "®", "j", "├", "á"]), (4, "bpe", []), (5, "bpe", None)],
+        [(1, "bpe", ["caf", "##Ã", "©", None]), (2, "sentencepiece", ["▁caf", "é"]), (3, "sentencepiece", ["▁d", "├", "®", "j", "├", "á"]), (4, "bpe", []), (5, "bpe", None), (6, "bpe", ["voil", "├", "á", "pour"])],
         "result_id long, tok_mode string, pieces array<string>",
     )
     got = {(r.record_set, r.record_id): r for r in mojibake.damaged_records(essays, results).collect()}
-    assert set(got) == {("essay", 2), ("essay", 5), ("result", 1), ("result", 3)}
+    assert set(got) == {("essay", 2), ("essay", 5), ("result", 1), ("result", 3), ("result", 6)}
     assert got["essay", 2].restored == TEXTS[0] and got["result", 3].restored.strip() == "déjà"
     assert mojibake.damaged_records(essays.limit(0), results.limit(0)).count() == 0

@@ -323,6 +323,8 @@ def join_pieces(pieces: str = "pieces", mode: str = "tok_mode") -> F.Column:
     p = F.filter(F.col(pieces), lambda x: x.isNotNull())
     sp = F.translate(F.array_join(p, ""), "▁", " ")
     bpe = F.array_join(F.transform(p, lambda x: F.when(x.startswith("##"), F.substring(x, 3, 1 << 30)).when(x.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), x)).otherwise(x)), "")
+    # A sign outside ASCII may be the first part of a damaged character whose next part looks like a word of its own.
+    bpe = F.regexp_replace(bpe, r"([^\p{L}\p{N}\x00-\x7F]) (?=[^\x00-\x7F])", "$1")
     return F.when(F.col(mode) == "sentencepiece", sp).otherwise(bpe)
 
 
