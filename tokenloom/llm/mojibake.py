@@ -55,7 +55,7 @@ def byte_chars(codec: str) -> list[str]:
 
 
 @lru_cache(1)
-def _automata() -> list[tuple[re.Pattern, dict[str, int], frozenset[str], frozenset[str]]]:
+def _automata() -> list[tuple[re.Pattern, dict[str, int]]]:
     out = []
     for codec in LEGACY:
         chars = byte_chars(codec)
@@ -65,7 +65,7 @@ def _automata() -> list[tuple[re.Pattern, dict[str, int], frozenset[str], frozen
             f"{some(0xC2, 0xDF)}{more}|{some(0xE0, 0xE0)}{some(0xA0, 0xBF)}{more}|{some(0xED, 0xED)}{some(0x80, 0x9F)}{more}"
             f"|(?:{some(0xE1, 0xEC)}|{some(0xEE, 0xEF)}){more}{more}|{some(0xF0, 0xF0)}{some(0x90, 0xBF)}{more}{more}|{some(0xF1, 0xF3)}{more}{more}{more}"
         )
-        out.append((re.compile(f"(?:{form})+"), {c: i + 0x80 for i, c in enumerate(chars)}, frozenset(chars[0x42:0x74]), frozenset(chars[:0x40])))
+        out.append((re.compile(f"(?:{form})+"), {c: i + 0x80 for i, c in enumerate(chars)}))
     return out
 
 
@@ -101,13 +101,22 @@ def _believable(text: str, a: int, b: int, now: str) -> bool:
     return True
 
 
+def _codecs_with_spans(text: str) -> int:
+    """Bits of the encodings in which the text has the beginning of a multibyte character."""
+    lead2, lead3, lead4, more = _byte_tables()
+    cp = np.frombuffer((text + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(cp >= 0x80)
+    pair = more[cp[at + 1]]
+    return int(np.bitwise_or.reduce((lead2[cp[at]] & pair) | ((lead3[cp[at]] | lead4[cp[at]]) & pair & more[cp[at + 2]]))) if len(at) else 0
+
+
 def undo_utf8(text: str) -> str:
     """Decode the well-formed spans of the encoding that explains most characters; repeat for repeated damage."""
     for _ in range(4):
         best: tuple[int, list[tuple[int, int, str]]] = (0, [])
-        there = set(text)
-        for automaton, to_byte, leads, more in _automata():
-            if there.isdisjoint(leads) or there.isdisjoint(more):
+        mask = _codecs_with_spans(text)
+        for k, (automaton, to_byte) in enumerate(_automata()):
+            if not mask >> k & 1:
                 continue
             spans = []
             for m in automaton.finditer(text):
