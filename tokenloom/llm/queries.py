@@ -100,6 +100,13 @@ def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "context_windows"))
 
 
+@_query
+def p8_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity and document the tokens packed and the number of pieces."""
+    packed = packing.packed(table(spark, d, "documents"), table(spark, d, "context_windows"))
+    return packed.groupBy("window_key", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+
+
 @_query
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     """Per capacity the tokens packed; the assignment itself is p8_packing."""
@@ -143,6 +150,7 @@ ORACLES["p7_terms"] = _TERMS
 ORACLES["p7_found"] = f"select symbol, mark from ({_TERMS}) where mark is not null"
 _SIZES = "(select doc_id, min(coalesce(cast(n_tokens as bigint), strlen(text) + 1)) as tokens from documents where doc_id is not null group by doc_id)"
 ORACLES["p8_found"] = f"select window_key, doc_id from {_SIZES} s, context_windows w where s.tokens > w.capacity"
+ORACLES["p8_covered"] = f"select window_key, doc_id, tokens, cast(ceil(tokens / capacity) as bigint) as pieces from {_SIZES} s, context_windows w where tokens > 0"
 ORACLES["p9_found"] = """
     with words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
     runs as (select doc_id, array_to_string(w[i : i + 11], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from words)),
