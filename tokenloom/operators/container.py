@@ -166,6 +166,17 @@ def parse_column(container: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct(kinds)))
 
 
+TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("flag", "byte_val", "offset", "length")]))
+
+
+@F.arrow_udf(TOKEN_TYPE)
+def token_column(chunk: pa.Array) -> pa.Array:
+    """The literals (flag 0) and references (flag 1) of each chunk, in order."""
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("flag", "byte_val", "offset", "length")]))
+    names = ("flag", "byte_val", "offset", "length")
+    return pa.array([None if c is None else [dict(zip(names, t, strict=True)) for t in lz77.tokens(c)] for c in chunk.to_pylist()], kind)
+
+
 def statistics(chunks: DataFrame) -> DataFrame:
     """One row per input: sizes, chunks, ratio and saving (null for empty input), literals and references."""
     size = F.first("size").alias("original_bytes")

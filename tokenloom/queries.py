@@ -394,6 +394,14 @@ def compression_stats(spark: SparkSession, d: str) -> DataFrame:
     return container.statistics(container.compressed_chunks(_bytes(spark, d)))
 
 
+@_query("select doc_id as id, cast(octet_length(encode(text)) as bigint) as n_bytes from documents where text is not null and text <> ''")
+def lz_token_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Token rows of every chunk: literals and reference lengths add up to the bytes, offsets stay within two bytes."""
+    chunks = container.split(_bytes(spark, d), CodecConfig().chunk_size)
+    tokens = chunks.select("id", F.explode(container.token_column("chunk")).alias("t")).select("id", "t.*").where("offset < 65536")
+    return tokens.groupBy("id").agg(F.sum(F.when(F.col("flag") == 0, 1).otherwise(F.col("length"))).cast("long").alias("n_bytes"))
+
+
 @_query()
 def huffman_lengths(spark: SparkSession, d: str) -> DataFrame:
     """(id, chunk_idx, kraft, used): the code lengths of every chunk; kraft never exceeds 1."""
