@@ -76,7 +76,7 @@ def id_filter(ids: DataFrame) -> bytes:
 
     schema = "chunk long, bits binary"
     out = bytearray(FILTER_BITS // 8)
-    for k, x in ids.mapInArrow(build, schema).repartition("chunk").mapInArrow(merge, schema).collect():
+    for k, x in ids.coalesce(32).mapInArrow(build, schema).repartition("chunk").mapInArrow(merge, schema).collect():
         out[k * _CHUNK : (k + 1) * _CHUNK] = x
     return bytes(out)
 
