@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.chars import CONNECTORS, PUNCT, normalize_token
+from ..functions.chars import PUNCT
 from ..plans.config import APP_BPE, BpeConfig
-from .pretokenize import normalized_tokens, pretokens
+from .pretokenize import is_punct_token, normalized_tokens
 
 END = "</w>"
 OPEN, CLOSE = "\x01", "\x02"
@@ -29,11 +30,25 @@ STATIC_MARKS = tuple(".,!?:;()[]{}<>-_/+'\"")
 # --- training -------------------------------------------------------------
 
 
+def first_rows(corpus: DataFrame, limit: int) -> DataFrame:
+    """The first rows by ``doc_id`` (which is unique); only ids are ordered, texts stay where they are."""
+    last = corpus.select("doc_id").orderBy("doc_id").limit(limit).agg(F.max("doc_id")).first()[0]
+    return corpus.where(F.col("doc_id") <= F.lit(last)) if last is not None else corpus.limit(0)
+
+
 def training_words(corpus: DataFrame, cfg: BpeConfig = APP_BPE) -> DataFrame:
-    """(doc_id, pos, word): the first ``word_limit`` words of the first ``word_limit`` rows that are not empty."""
-    rows = corpus.where("text is not null and text <> ''").orderBy("doc_id").limit(cfg.word_limit)
-    words = pretokens(rows, cfg).where("not is_punct").select("doc_id", "pos", normalize_token(F.col("token"), cfg.lowercase).alias("word"))
-    return words.where("word <> ''").orderBy("doc_id", "pos").limit(cfg.word_limit)
+    """(doc_id, pos, word): the first ``word_limit`` words of the first ``word_limit`` rows that are not empty.
+
+    Words are counted per row first, so that only the rows they come from are
+    taken apart.
+    """
+    rows = first_rows(corpus.where("text is not null and text <> ''"), cfg.word_limit)
+    sized = rows.select("doc_id", F.size(normalized_tokens(F.col("text"), replace(cfg, keep_punctuation=False))).alias("n")).where("n > 0")
+    so_far = F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    last = sized.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < cfg.word_limit).agg(F.max("doc_id")).first()[0]
+    needed = rows.where(F.col("doc_id") <= F.lit(last)) if last is not None else rows.limit(0)
+    tokens = needed.select("doc_id", F.posexplode(normalized_tokens(F.col("text"), cfg)).alias("pos", "word"))
+    return tokens.where(~is_punct_token(F.col("word"), cfg)).orderBy("doc_id", "pos").limit(cfg.word_limit)
 
 
 def word_types(words: DataFrame) -> DataFrame:
@@ -207,11 +222,15 @@ def word_pieces(word: Column, pattern: str) -> Column:
 
 
 def piece_array(text: Column, pattern: str, cfg: BpeConfig = APP_BPE) -> Column:
-    """Pieces of a whole text, in one narrow expression."""
-    words = normalized_tokens(text, cfg)
-    if not cfg.split_on_punctuation:
-        return F.flatten(F.transform(words, lambda w: word_pieces(w, pattern)))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(f"^[{PUNCT}]$"), F.array(w)).otherwise(word_pieces(w, pattern))))
+    """Pieces of a whole text, in one narrow expression.
+
+    The words are joined by blanks, which none of them holds, and matched in a
+    single scan; a blank tells the first piece of a word.
+    """
+    words = F.concat(F.lit(" "), F.array_join(normalized_tokens(text, cfg), " "))
+    scan = f"(?s) ?(?:{pattern.removeprefix('(?s)').removesuffix('|.')}|[^ ])" if pattern != "(?s)." else " ?[^ ]"
+    found = F.regexp_extract_all(words, F.lit(scan), F.lit(0))
+    return F.transform(found, lambda p: F.when(p.startswith(" "), F.substring(p, 2, 1 << 30)).otherwise(F.concat(F.lit("##"), p)))
 
 
 def tokenize(corpus: DataFrame, subwords: list[str], cfg: BpeConfig = APP_BPE) -> DataFrame:
@@ -242,9 +261,11 @@ def oov_ids(tokens: DataFrame, model: DataFrame) -> DataFrame:
     ``tokens`` holds (doc_id, pieces).  Pieces without an id are single
     characters, so their number is bounded by the alphabet.
     """
-    size = model.count()
-    rows = tokens.select("doc_id", F.posexplode("pieces").alias("pos", "token"))
-    fresh = rows.join(F.broadcast(model.select("token")), "token", "left_anti").groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    known = [r.token for r in model.select("token").collect()]
+    size = len(known)
+    placed = F.transform("pieces", lambda p, i: F.struct(i.alias("pos"), p.alias("token")))
+    rows = tokens.select("doc_id", F.explode(F.filter(placed, lambda x: ~x["token"].isin(known))).alias("x"))
+    fresh = rows.groupBy("x.token").agg(F.min(F.struct("doc_id", "x.pos")).alias("at"))
     return fresh.select((F.row_number().over(Window.orderBy("at")) - 1 + size).cast("int").alias("id"), "token")
 
 
@@ -258,11 +279,13 @@ def encode(tokens: DataFrame, model: DataFrame, cfg: BpeConfig = APP_BPE) -> Dat
 
 
 def join_pieces(pieces: Column) -> Column:
-    """Text of decoded tokens: no blank before continuations, punctuation and connectors."""
-    strip = lambda p: F.when(p.startswith("##"), F.substring(p, 3, 1 << 30)).otherwise(p)
-    tight = lambda p: p.startswith("##") | p.rlike(f"^[{PUNCT}]$") | p.isin(*CONNECTORS)
-    parts = F.transform(pieces, lambda p, i: F.when((i == 0) | tight(p), strip(p)).otherwise(F.concat(F.lit(" "), strip(p))))
-    return F.array_join(parts, "")
+    """Text of decoded tokens: no blank before continuations and single punctuation marks, which connectors are too.
+
+    Tokens hold no blanks, so the rules can work on the joined text.
+    """
+    joined = F.array_join(pieces, " ")
+    tight = F.regexp_replace(joined, f" ([{PUNCT}])(?= |$)", "$1")
+    return F.regexp_replace(tight, "(^| )##", "")
 
 
 def id_tokens(model_rows: list[tuple[int, str]], unknown: str = "<unk>"):

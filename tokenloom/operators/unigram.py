@@ -32,7 +32,7 @@ def normalize(text: Column, cfg: SpConfig = APP_SP) -> Column:
 
 def training_rows(corpus: DataFrame, cfg: SpConfig = APP_SP) -> DataFrame:
     """(doc_id, norm): the first ``row_limit`` rows that are not empty, normalized."""
-    rows = corpus.where("text is not null and text <> ''").orderBy("doc_id").limit(cfg.row_limit)
+    rows = bpe.first_rows(corpus.where("text is not null and text <> ''"), cfg.row_limit)
     return rows.select("doc_id", normalize(F.col("text"), cfg).alias("norm")).where("norm <> ''")
 
 

@@ -69,8 +69,8 @@ def approx_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pretokens(spark: SparkSession, d: str, cfg: BpeConfig = APP_BPE, *more: str) -> DataFrame:
-    arr = F.transform(pretokenize.pretoken_strings(F.col("text"), cfg), lambda t: F.struct(chars.normalize_token(t, cfg.lowercase).alias("token"), pretokenize.is_punct_token(t, cfg).alias("is_punct")))
-    return _docs(spark, d, *more).select("doc_id", *more, F.posexplode(arr).alias("pos", "t")).select("doc_id", *more, "pos", "t.token", "t.is_punct")
+    rows = _docs(spark, d, *more).select("doc_id", *more, F.posexplode(pretokenize.normalized_tokens(F.col("text"), cfg)).alias("pos", "token"))
+    return rows.withColumn("is_punct", pretokenize.is_punct_token(F.col("token"), cfg))
 
 
 @_query(f"select doc_id, pos, token, is_punct from {_TOKENS}")
@@ -254,10 +254,10 @@ def bpe_decode(spark: SparkSession, d: str) -> DataFrame:
     from (select doc_id, lang, pos as word_pos from {_PIECES} where not is_punct) group by lang""")
 def bpe_fertility_by_lang(spark: SparkSession, d: str) -> DataFrame:
     """Pieces per word by language."""
-    words = F.filter(pretokenize.normalized_tokens(F.col("text")), lambda w: ~w.rlike(f"^[{PUNCT}]$"))
-    pattern = bpe.longest_match_pattern(FROZEN)
-    n = F.aggregate(F.transform(words, lambda w: F.size(bpe.word_pieces(w, pattern))), F.lit(0).cast("long"), lambda a, x: a + x)
-    per_doc = _docs(spark, d, "lang").where("text is not null").select("lang", n.alias("pieces"), F.size(words).alias("words")).where("words > 0")
+    cfg = BpeConfig(keep_punctuation=False)
+    words = pretokenize.normalized_tokens(F.col("text"), cfg)
+    pieces = bpe.piece_array(F.col("text"), bpe.longest_match_pattern(FROZEN), cfg)
+    per_doc = _docs(spark, d, "lang").where("text is not null").select("lang", F.size(pieces).alias("pieces"), F.size(words).alias("words")).where("words > 0")
     return per_doc.groupBy("lang").agg(F.round(F.sum("pieces").cast("double") / F.sum("words"), 9).alias("fertility"))
 
 
