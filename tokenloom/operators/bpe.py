@@ -269,13 +269,15 @@ def oov_ids(tokens: DataFrame, model: DataFrame) -> DataFrame:
     return fresh.select((F.row_number().over(Window.orderBy("at")) - 1 + size).cast("int").alias("id"), "token")
 
 
+def with_oov(tokens: DataFrame, model: DataFrame) -> list[tuple[int, str]]:
+    """(id, token) of the model and of the unseen pieces; bounded by the word limit and the alphabet."""
+    return [(int(r.id), r.token) for r in model.select("id", "token").unionAll(oov_ids(tokens, model)).collect()]
+
+
 def encode(tokens: DataFrame, model: DataFrame, cfg: BpeConfig = APP_BPE) -> DataFrame:
     """(doc_id, pieces, ids): static ids, then those of unseen pieces if they are preserved, else 0."""
-    rows = model.select("token", "id").collect()  # bounded by the word limit
-    if cfg.preserve_unknown:
-        rows += oov_ids(tokens, model).select("token", "id").collect()
-    run = lookup([r[0] for r in rows], [int(r[1]) for r in rows])
-    return tokens.withColumn("ids", run("pieces"))
+    rows = with_oov(tokens, model) if cfg.preserve_unknown else [(int(r.id), r.token) for r in model.select("id", "token").collect()]
+    return tokens.withColumn("ids", lookup([t for _, t in rows], [i for i, _ in rows])("pieces"))
 
 
 def join_pieces(pieces: Column) -> Column:
