@@ -71,6 +71,34 @@ def test_prefilter_is_a_superset(model):
                 assert suspicious([damaged])[0]
 
 
+def confused(text, written, read):
+    """Text written in one one-byte encoding and read as another; what the first lacks is left out."""
+    return "".join(chr(b) if b < 0x80 else mojibake.byte_chars(read)[b - 0x80] for b in text.encode(written, "ignore"))
+
+
+@pytest.mark.parametrize(("written", "read", "n"), [("latin_1", "cp1251", 1), ("latin_1", "cp1251", 2), ("latin_1", "cp1251", 3), ("cp1252", "cp1251", 0), ("cp1250", "cp1251", 5), ("cp1252", "cp1250", 0), ("cp1252", "iso8859_2", 3)])
+def test_western_text_with_isolated_letters(written, read, n, model):
+    damaged = confused(TEXTS[n], written, read)
+    assert suspicious([damaged])[0]
+    hit, now, complete = repair(damaged, model)
+    assert hit and complete and sum(a != b for a, b in zip(now, TEXTS[n], strict=True)) <= 2
+
+
+def test_sentence_with_look_alikes_only_is_restored_with_the_rest(model):
+    damaged = confused("La niña encontró la canción. " + TEXTS[2], "latin_1", "cp1251")
+    assert repair(damaged, model)[1].startswith("La niña encontró la canción. ")
+    assert not repair("Тhе саt sаt оn thе mаt аnd аtе а сakе. " * 5, model)[0]
+
+
+@pytest.mark.parametrize(("written", "read"), mojibake.CONFUSED)
+def test_prefilter_is_a_superset_for_confused_encodings(written, read, model):
+    parts = TEXTS + [w + " " + w for t in TEXTS for w in t.split()]
+    for t in parts:
+        damaged = confused(t, written, read)
+        if repair(damaged, model)[0]:
+            assert suspicious([damaged])[0], damaged
+
+
 def test_records(spark):
     essays = spark.createDataFrame(
         [(1, TEXTS[0], 0), (2, misread(TEXTS[0], "cp1252"), 0), (2, misread(TEXTS[0], "cp1252"), 0), (3, None, 0), (4, "", 0), (None, misread(TEXTS[0], "cp1252"), 0), (5, "y" * 100_000 + "Ã©", 0)],

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import spread
+from .lookalike import ALIKE
 
 # Encodings text is commonly misread in, and pairs (written in, misread as).
 LEGACY = ("cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "iso8859_2", "cp1254", "cp1257")
@@ -33,7 +34,7 @@ CONFUSED = (
     ("cp1251", "latin_1"), ("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"),
     ("koi8_r", "latin_1"), ("cp866", "cp1252"), ("iso8859_2", "latin_1"), ("iso8859_2", "cp1252"), ("cp1250", "cp1252"), ("cp1250", "latin_1"),
     ("latin_1", "mac_roman"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("mac_roman", "latin_1"), ("cp850", "cp1252"), ("cp437", "cp1252"),
-    ("cp850", "latin_1"), ("cp437", "latin_1"), ("latin_1", "cp437"), ("latin_1", "cp850"), ("latin_1", "cp1251"), ("cp1250", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "iso8859_2"),
+    ("cp850", "latin_1"), ("cp437", "latin_1"), ("latin_1", "cp437"), ("latin_1", "cp850"), ("latin_1", "cp1251"), ("cp1252", "cp1251"), ("cp1250", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "iso8859_2"),
 )
 # Letters and signs a restored span may hold.
 _LATIN_A = "ĀāĂăĄąĆćČčĎďĐđĒēĖėĘęĚěĞğĢģĪīĮįİıĶķĹĺĻļĽľŁłŃńŅņŇňŌōŐőŒœŔŕŘřŚśŞşŠšŢţŤťŪūŮůŰűŲųŸŹźŻżŽž"
@@ -191,18 +192,19 @@ _TOP = 0x3000
 
 
 @lru_cache(1)
-def _inverse() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row 0 leaves text as it is, row k undoes CONFUSED[k - 1]; and which characters are upper and lower case."""
+def _inverse() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row 0 leaves text as it is, row k undoes CONFUSED[k - 1]; and the class of what comes out, and whether it is upper or lower case."""
     out = np.tile(np.arange(_TOP, dtype=np.uint32), (len(CONFUSED) + 1, 1))
     for k, (written, read) in enumerate(CONFUSED):
         for was, now in zip(byte_chars(read), byte_chars(written), strict=True):
             if ord(was) < _TOP:
                 out[k + 1, ord(was)] = ord(now)
-    chars = [chr(c) for c in range(0x110000)]
-    return out, np.array([c.isupper() for c in chars]), np.array([c.islower() for c in chars])
+    chars = [chr(c) for c in range(0x10000)]
+    return out, _classes()[out], np.array([c.isupper() for c in chars])[out], np.array([c.islower() for c in chars])[out]
 
 
 _FROM_CYRILLIC = np.array([read in ("cp1251", "koi8_r", "cp866") for _, read in CONFUSED])
+_ALIKE = np.isin(np.arange(_TOP), [ord(c) for row in ALIKE for c in row[1:] if c != "."])
 _STOP = np.isin(np.arange(_TOP), [ord(c) for c in ".!?\n;|"])
 GAIN_PER_PAIR, GAIN_IN_ALL, LEAST_PAIRS = 1.0, 14.0, 3
 _WRONG_CASE, _LETTER_LOST = 6.0, 6.0
@@ -220,66 +222,72 @@ def undo_confusion(text: str, model: np.ndarray) -> str:
     pairs = np.flatnonzero((cp[1:] >= 0x80) | (cp[:-1] >= 0x80))
     if len(pairs) < LEAST_PAIRS:
         return text
-    tables, upper, lower = _inverse()
+    tables, classes, upper, lower = _inverse()
     sentence = np.cumsum(_STOP[cp])
     first = np.flatnonzero(np.diff(sentence[pairs], prepend=-1))
-    now = tables[:, cp]
-    ids = _classes()[now]
-    score = model[ids[:, pairs], ids[:, pairs + 1]].astype(np.float64)
-    is_up, is_low = upper[now], lower[now]
-    odd_case = (is_low[:, pairs - 1] & is_up[:, pairs] & ~is_up[:, pairs + 1]) & (now[:, pairs] >= 0x80) & (pairs > 0)
+    before, here, after = cp[pairs - 1], cp[pairs], cp[pairs + 1]
+    now, ids = tables[:, here], classes[:, here]
+    score = model[ids, classes[:, after]].astype(np.float64)
+    odd_case = (lower[:, before] & upper[:, here] & ~upper[:, after]) & (now >= 0x80) & (pairs > 0)
     score -= _WRONG_CASE * odd_case
-    control = (now[:, pairs] >= 0x7F) & (now[:, pairs] < 0xA0)
+    control = (now >= 0x7F) & (now < 0xA0)
     score -= _WRONG_CASE * control
     letter = (ids > 0) & (ids < _ODD)
-    score[1:] -= _LETTER_LOST * (letter[0, pairs] & ~letter[1:, pairs])
+    score[1:] -= _LETTER_LOST * (letter[0] & ~letter[1:])
     # A sign no writer puts beside a letter must not appear where there was none.
-    score[1:] -= 2 * _WRONG_CASE * ((ids[1:, pairs] == _ODD) & (ids[0, pairs] != _ODD))
+    score[1:] -= 2 * _WRONG_CASE * ((ids[1:] == _ODD) & (ids[0] != _ODD))
     sums = np.add.reduceat(score, first, axis=1)
     n = np.diff(np.append(first, len(pairs)))
     gain = sums[1:] - sums[0]
-    # Look-alike letters inside Latin words are no sign of a Cyrillic encoding.
-    ascii_letter = (whole | 32 >= 0x61) & (whole | 32 <= 0x7A) & (whole < 0x80)
-    cyrillic = (cp >= 0x370) & (cp < 0x460)
-    mixed = ascii_letter[pairs] & cyrillic[pairs + 1] | cyrillic[pairs] & ascii_letter[pairs + 1]
-    gain[np.ix_(_FROM_CYRILLIC, np.add.reduceat(mixed.astype(np.int64), first) > 0)] = 0
     clear = gain > GAIN_PER_PAIR * n
-    total = np.where(clear, gain, 0).sum(1)
+    # Look-alike letters alone inside Latin words are no sign of a Cyrillic encoding.
+    counts = clear.copy()
+    counts[np.ix_(_FROM_CYRILLIC, _disguised(cp, sentence)[sentence[pairs[first]]])] = False
+    total = np.where(counts, gain, 0).sum(1)
     best = int(total.argmax())
     if total[best] <= GAIN_IN_ALL:
         return text
     take = np.isin(sentence, sentence[pairs[first]][clear[best]])
-    out = np.where(take & (whole < _TOP), now[best + 1], whole)
+    out = np.where(take & (whole < _TOP), tables[best + 1][cp], whole)
     return out[1:-1].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def _disguised(cp: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Which sentences have words of ASCII and Cyrillic letters, all of the latter with a Latin look-alike."""
+    size = int(sentence[-1]) + 1
+    cyrillic = (cp >= 0x370) & (cp < 0x460)
+    if not cyrillic.any():
+        return np.zeros(size, bool)
+    latin = (cp | 32 >= 0x61) & (cp | 32 <= 0x7A) & (cp < 0x80)
+    word = np.cumsum(~(latin | cyrillic))
+    mixed = cyrillic & (np.bincount(word[latin], minlength=word[-1] + 1) > 0)[word]
+    count = lambda x: np.bincount(sentence[x], minlength=size) > 0
+    return count(mixed) & ~count(mixed & ~_ALIKE[cp])
+
+
 def suspicious(texts: list[str]) -> np.ndarray:
-    """A cheap superset of the texts either repair can change, from code-point tables alone."""
+    """A superset of the texts either repair can change, from code points alone.
+
+    A confusion needs LEAST_PAIRS bigrams with a non-ASCII character, which two such characters always make and one never does.
+    """
     from .kernel import blocks, codes
 
     lead2, lead3, lead4, more = _byte_tables()
-    classes = _classes()
     out = np.zeros(len(texts), bool)
     for lo, hi in blocks(texts):
         cp, start = codes(texts[lo:hi])
         if cp.max() < 0x80:
             continue
         at = np.flatnonzero(cp >= 0x80)
-        at = at[at < len(cp) - 1]
+        doc = np.searchsorted(start, at, "right") - 1
+        out[lo:hi] = np.bincount(doc, minlength=hi - lo)[: hi - lo] >= LEAST_PAIRS - 1
+        at, doc = at[at < len(cp) - 1], doc[at < len(cp) - 1]
         a, b = cp[at], cp[at + 1]
         c = cp[np.minimum(at + 2, len(cp) - 1)]
         pair = more[b]
         hit = (lead2[a] & pair) | ((lead3[a] | lead4[a]) & pair & more[c]) > 0
-        before, here, after = classes[cp[at - 1]], classes[a], classes[b]
-        letter = lambda x: (x > 0) & (x < _ODD)
-        hit |= (here == _ODD) & (letter(before) | letter(after))
-        low = lambda x: (x >= 0x61) & (x <= 0x7A) | (x >= 0xDF) & (x <= 0xFF)
-        hit |= low(cp[at - 1]) & (a >= 0xC0) & (a <= 0xDE) & ~((b >= 0x41) & (b <= 0x5A) | (b >= 0xC0) & (b <= 0xDE))
-        hit |= (a >= 0xC0) & (a <= 0xFF) & (b >= 0xC0) & (b <= 0xFF) & (c >= 0xC0) & (c <= 0xFF)
-        hit |= (a >= 0x400) & (a < 0x460) & (b >= 0x400) & (b < 0x460) & (c >= 0x400) & (c < 0x460)
         hit |= a == 0xFFFD
-        doc = np.searchsorted(start, at[hit], "right") - 1
-        out[lo + np.unique(doc)] = True
+        out[lo + np.unique(doc[hit])] = True
     return out
 
 
