@@ -78,3 +78,12 @@ def test_edges(spark):
     assert nearcopies.near_copy_pairs(df.limit(0)).count() == 0
     _, members = nearcopies.near_copies(df.where(F.col("essay_id") < 3))
     assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 1)}
+
+
+def test_rows_repeated_in_hot_buckets(spark, monkeypatch):
+    """Every bucket takes the exact prefix filter, and every row is delivered three times."""
+    monkeypatch.setattr(nearcopies, "RUN", 1)
+    rows = texts(3)
+    df = spark.createDataFrame(rows * 3, "essay_id long, text string")
+    got = {tuple(r) for r in nearcopies.near_copy_pairs(df, k=3, threshold=0.6).collect()}
+    assert got == brute(rows, 3, 0.6)

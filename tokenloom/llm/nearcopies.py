@@ -133,8 +133,8 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: np.ndar
     return spread(rows).mapInArrow(run, "id long, k1 long, k2 long, s1 long, s2 long, sketch binary, bits binary")
 
 
-def _pairs_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: all pairs of runs up to RUN, and the members (b null) of longer ones; nothing unbounded is held."""
+def _pairs_in_runs(batches: Iterator[pa.RecordBatch], longest: int = RUN) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key: all pairs of runs up to ``longest``, and the members (b null) of longer ones; nothing unbounded is held."""
 
     def emit(key: np.ndarray, cid: np.ndarray, hot: bool) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -144,7 +144,7 @@ def _pairs_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if n < 2 and not hot:
                 continue
             s = edge[size == n]
-            if n > RUN or hot:
+            if n > longest or hot:
                 big += [cid[x : x + n] for x in s]
                 continue
             i, j = np.triu_indices(n, 1)
@@ -173,7 +173,7 @@ def _pairs_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         done = int(np.searchsorted(key, key[-1], "left"))
         yield from emit(key[:done], cid[:done], False)
         key, cid = key[done:], cid[done:]
-        if len(key) > RUN:
+        if len(key) > longest:
             hot_key = key[-1]
             yield from emit(key, cid, True)
             key, cid = key[:0], cid[:0]
@@ -181,7 +181,7 @@ def _pairs_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _texts_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, script: np.ndarray) -> DataFrame:
-    """(id, shingles) of the given ids, and of the few others a fixed-size filter lets pass; no text is shuffled."""
+    """(id, shingles), one row per id, of the given ids and of the few others a fixed-size filter lets pass; no text is shuffled."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     wanted = df.sparkSession.sparkContext.broadcast(id_filter(ids))
 
@@ -194,11 +194,11 @@ def _texts_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int,
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], names=["id", "shingles"])
 
-    return spread(rows).mapInArrow(run, "id long, shingles array<long>")
+    return spread(rows).mapInArrow(run, "id long, shingles array<long>").groupBy("id").agg(F.min("shingles").alias("shingles"))
 
 
 def prefix_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact candidates (a, b) among (id, shingles): pairs that share one of their rarest shingles, as every pair at the threshold must."""
+    """Exact candidates (a, b) among (id, shingles), one row per id: pairs that share one of their rarest shingles, as every pair at the threshold must."""
     rows = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("id").orderBy("df", "h")
@@ -229,7 +229,8 @@ def near_copies(df: DataFrame, id_col: str = "essay_id", text_col: str = "text",
 
     part = lambda i: F.substring("sketch", i * WIDTH + 1, WIDTH)
     keys = classes.select("cid", F.explode(F.array(*[F.xxhash64(F.lit(i), part(i)) for i in range(SEGMENTS)])).alias("key")).select("key", "cid")
-    runs = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_in_runs, "a long, b long").distinct())
+    longest = RUN
+    runs = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _pairs_in_runs(batches, longest), "a long, b long").distinct())
     light = runs.where("b is not null")
     hot = runs.where("b is null").select(F.col("a").alias("id"))
     found = light
@@ -248,7 +249,7 @@ def near_copies(df: DataFrame, id_col: str = "essay_id", text_col: str = "text",
 
     close = cut(both.mapInArrow(prune, "a long, b long"))
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    sets = cut(_texts_of(rows, ids, id_col, text_col, k, script).groupBy("id").agg(F.min("shingles").alias("shingles")))
+    sets = cut(_texts_of(rows, ids, id_col, text_col, k, script))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
