@@ -188,3 +188,12 @@ def test_shared_spans_equal_brute_force(spark, hot):
             covered[i] = sum(mark)
     assert {r.id: r.shared_chars for r in sharedspans.shared_part(df, **how).collect()} == covered
     assert sharedspans.sharing_pairs(df.limit(0)).count() == 0
+
+
+def test_lists_fail_by_their_bullets_even_with_lost_characters():
+    prose = "the teacher was in the house and it was not so strange as the people had thought"
+    rows = ["\n".join(f"{mark} {prose} {i}" for i in range(6)) for mark in ("-", "•", "—", "–")]
+    rows += [rows[1].replace("house", "h��se"), "- " + prose, rows[2].replace("house", "h��se")]
+    found = quality.reasons(quality.statistics(rows), np.array([len(t) for t in rows]))
+    assert quality.statistics(rows)["lost_chars"][4] >= quality.LOST
+    assert found == ["bullet_lines", "bullet_lines", None, None, "bullet_lines", None, None]

@@ -31,7 +31,7 @@ SYMBOL_RATIO = 0.3
 LETTER_WORDS = 0.8
 BULLET_LINES = 0.9
 COMMON_WORDS = 0.15
-#: From this share of replacement characters on, words cannot be known, and only the bullet rule is applied.
+#: From this share of replacement characters on, words cannot be known, and only the bullet rule (list_lines) is applied.
 LOST = 0.02
 MIN_CHARS = 40
 
@@ -53,7 +53,7 @@ def _tables() -> tuple[np.ndarray, ...]:
     return space, plain | space | alnum_table(), end, digit, common
 
 
-STATS = ("n_words", "mean_word_length", "symbol_ratio", "letter_words", "lines_ending_in_punctuation", "bullet_lines", "common_words", "lost_chars")
+STATS = ("n_words", "mean_word_length", "symbol_ratio", "letter_words", "lines_ending_in_punctuation", "bullet_lines", "common_words", "lost_chars", "list_lines")
 
 
 def statistics(texts: list[str]) -> dict[str, np.ndarray]:
@@ -63,11 +63,14 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
     space, usual, end, digit, common = _tables()
     out = {name: np.zeros(len(texts)) for name in STATS}
     for lo, hi in blocks(texts):
-        part, bullets = [], []
+        part, bullets, lists = [], [], []
         for t in texts[lo:hi]:
-            t, n = _BULLET.subn("", t)
-            part.append(t.casefold())
-            bullets.append(n)
+            marks = _BULLET.findall(t)
+            part.append((_BULLET.sub("", t) if marks else t).casefold())
+            bullets.append(len(marks))
+            # Dialogue opens its lines with dashes, and one line is no list.
+            items = sum(x.strip() not in ("–", "—") for x in marks)
+            lists.append(items if items > 1 else 0)
         words = Words(part)
         cp, start = words.cp, words.start
         n = np.diff(words.first)
@@ -91,6 +94,7 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
         out["letter_words"][s] = per_word(digits[words.end] - digits[words.begin] < words.end - words.begin) / some
         out["lines_ending_in_punctuation"][s] = np.bincount(doc[inked], end[cp[np.maximum(last[inked], 0)]], minlength=hi - lo) / lines
         out["bullet_lines"][s] = np.minimum(np.array(bullets) / lines, 1)
+        out["list_lines"][s] = np.minimum(np.array(lists) / lines, 1)
         out["common_words"][s] = per_word(np.isin(words.hash, common)) / some
         out["lost_chars"][s] = per_doc(cp == 0xFFFD) / size
     return out
@@ -104,6 +108,7 @@ def reasons(stats: dict[str, np.ndarray], n_chars: np.ndarray) -> list[str | Non
         ("letter_words", known & (stats["letter_words"] < LETTER_WORDS)),
         ("mean_word_length", known & ((stats["mean_word_length"] < MEAN_WORD_LENGTH[0]) | (stats["mean_word_length"] > MEAN_WORD_LENGTH[1]))),
         ("symbol_ratio", known & (stats["symbol_ratio"] > SYMBOL_RATIO)),
+        ("bullet_lines", stats["list_lines"] > BULLET_LINES),
     ]
     out: list[str | None] = [None] * len(n_chars)
     for name, failed in reversed(rules):
