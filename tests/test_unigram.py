@@ -63,3 +63,12 @@ def test_display(spark):
     df = spark.createDataFrame(rows, "i long, p array<string>")
     got = [r.x for r in df.orderBy("i").select(unigram.display_pieces(df.p).alias("x")).collect()]
     assert got == [["hello", "w", "my"], ["un", "##do"], ["abc"], []]
+
+
+def test_queries_run_the_application_settings(spark):
+    from tokenloom import queries
+    from tokenloom.plans.config import APP_SP
+
+    _, model, cfg = queries._sp(spark, "/root/testdata/sf0.001")
+    assert cfg == APP_SP
+    assert model.where("length(piece) > 5 and piece <> '<unk>'").count() and 1000 < model.count() <= 2000

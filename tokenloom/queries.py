@@ -11,7 +11,7 @@ from .functions import chars
 from .functions.chars import PUNCT, WS_BPE, WS_SP
 from .operators import bpe, charcodec, container, pretokenize, unigram
 from .plans import pipeline
-from .plans.config import APP_BPE, BpeConfig, CodecConfig, SpConfig
+from .plans.config import APP_BPE, APP_SP, BpeConfig, CodecConfig, SpConfig
 from .sources import corpus as corpora
 from .sources import strictcsv
 
@@ -312,8 +312,8 @@ def sp_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sp(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, SpConfig]:
-    docs, cfg = _docs(spark, d), SpConfig(target_vocab=1000, max_piece_chars=4, row_limit=25_000)
-    return docs, unigram.train(docs, cfg), cfg
+    docs = _docs(spark, d)
+    return docs, unigram.train(docs, APP_SP), APP_SP
 
 
 @_query(f"select doc_id, trim(replace(norm, '▁', ' '), ' ') as decoded from {_NORM}")
