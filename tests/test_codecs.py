@@ -134,3 +134,12 @@ def test_sql_functions(spark):
     row = spark.sql("select char_decompress(char_compress('abcabcabc')) as a, cast(lz_decompress(lz_compress(encode('xyz', 'UTF-8'))) as string) as b, split_csv_line('a,\"b,c\"') as c").first()
     assert (row.a, row.b, row.c) == ("abcabcabc", "xyz", ["a", "b,c"])
     assert spark.createDataFrame([("é",)], "t string").select(F.octet_length(charcodec.compress_column("t"))).first()[0] > 16
+
+
+def test_matches_far_back_and_lazy_steps_over_long_matches():
+    far = b"abcdefghijklmnop" + b"".join(b"abc" + bytes([200 + i]) for i in range(40)) + b"abcdefghijklmnop"
+    assert list(lz77.tokens(far))[-1][3] == 16
+    first, more = bytes(range(100, 140)), bytes(range(140, 170))
+    stream = list(lz77.tokens(first + b"!" + first[1:] + more + b"?" + first + more))
+    assert stream[-1][3] == 69 and stream[-2] == (lz77.LITERAL, 100, 0, 0)
+    assert lz77.expand(iter(stream)).endswith(b"?" + first + more)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 # Fixed values of the stream format: flags, shortest and longest match, largest offset that fits two bytes.
 LITERAL, REFERENCE = 0, 1
 MIN_MATCH, MAX_MATCH, MAX_OFFSET = 3, 255, 65_535
-DEPTH = 16
+DEPTH = 64
 
 Token = tuple[int, int, int, int]  # flag, byte, offset, length
 
@@ -73,7 +73,7 @@ def tokens(data: bytes, lazy: bool = True, depth: int = DEPTH) -> Iterator[Token
             at += 1
             length, offset = matcher.find(at)
             continue
-        if lazy and length < 32 and at + 1 < n:
+        if lazy and length < MAX_MATCH and at + 1 < n:
             later = matcher.find(at + 1)
             if later[0] > length:
                 yield LITERAL, data[at], 0, 0
