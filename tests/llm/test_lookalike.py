@@ -38,6 +38,29 @@ def test_what_looks_different_stays_different(a, b):
     assert form(LONG + a, MODEL) != form(LONG + b, MODEL)
 
 
+@pytest.mark.parametrize(("a", "b"), [("hօuse", "house"), ("ᎢHE", "THE"), ("ⲟf", "of"), ("ꓔHE", "THE"), ("ıt", "it"), ("ѵery", "very"), ("woㅤrd", "word"), ("woᅠrd", "word")])
+def test_letters_of_all_scripts(spark, a, b):
+    model = ScriptModel(MODEL.counts, lookalike.confusable_letters(spark))
+    assert form(LONG + a, model) == form(LONG + b, model) == LONG + b
+
+
+def test_other_scripts_keep_their_words(spark):
+    model = ScriptModel(MODEL.counts, lookalike.confusable_letters(spark))
+    armenian = "Բարեւ ձեզ, ինչպես եք դուք այսօր, շատ լավ եմ, շնորհակալություն"
+    assert form(armenian, model) == armenian
+    assert form(armenian.replace("օ", "o").replace("ո", "n"), model) == armenian
+    assert len(model.alike) > 150 and all(len(x) == 1 and x.isascii() for x in model.alike.values())
+
+
+def test_one_different_string_among_many_equal_ones(spark):
+    rows = [(i, LONG + ("sеcret" if i == 7 else "secret"), 0) for i in range(3000)]
+    got = [tuple(r) for r in lookalike.same_looking_pairs(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted((min(i, 7), max(i, 7)) for i in range(3000) if i != 7)
+    groups = lookalike.same_looking_groups(frame(spark, rows)).collect()
+    assert len(groups) == 3000 and {(r.class_id, r.n_strings) for r in groups} == {(0, 2)}
+    assert lookalike.same_looking_groups(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_russian_stays_russian():
     text = "Когда ночь открыла эту дорогу, старая газета уже была там. Сосна и роса, нора, сор."
     assert form(text, MODEL) == text

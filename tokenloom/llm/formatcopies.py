@@ -58,12 +58,11 @@ def copy_keys(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
     an id with another text count once, with the smallest key.
     """
     rows = essays_once(df, id_col, text_col)
-    counts = (model or script_model(rows)).counts
+    own = model or script_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .kernel import letters_hash
 
-        own = ScriptModel(counts)
         for b in batches:
             h1, h2, n = letters_hash([canonical(t, own) for t in b.column(1).to_pylist()])
             out = pa.RecordBatch.from_arrays([b.column(0), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["id", "k1", "k2"])

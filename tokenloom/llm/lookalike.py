@@ -11,6 +11,11 @@ Three steps bring a text into its form:
 The lattice of a position holds *all* letters that look like the one stored,
 and neither the scores nor the prior know which one was stored; so the result
 depends only on what is seen, and texts that look the same become equal.
+
+Latin, Cyrillic and Greek letters are told apart by a fixed table; the letters
+of all other scripts (and the rarer ones of these) come from the public list of
+confusable characters that Spark's ICU library carries: a letter whose skeleton
+is one ASCII letter of the same case looks like it.
 """
 
 from __future__ import annotations
@@ -18,23 +23,25 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import spread
+from .frames import cut, expand, spread
 
-LATIN, CYRILLIC, GREEK = 0, 1, 2
+LATIN, CYRILLIC, GREEK, OTHER = 0, 1, 2, 3
 # Letters that look alike, as (Latin, Cyrillic, Greek); "." where a script has none.
 ALIKE = """
-AАΑ BВΒ CСϹ EЕΕ FϜ. HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ SЅ. TТΤ XХΧ YУΥ Z.Ζ
-aаα cсϲ eе. hһ. iіι jј. oоο pрρ q ԛ. sѕ. u.υ v.ν wԝ. xхχ yуγ dԁ. lӏ.
-""".replace("q ԛ.", "qԛ.").replace("FϜ.", "F.Ϝ").split()
+AАΑ BВΒ CСϹ EЕΕ F.Ϝ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ SЅ. TТΤ XХΧ YУΥ Z.Ζ
+aаα cсϲ eе. hһ. iіι jј. oоο pрρ qԛ. sѕ. u.υ v.ν wԝ. xхχ yуγ dԁ. lӏ.
+""".split()
 # Letters without a look-alike that show which script a text is in.
 EVIDENCE = ("gkmnrtbfz", "бвгджзиклмнптчшыья", "βδεηθλμξπσςτφψω")
 EVIDENCE_ENOUGH = 20
@@ -45,6 +52,13 @@ for _row in ALIKE:
     _ALTERNATIVES[next(c for c in _row if c != ".")] = [(s, c) for s, c in enumerate(_row) if c != "."]
 _SKELETON = {ord(c): seen for seen, row in _ALTERNATIVES.items() for _, c in row if c != seen}
 _SKELETON |= {0x04C0: "I", 0x04AE: "Y", 0x0261: "g", 0x0251: "a"}
+# The code points without width (Default_Ignorable_Code_Point), and the alphabets where the table above decides or nothing looks Latin.
+IGNORABLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
+DECIDED = ((0x00, 0x130), (0x132, 0x17F), (0x386, 0x3CE), (0x400, 0x45F), (0x590, 0x8FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xFB1D, 0xFEFC))
+
+
+def _in(c: int, ranges: tuple[tuple[int, int], ...]) -> bool:
+    return any(a <= c <= b for a, b in ranges)
 
 
 def _fold_table() -> dict[int, str | None]:
@@ -55,7 +69,7 @@ def _fold_table() -> dict[int, str | None]:
         kind = unicodedata.category(ch)
         if kind == "Zs":
             out[c] = " "
-        elif kind == "Cf" and not 0x600 <= c <= 0x605 or 0xFE00 <= c <= 0xFE0F or c == 0x34F:
+        elif kind == "Cf" and not 0x600 <= c <= 0x605 or _in(c, IGNORABLE):
             out[c] = None
         else:
             tag, _, rest = unicodedata.decomposition(ch).partition(" ")
@@ -63,7 +77,7 @@ def _fold_table() -> dict[int, str | None]:
                 tag == "<compat>" and all(unicodedata.category(chr(int(x, 16)))[0] == "L" for x in rest.split())
             ):
                 out[c] = "".join(chr(int(x, 16)) for x in rest.split())
-    for c in range(0xE0001, 0xE01F0):
+    for c in range(0xE0000, 0xE1000):
         out[c] = None
     return out
 
@@ -76,7 +90,7 @@ _TO_FOLD = re.compile(
     "[\u00a0\u00ad\u00b5\u0132\u0133\u013f\u0140\u0149\u017f\u01c4-\u01cc\u01f1-\u01f3\u034f\u0370-\u03ff"
     "\u0530-\u200f\u2011\u2028-\u202f\u205f-\u218f\u2460-\u24ff\u2c60-\U0010ffff]"
 )
-_UNUSUAL = re.compile("[ɡɑ̀-ͯͰ-ϿЀ-ԯ᪰-᫿᷀-᷿ἀ-῿]")
+_UNUSUAL = "ɡɑ̀-ͯͰ-ϿЀ-ԯ᪰-᫿᷀-᷿ἀ-῿"
 _TOKEN = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[̀-ͯ])*")
 _HAS_ALIKE = re.compile("[" + "".join(_ALTERNATIVES) + "]")
 
@@ -90,16 +104,54 @@ def _index_of(c: str) -> int:
     return _INDEX.get(c.lower(), 0)
 
 
+def _script_name(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0]
+
+
+@lru_cache(1)
+def confusable_letters(spark: SparkSession) -> dict[str, str]:
+    """Letters outside the decided alphabets that look like one ASCII letter of their case, by the skeletons of Spark's ICU library."""
+    letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and not _in(c, DECIDED) and c not in _FOLD and c not in _SKELETON]
+    try:
+        skeletons = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    except (AttributeError, TypeError):
+        warnings.warn("no ICU library in this session: only Latin, Cyrillic and Greek look-alikes are known", stacklevel=2)
+        return {}
+    same_case = {"Lu": str.isupper, "Ll": str.islower, "Lo": str.isalpha}
+    out: dict[str, str] = {}
+    taken: set[tuple[str, str]] = set()
+    for c, seen in zip(letters, skeletons, strict=True):
+        if len(seen) == 1 and seen.isascii() and seen.isalpha() and same_case[unicodedata.category(c)](seen):
+            # Of several letters of another script only the first is meant: they are told apart in its words.
+            known = (_script_name(c), seen)
+            if known not in taken or known[0] in ("LATIN", "CYRILLIC", "GREEK"):
+                out[c] = seen
+                taken.add(known)
+    return out
+
+
 @dataclass
 class ScriptModel:
-    """Log scores of a letter after another of its script; counts come from all texts."""
+    """Log scores of a letter after another of its script, counted over all texts, and the letters of other scripts that look like an ASCII one."""
 
     counts: np.ndarray
+    alike: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         total = self.counts.sum(1, keepdims=True) + 0.5 * _N
         self.log = np.maximum(np.log((self.counts + 0.5) / total), _FLOOR)
         self.memo: dict[tuple[str, tuple[float, ...]], str] = {}
+        self.skeleton = _SKELETON | {ord(c): seen for c, seen in self.alike.items()}
+        self.unusual = re.compile(f"[{_UNUSUAL}{''.join(map(re.escape, self.alike))}]")
+        # By script the letter that stands for each ASCII letter in its words: the first one.
+        self.own: dict[str, dict[str, str]] = {}
+        for c, seen in self.alike.items():
+            self.own.setdefault(_script_name(c), {}).setdefault(seen, c)
+        for name in ("LATIN", "CYRILLIC", "GREEK"):
+            self.own.pop(name, None)
+
+    def __reduce__(self):
+        return ScriptModel, (self.counts, self.alike)
 
     def resolve(self, token: str, prior: tuple[float, ...]) -> str:
         """The best look-alike path for one token given as seen (Latin representatives)."""
@@ -113,7 +165,10 @@ class ScriptModel:
 
     def _viterbi(self, token: str, prior: tuple[float, ...]) -> str:
         # A letter without a look-alike fixes the script of its token; only without one does the text's script count.
-        weight = 0.0 if any(c not in _ALTERNATIVES and _script(c) >= 0 and not unicodedata.combining(c) for c in token) else _PRIOR_WEIGHT
+        fixed = [c for c in token if c not in _ALTERNATIVES and not unicodedata.combining(c)]
+        named = [] if token.isascii() else [_script_name(c) for c in fixed if _script(c) < 0]
+        own = next((self.own[x] for x in named if x in self.own), {})
+        weight = 0.0 if own or any(_script(c) >= 0 for c in fixed) else _PRIOR_WEIGHT
         best: list[tuple[float, int, str, tuple]] = [(0.0, -1, "", ())]
         for c in token:
             options = _ALTERNATIVES.get(c)
@@ -121,7 +176,9 @@ class ScriptModel:
                 if unicodedata.combining(c):
                     best = [(score, s, last, (path, c)) for score, s, last, path in best]
                     continue
-                options = [(_script(c), c)]
+                options = [(OTHER if own and _script(c) < 0 else _script(c), c)]
+            if c in own:
+                options = [*options, (OTHER, own[c])]
             step = []
             for s, letter in options:
                 top = None
@@ -130,7 +187,7 @@ class ScriptModel:
                         value = score + float(self.log[_index_of(last) if last else 0, _index_of(letter)])
                     else:
                         value = score + _SWITCH
-                    if s >= 0:
+                    if weight and s >= 0:
                         value += weight * prior[s]
                     if top is None or value > top[0]:
                         top = (value, s, letter, (path, letter))
@@ -163,14 +220,14 @@ def form(text: str, model: ScriptModel) -> str:
         if _TO_FOLD.search(text):
             text = text.translate(_FOLD)
         text = unicodedata.normalize("NFC", text)
-    if (text.isascii() or not _UNUSUAL.search(text)) and _evidence(text, EVIDENCE[LATIN]) >= EVIDENCE_ENOUGH:
+    if (text.isascii() or not model.unusual.search(text)) and _evidence(text, EVIDENCE[LATIN]) >= EVIDENCE_ENOUGH:
         return text
-    seen = unicodedata.normalize("NFD", text).translate(_SKELETON)
+    seen = unicodedata.normalize("NFD", text).translate(model.skeleton)
     known = [_evidence(seen, letters) for letters in EVIDENCE]
     total = sum(known) + 3
     prior = tuple(round(2 * math.log((k + 1) / total)) / 2 for k in known)
     resolve = model.resolve
-    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: resolve(m[0], prior) if _HAS_ALIKE.search(m[0]) else m[0], seen))
+    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: resolve(m[0], prior) if _HAS_ALIKE.search(m[0]) or model.own and not m[0].isascii() else m[0], seen))
 
 
 def script_model(df: DataFrame, text_col: str = "text") -> ScriptModel:
@@ -204,7 +261,7 @@ def script_model(df: DataFrame, text_col: str = "text") -> ScriptModel:
     rows = spread(df.select(F.col(text_col))).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     for pair, n in rows.collect():  # bounded by the alphabet: 16,384 rows
         counts[pair] = n
-    return ScriptModel(counts.reshape(_N, _N))
+    return ScriptModel(counts.reshape(_N, _N), confusable_letters(df.sparkSession))
 
 
 def essays_once(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -221,11 +278,9 @@ def with_form(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
     Empty texts have an empty form; repeated rows stay; ties cannot arise.
     """
     rows = essays_once(df, id_col, text_col)
-    model = model or script_model(rows)
-    counts = model.counts
+    own = model or script_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ScriptModel(counts)
         for b in batches:
             out = pa.array([form(t, own) for t in b.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["id", "text", "form"])
@@ -236,12 +291,11 @@ def with_form(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
 def form_keys(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", model: ScriptModel | None = None) -> DataFrame:
     """(id, f1, f2, raw): 128-bit key of the form and 64-bit key of the stored string of each record with at least 20 letters and digits."""
     rows = essays_once(df, id_col, text_col)
-    counts = (model or script_model(rows)).counts
+    own = model or script_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .kernel import letters_hash
 
-        own = ScriptModel(counts)
         for b in batches:
             texts = b.column(1).to_pylist()
             forms = [form(t, own) for t in texts]
@@ -259,16 +313,38 @@ def form_keys(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
     return spread(rows).mapInArrow(run, "id long, f1 long, f2 long, raw long")
 
 
+_CLASS = ["f1", "f2", "raw"]
+
+
+def _keys_once(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The form keys of one row per id (of differing ones the smallest keys), as a written table."""
+    return cut(form_keys(df, id_col, text_col).groupBy("id").agg(F.min(F.struct(*_CLASS)).alias("k")).select("id", "k.*"))
+
+
 def same_looking_pairs(df: DataFrame, id_col: str = "essay_id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b), a < b: records equal in form but not as strings.
 
     Repeated rows of a key count once (of differing ones the smallest keys).
-    Only groups that hold at least two different strings are joined; a hot
-    group is split by Spark's skew handling, as the join is a plain equi-join.
+    Equal strings are one class; classes of one form are joined with each
+    other, and only those pairs of classes are expanded to their members, the
+    members of hot classes over salts.
+    """
+    keys = _keys_once(df, id_col, text_col)
+    classes = keys.groupBy(*_CLASS).agg(F.count(F.lit(1)).alias("n"))
+    mixed = classes.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1").select("f1", "f2")
+    held = cut(classes.join(mixed, ["f1", "f2"], "left_semi").select(*_CLASS))
+    pairs = held.join(held.select("f1", "f2", F.col("raw").alias("raw_b")), ["f1", "f2"]).where("raw < raw_b")
+    once = expand(pairs, keys.withColumnRenamed("id", "x"), _CLASS).select("x", "f1", "f2", F.col("raw_b").alias("raw"))
+    both = expand(once, keys.withColumnRenamed("id", "y"), _CLASS)
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def same_looking_groups(df: DataFrame, id_col: str = "essay_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_strings): every record that takes part, the smallest id that looks the same, and the number of different strings that do.
+
+    Classes are counted by form and string first, so no class meets in one task.
     """
-    keys = form_keys(df, id_col, text_col).groupBy("id").agg(F.min(F.struct("f1", "f2", "raw")).alias("k")).select("id", "k.*")
-    mixed = keys.groupBy("f1", "f2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("f1", "f2")
-    left = keys.join(mixed, ["f1", "f2"], "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw"))
-    return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    keys = _keys_once(df, id_col, text_col)
+    classes = keys.groupBy(*_CLASS).agg(F.min("id").alias("least"))
+    forms = classes.groupBy("f1", "f2").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_strings"))
+    return expand(forms, keys.select("id", "f1", "f2"), ["f1", "f2"]).select("id", "class_id", "n_strings")

@@ -116,7 +116,7 @@ def _signed(v: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(v, np.uint64).view(np.int64))
 
 
-def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: np.ndarray | None, damage: np.ndarray | None) -> DataFrame:
+def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: ScriptModel | None, damage: np.ndarray | None) -> DataFrame:
     """(id, k1, k2, s1, s2, sketch, bits) of every record that takes part."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
@@ -125,7 +125,6 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: np.ndar
         from .kernel import Words, blocks, distinct_by_doc, letters_hash, mix64
         from .mojibake import repair, suspicious
 
-        own = ScriptModel(script) if script is not None else None
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             good = np.ones(len(texts), bool)
@@ -133,7 +132,7 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: np.ndar
                 for i in np.flatnonzero(suspicious(texts)):
                     good[i] = not repair(texts[i], damage)[0]
             at = np.flatnonzero(good)
-            folded = [(form(texts[i], own) if own else texts[i]).replace("\r\n", "\n").casefold() for i in at]
+            folded = [(form(texts[i], script) if script else texts[i]).replace("\r\n", "\n").casefold() for i in at]
             for lo, hi in blocks(folded):
                 part = folded[lo:hi]
                 h1, h2, n = letters_hash([sort_entries(t) if ":" in t else t for t in part])
@@ -207,15 +206,14 @@ def segment_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cid", F.explode(F.array(*[key(i) for i in range(SEGMENTS)])).alias("key")).select("key", "cid")
 
 
-def _texts_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, script: np.ndarray | None) -> DataFrame:
+def _texts_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, script: ScriptModel | None) -> DataFrame:
     """(id, shingles), one row per id, of the given ids (and of a few others if a filter picks them)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ScriptModel(script) if script is not None else None
         for b in batches:
             texts = b.column(1).to_pylist()
-            sets = shingle_sets([form(t, own) for t in texts] if own else texts, k)
+            sets = shingle_sets([form(t, script) for t in texts] if script else texts, k)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], names=["id", "shingles"])
@@ -290,7 +288,7 @@ def near_copies(df: DataFrame, id_col: str = "essay_id", text_col: str = "text",
     finds candidates by prefixes alone.
     """
     rows = df.select(F.col(id_col), F.col(text_col))
-    script = script_model(rows, text_col).counts if formed else None
+    script = script_model(rows, text_col) if formed else None
     damage = None
     if skip_damaged:
         from .mojibake import bigram_model

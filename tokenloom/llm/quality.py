@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import spread
-from .lookalike import ScriptModel, form, script_model
+from .lookalike import form, script_model
 
 # The commonest function words of English, Spanish, French, German, Portuguese, Russian and Polish.
 COMMON = """
@@ -131,18 +131,17 @@ def quality(df: DataFrame, id_col: str = "essay_id", text_col: str = "text") ->
     from .mojibake import bigram_model
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    script, damage = script_model(rows).counts, bigram_model(rows)
+    script, damage = script_model(rows), bigram_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .mojibake import repair, suspicious
 
-        own = ScriptModel(script)
         for b in batches:
             texts = b.column(1).to_pylist()
             n_chars = np.array([len(t) for t in texts], np.int64)
             for i in np.flatnonzero(suspicious(texts)):
                 texts[i] = repair(texts[i], damage)[1]
-            stats = statistics([form(t, own) for t in texts])
+            stats = statistics([form(t, script) for t in texts])
             shown = [pa.array(np.round(stats[c], 6)) for c in STATS[1:7]]
             cols = [b.column(0), pa.array(n_chars), pa.array(stats["n_words"].astype(np.int64)), *shown, pa.array(reasons(stats, n_chars), pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_chars", "n_words", *STATS[1:7], "reason"])

@@ -30,6 +30,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("essay_id_a"), F.col("id_b").alias("essay_id_b"))
 
 
+@_query
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per essay that takes part: the class of what looks the same and its number of different strings."""
+    return lookalike.same_looking_groups(_essays(spark, d)).withColumnRenamed("id", "essay_id")
+
+
 @_query
 def p1_form(spark: SparkSession, d: str) -> DataFrame:
     forms = lookalike.with_form(_essays(spark, d))
