@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tokenloom.llm import mojibake
-from tokenloom.llm.mojibake import repair, suspicious, undo_utf8
+from tokenloom.llm.mojibake import repair, repairs, undo_utf8
 
 TEXTS = [
     "La élève que Marie a quitté était plus étrange que la règle, où l’on a traversé un musée fragile.",
@@ -30,10 +30,12 @@ def misread(text, codec):
     return "".join(chr(b) if b < 0x80 else chars[b - 0x80] for b in text.encode())
 
 
-@pytest.mark.parametrize("codec", ["cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r"])
+@pytest.mark.parametrize("codec", mojibake.LEGACY)
 @pytest.mark.parametrize("text", TEXTS)
-def test_utf8_misread_is_restored(text, codec):
-    assert undo_utf8(misread(text, codec)) == text
+def test_utf8_misread_is_restored(text, codec, model):
+    """Two of the many are also well-formed in an alike encoding or letters that could stand there: there one letter may be left."""
+    restored = undo_utf8(misread(text, codec), model)
+    assert restored == text or codec in ("iso8859_2", "iso8859_5") and sum(c not in restored for c in text) <= 2
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -54,8 +56,8 @@ def test_correct_text_is_left_alone(text, model):
 def test_one_legacy_encoding_read_as_another(written, read, n, model):
     text = TEXTS[n]
     damaged = "".join(chr(b) if b < 0x80 else mojibake.byte_chars(read)[b - 0x80] for b in text.encode(written))
-    assert suspicious([damaged])[0]
     hit, now, complete = repair(damaged, model)
+    assert repairs(["", damaged, "x"], model) == [(1, now, complete)]
     assert hit and complete and sum(a != b for a, b in zip(now, text, strict=True)) <= 2
 
 
@@ -63,14 +65,6 @@ def test_lost_characters_are_found(model):
     assert repair("Voil� pourquoi", model) == (True, "Voil� pourquoi", False)
 
 
-def test_prefilter_is_a_superset(model):
-    for t in TEXTS:
-        for codec in mojibake.LEGACY:
-            damaged = misread(t, codec)
-            if repair(damaged, model)[0]:
-                assert suspicious([damaged])[0]
-
-
 def confused(text, written, read):
     """Text written in one one-byte encoding and read as another; what the first lacks is left out."""
     return "".join(chr(b) if b < 0x80 else mojibake.byte_chars(read)[b - 0x80] for b in text.encode(written, "ignore"))
@@ -79,8 +73,8 @@ def confused(text, written, read):
 @pytest.mark.parametrize(("written", "read", "n"), [("latin_1", "cp1251", 1), ("latin_1", "cp1251", 2), ("latin_1", "cp1251", 3), ("cp1252", "cp1251", 0), ("cp1250", "cp1251", 5), ("cp1252", "cp1250", 0), ("cp1252", "iso8859_2", 3)])
 def test_western_text_with_isolated_letters(written, read, n, model):
     damaged = confused(TEXTS[n], written, read)
-    assert suspicious([damaged])[0]
     hit, now, complete = repair(damaged, model)
+    assert repairs(["", damaged, "x"], model) == [(1, now, complete)]
     assert hit and complete and sum(a != b for a, b in zip(now, TEXTS[n], strict=True)) <= 2
 
 
@@ -90,13 +84,18 @@ def test_sentence_with_look_alikes_only_is_restored_with_the_rest(model):
     assert not repair("Тhе саt sаt оn thе mаt аnd аtе а сakе. " * 5, model)[0]
 
 
+@pytest.mark.parametrize("codec", mojibake.LEGACY)
+def test_batches_find_what_single_texts_find(codec, model):
+    parts = [x for t in TEXTS for x in (t, misread(t, codec), "", misread(t.split()[1], codec), "\n" + t + "\n")]
+    single = [(i, r[1], r[2]) for i, r in enumerate(repair(t, model) for t in parts) if r[0]]
+    assert repairs(parts, model) == single
+
+
 @pytest.mark.parametrize(("written", "read"), mojibake.CONFUSED)
-def test_prefilter_is_a_superset_for_confused_encodings(written, read, model):
-    parts = TEXTS + [w + " " + w for t in TEXTS for w in t.split()]
-    for t in parts:
-        damaged = confused(t, written, read)
-        if repair(damaged, model)[0]:
-            assert suspicious([damaged])[0], damaged
+def test_batches_find_confused_encodings(written, read, model):
+    parts = [confused(t, written, read) for t in TEXTS + [w + " " + w for t in TEXTS for w in t.split()]]
+    single = [(i, r[1], r[2]) for i, r in enumerate(repair(t, model) for t in parts) if r[0]]
+    assert repairs(parts, model) == single
 
 
 def test_records(spark):
@@ -112,3 +111,12 @@ def test_records(spark):
     assert set(got) == {("essay", 2), ("essay", 5), ("result", 1), ("result", 3), ("result", 6)}
     assert got["essay", 2].restored == TEXTS[0] and got["result", 3].restored.strip() == "déjà"
     assert mojibake.damaged_records(essays.limit(0), results.limit(0)).count() == 0
+
+
+def test_restoration(spark):
+    rows = [(i, TEXTS[i % 6], 0) for i in range(600)] + [(None, TEXTS[0], 0), (700, None, 0), (701, "", 0)]
+    got = mojibake.restoration(spark.createDataFrame(rows, "essay_id long, text string, pair int")).collect()
+    byte = [r for r in got if r.written == "utf_8"]
+    assert len(byte) == len(mojibake.LEGACY) and sum(r.found for r in byte) == sum(r.texts for r in byte)
+    assert sum(r.restored for r in byte) >= 0.95 * sum(r.texts for r in byte)
+    assert mojibake.restoration(spark.createDataFrame([], "essay_id long, text string")).count() == 0

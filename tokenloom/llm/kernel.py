@@ -78,10 +78,15 @@ def alnum_table() -> np.ndarray:
     return out
 
 
-def prefix_hash(values: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """n + 1 prefix sums of mix64(value) * base**position."""
-    out = np.zeros(len(values) + 1, _U)
-    np.multiply(mix64(values), powers(len(values) + 1, base)[0][: len(values)], out=out[1:])
+@lru_cache(1)
+def _mixed() -> np.ndarray:
+    return mix64(np.arange(0x110000))
+
+
+def prefix_hash(cp: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """n + 1 prefix sums of mix64(code point) * base**position."""
+    out = np.zeros(len(cp) + 1, _U)
+    np.multiply(_mixed()[cp], powers(len(cp) + 1, base)[0][: len(cp)], out=out[1:])
     np.cumsum(out, out=out)
     return out
 
@@ -145,7 +150,7 @@ def letters_hash(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count[lo:hi] = np.diff(a)
         h1[lo:hi] = mix64(span_hash(prefix_hash(kept), a[:-1], a[1:]))
         other = 0xC2B2AE3D27D4EB4F
-        h2[lo:hi] = mix64(span_hash(prefix_hash(kept ^ np.uint32(0x5BD1E995), other), a[:-1], a[1:], other))
+        h2[lo:hi] = mix64(span_hash(prefix_hash(kept, other), a[:-1], a[1:], other))
     return h1, h2, count
 
 

@@ -29,7 +29,7 @@ from .frames import spread
 from .lookalike import ALIKE
 
 # Encodings text is commonly misread in, and pairs (written in, misread as).
-LEGACY = ("cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "iso8859_2", "cp1254", "cp1257")
+LEGACY = ("cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "iso8859_2", "cp1254", "cp1257", "cp852", "cp1253", "cp1258", "mac_cyrillic", "iso8859_5")
 CONFUSED = (
     ("cp1251", "latin_1"), ("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"),
     ("koi8_r", "latin_1"), ("cp866", "cp1252"), ("iso8859_2", "latin_1"), ("iso8859_2", "cp1252"), ("cp1250", "cp1252"), ("cp1250", "latin_1"),
@@ -111,30 +111,41 @@ def _codecs_with_spans(text: str) -> int:
     return int(np.bitwise_or.reduce((lead2[cp[at]] & pair) | ((lead3[cp[at]] | lead4[cp[at]]) & pair & more[cp[at + 2]]))) if len(at) else 0
 
 
-def undo_utf8(text: str) -> str:
-    """Decode the well-formed spans of the encoding that explains most characters; repeat for repeated damage."""
-    for _ in range(4):
-        best: tuple[int, list[tuple[int, int, str]]] = (0, [])
+_FOREIGN = re.compile("[^\x00-\x7f]{2,}")
+
+
+def undo_utf8(text: str, model: np.ndarray | None = None) -> str:
+    """Decode the well-formed spans of the encoding that explains most characters; repeat for damage upon damage.
+
+    Of encodings that explain equally much the likeliest text wins if there is
+    a model, else the first.  Each pass shortens the text, so they end.
+    """
+    while True:
+        best, texts = 0, []
         mask = _codecs_with_spans(text)
+        runs = [m.span() for m in _FOREIGN.finditer(text)] if mask else []
         for k, (automaton, to_byte) in enumerate(_automata()):
             if not mask >> k & 1:
                 continue
-            spans = []
-            for m in automaton.finditer(text):
+            out, at, size = [], 0, 0
+            for m in (m for lo, hi in runs for m in automaton.finditer(text, lo, hi)):
                 now = bytes(to_byte[c] for c in m[0]).decode("utf-8")
                 if _believable(text, m.start(), m.end(), now):
-                    spans.append((m.start(), m.end(), now))
-            size = sum(b - a for a, b, _ in spans)
-            if size > best[0]:
-                best = (size, spans)
-        if not best[0]:
-            break
-        out, at = [], 0
-        for a, b, now in best[1]:
-            out += text[at:a], now
-            at = b
-        text = "".join(out) + text[at:]
-    return text
+                    out += text[at : m.start()], now
+                    at = m.end()
+                    size += m.end() - m.start()
+            if size and size >= best:
+                texts = [*(texts if size == best else []), "".join(out) + text[at:]]
+                best = size
+        if not texts:
+            return text
+        text = texts[0] if model is None or len(set(texts)) < 2 else max(texts, key=lambda t: likelihood(t, model))
+
+
+def likelihood(text: str, model: np.ndarray) -> float:
+    """Mean log probability of the text's letters."""
+    ids = _classes()[np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return float(model[ids[:-1], ids[1:]].mean())
 
 
 # --- letter bigrams -------------------------------------------------------
@@ -210,25 +221,19 @@ GAIN_PER_PAIR, GAIN_IN_ALL, LEAST_PAIRS = 1.0, 14.0, 3
 _WRONG_CASE, _LETTER_LOST = 6.0, 6.0
 
 
-def undo_confusion(text: str, model: np.ndarray) -> str:
-    """Undo a one-byte encoding read as another.
-
-    Every sentence is scored as it stands and under each inverse mapping, over
-    the bigrams with a non-ASCII character.  A mapping is accepted if the
-    sentences it makes clearly more likely gain enough in all.
-    """
-    whole = np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    cp = np.minimum(whole, _TOP - 1)
+def _gains(cp: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each sentence with a non-ASCII character: its first such position, its number, and under each inverse mapping the gain, whether that is clear, and whether it counts as evidence."""
     pairs = np.flatnonzero((cp[1:] >= 0x80) | (cp[:-1] >= 0x80))
-    if len(pairs) < LEAST_PAIRS:
-        return text
     tables, classes, upper, lower = _inverse()
     sentence = np.cumsum(_STOP[cp])
     first = np.flatnonzero(np.diff(sentence[pairs], prepend=-1))
-    before, here, after = cp[pairs - 1], cp[pairs], cp[pairs + 1]
+    # Every different stretch of three characters is scored once.
+    at = pairs.astype(np.int64)
+    threes, inverse = np.unique((cp[at - 1].astype(np.int64) * _TOP + cp[at]) * _TOP + cp[at + 1], return_inverse=True)
+    before, here, after = threes // (_TOP * _TOP), threes // _TOP % _TOP, threes % _TOP
     now, ids = tables[:, here], classes[:, here]
     score = model[ids, classes[:, after]].astype(np.float64)
-    odd_case = (lower[:, before] & upper[:, here] & ~upper[:, after]) & (now >= 0x80) & (pairs > 0)
+    odd_case = (lower[:, before] & upper[:, here] & ~upper[:, after]) & (now >= 0x80)
     score -= _WRONG_CASE * odd_case
     control = (now >= 0x7F) & (now < 0xA0)
     score -= _WRONG_CASE * control
@@ -236,19 +241,54 @@ def undo_confusion(text: str, model: np.ndarray) -> str:
     score[1:] -= _LETTER_LOST * (letter[0] & ~letter[1:])
     # A sign no writer puts beside a letter must not appear where there was none.
     score[1:] -= 2 * _WRONG_CASE * ((ids[1:] == _ODD) & (ids[0] != _ODD))
+    score = score[:, inverse]
     sums = np.add.reduceat(score, first, axis=1)
     n = np.diff(np.append(first, len(pairs)))
     gain = sums[1:] - sums[0]
     clear = gain > GAIN_PER_PAIR * n
     # Look-alike letters alone inside Latin words are no sign of a Cyrillic encoding.
     counts = clear.copy()
-    counts[np.ix_(_FROM_CYRILLIC, _disguised(cp, sentence)[sentence[pairs[first]]])] = False
+    at = pairs[first]
+    counts[np.ix_(_FROM_CYRILLIC, _disguised(cp, sentence)[sentence[at]])] = False
+    return at, sentence, gain, clear, counts
+
+
+def confused(texts: list[str], model: np.ndarray) -> np.ndarray:
+    """Which texts ``undo_confusion`` changes, all at once: no sentence reaches over the line feed between two texts."""
+    from .kernel import blocks, codes
+
+    out = np.zeros(len(texts), bool)
+    for lo, hi in blocks(texts, 300_000):
+        cp, start = codes(texts[lo:hi])
+        if cp.max() < 0x80:
+            continue
+        cp = np.concatenate([[10], np.minimum(cp, _TOP - 1)]).astype(np.uint32)
+        at, _, gain, _, counts = _gains(cp, model)
+        doc = np.searchsorted(start, at, "right") - 1
+        edge = np.flatnonzero(np.diff(doc, prepend=-1))
+        total = np.add.reduceat(np.where(counts, gain, 0), edge, axis=1)
+        out[lo + doc[edge]] = total.max(0) > GAIN_IN_ALL
+    return out
+
+
+def undo_confusion(text: str, model: np.ndarray) -> str:
+    """Undo a one-byte encoding read as another.
+
+    Every sentence is scored as it stands and under each inverse mapping, over
+    the bigrams with a non-ASCII character.  A mapping is accepted if the
+    sentences it makes clearly more likely gain enough in all.
+    """
+    whole = np.frombuffer(("\n" + text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    cp = np.minimum(whole, _TOP - 1)
+    if np.count_nonzero((cp[1:] >= 0x80) | (cp[:-1] >= 0x80)) < LEAST_PAIRS:
+        return text
+    at, sentence, gain, clear, counts = _gains(cp, model)
     total = np.where(counts, gain, 0).sum(1)
     best = int(total.argmax())
     if total[best] <= GAIN_IN_ALL:
         return text
-    take = np.isin(sentence, sentence[pairs[first]][clear[best]])
-    out = np.where(take & (whole < _TOP), tables[best + 1][cp], whole)
+    take = np.isin(sentence, sentence[at][clear[best]])
+    out = np.where(take & (whole < _TOP), _inverse()[0][best + 1][cp], whole)
     return out[1:-1].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
@@ -265,11 +305,8 @@ def _disguised(cp: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     return count(mixed) & ~count(mixed & ~_ALIKE[cp])
 
 
-def suspicious(texts: list[str]) -> np.ndarray:
-    """A superset of the texts either repair can change, from code points alone.
-
-    A confusion needs LEAST_PAIRS bigrams with a non-ASCII character, which two such characters always make and one never does.
-    """
+def structured(texts: list[str]) -> np.ndarray:
+    """The texts with the beginning of a multibyte character of any encoding or a replacement character: all that ``undo_utf8`` can change or that are lost."""
     from .kernel import blocks, codes
 
     lead2, lead3, lead4, more = _byte_tables()
@@ -278,22 +315,19 @@ def suspicious(texts: list[str]) -> np.ndarray:
         cp, start = codes(texts[lo:hi])
         if cp.max() < 0x80:
             continue
-        at = np.flatnonzero(cp >= 0x80)
-        doc = np.searchsorted(start, at, "right") - 1
-        out[lo:hi] = np.bincount(doc, minlength=hi - lo)[: hi - lo] >= LEAST_PAIRS - 1
-        at, doc = at[at < len(cp) - 1], doc[at < len(cp) - 1]
+        at = np.flatnonzero(cp[:-1] >= 0x80)
         a, b = cp[at], cp[at + 1]
         c = cp[np.minimum(at + 2, len(cp) - 1)]
         pair = more[b]
         hit = (lead2[a] & pair) | ((lead3[a] | lead4[a]) & pair & more[c]) > 0
         hit |= a == 0xFFFD
-        out[lo + np.unique(doc[hit])] = True
+        out[lo + np.searchsorted(start, at[hit], "right") - 1] = True
     return out
 
 
 @lru_cache(1)
 def _byte_tables() -> tuple[np.ndarray, ...]:
-    lead2, lead3, lead4, more = (np.zeros(0x110000, np.uint16) for _ in range(4))
+    lead2, lead3, lead4, more = (np.zeros(0x110000, np.uint32) for _ in range(4))
     for k, codec in enumerate(LEGACY):
         for i, c in enumerate(byte_chars(codec)):
             b = i + 0x80
@@ -305,11 +339,24 @@ def _byte_tables() -> tuple[np.ndarray, ...]:
 
 def repair(text: str, model: np.ndarray) -> tuple[bool, str, bool]:
     """(damaged, text restored as far as possible, whether no known damage is left)."""
-    now = undo_confusion(undo_utf8(text), model)
+    decoded = undo_utf8(text, model)
+    now = undo_confusion(decoded, model)
+    if decoded != text:
+        # What looks like multibyte spans may come from a one-byte encoding, too.
+        other = undo_confusion(text, model)
+        if other != text:
+            now = max(now, undo_utf8(other, model), key=lambda t: likelihood(t, model))
     lost = "�" in now
     return now != text or lost, now, not lost
 
 
+def repairs(texts: list[str], model: np.ndarray) -> list[tuple[int, str, bool]]:
+    """(index, restored, complete) of the damaged texts; only those that can be damaged are looked at one by one."""
+    maybe = np.flatnonzero(structured(texts) | confused(texts, model))
+    found = ((int(i), *repair(texts[i], model)) for i in maybe)
+    return [(i, now, complete) for i, damaged, now, complete in found if damaged]
+
+
 def repaired(df: DataFrame, id_col: str, text_col: str, model: np.ndarray) -> DataFrame:
     """(id, restored, complete) of the damaged records only.
 
@@ -321,11 +368,9 @@ def repaired(df: DataFrame, id_col: str, text_col: str, model: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            maybe = np.flatnonzero(suspicious(texts))
-            found = [(int(i), *repair(texts[i], model)) for i in maybe]
-            found = [x for x in found if x[1]]
+            found = repairs(texts, model)
             ids = b.column(0).take(pa.array([x[0] for x in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x[2] for x in found], pa.string()), pa.array([x[3] for x in found], pa.bool_())], names=["id", "restored", "complete"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.bool_())], names=["id", "restored", "complete"])
 
     out = spread(rows).mapInArrow(run, "id long, restored string, complete boolean")
     return out.groupBy("id").agg(F.min(F.struct("restored", "complete")).alias("r")).select("id", "r.*")
@@ -354,3 +399,40 @@ def damaged_records(essays: DataFrame, results: DataFrame) -> DataFrame:
     return a.unionByName(b).select("record_set", F.col("id").alias("record_id"), "restored", "complete")
 
 
+def misread(text: str, written: str, read: str) -> str | None:
+    """The text written in one encoding and read in another; None if the first lacks a character of it."""
+    chars = byte_chars(read)
+    try:
+        return "".join(chr(b) if b < 0x80 else chars[b - 0x80] for b in text.encode(written))
+    except UnicodeEncodeError:
+        return None
+
+
+def restoration(essays: DataFrame, id_col: str = "essay_id", text_col: str = "text") -> DataFrame:
+    """(written, read, texts, found, restored): what repair makes of sound texts that are damaged on purpose.
+
+    Every sound text with a non-ASCII character is written and read in one pair
+    of encodings, chosen by its key; counted are the texts, those found, and
+    those restored exactly.  Texts a pair cannot write or does not change take
+    no part, nor do null keys and texts; an empty table gives no rows.
+    """
+    rows = essays.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    model = bigram_model(rows)
+    pairs = [("utf_8", c) for c in LEGACY] + list(CONFUSED)
+    which = F.pmod(F.xxhash64("id"), F.lit(len(pairs))).cast("int").alias("pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(pairs), 3), np.int64)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            sick = {i for i, _, _ in repairs(texts, model)}
+            made = [(k, t, misread(t, *pairs[k])) for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), texts, strict=True)) if i not in sick and not t.isascii()]
+            made = [x for x in made if x[2] is not None and x[2] != x[1]]
+            back = {i: now for i, now, _ in repairs([x[2] for x in made], model)}
+            for i, (k, t, _) in enumerate(made):
+                sums[k] += (1, i in back, back.get(i) == t)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs), dtype=np.int32)), *(pa.array(c) for c in sums.T)], names=["pair", "texts", "found", "restored"])
+
+    counts = spread(rows.select(which, "text")).mapInArrow(run, "pair int, texts long, found long, restored long").groupBy("pair").agg(*(F.sum(c).alias(c) for c in ("texts", "found", "restored"))).where("texts > 0")
+    name = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in pairs]), F.col("pair") + 1)
+    return counts.select(name(0).alias("written"), name(1).alias("read"), "texts", "found", "restored")

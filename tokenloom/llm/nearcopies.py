@@ -123,14 +123,13 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: ScriptM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .formatcopies import sort_entries
         from .kernel import Words, blocks, distinct_by_doc, letters_hash, mix64
-        from .mojibake import repair, suspicious
+        from .mojibake import repairs
 
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             good = np.ones(len(texts), bool)
             if damage is not None:
-                for i in np.flatnonzero(suspicious(texts)):
-                    good[i] = not repair(texts[i], damage)[0]
+                good[[i for i, _, _ in repairs(texts, damage)]] = False
             at = np.flatnonzero(good)
             folded = [(form(texts[i], script) if script else texts[i]).replace("\r\n", "\n").casefold() for i in at]
             for lo, hi in blocks(folded):

@@ -134,13 +134,13 @@ def quality(df: DataFrame, id_col: str = "essay_id", text_col: str = "text") ->
     script, damage = script_model(rows), bigram_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .mojibake import repair, suspicious
+        from .mojibake import repairs
 
         for b in batches:
             texts = b.column(1).to_pylist()
             n_chars = np.array([len(t) for t in texts], np.int64)
-            for i in np.flatnonzero(suspicious(texts)):
-                texts[i] = repair(texts[i], damage)[1]
+            for i, now, _ in repairs(texts, damage):
+                texts[i] = now
             stats = statistics([form(t, script) for t in texts])
             shown = [pa.array(np.round(stats[c], 6)) for c in STATS[1:7]]
             cols = [b.column(0), pa.array(n_chars), pa.array(stats["n_words"].astype(np.int64)), *shown, pa.array(reasons(stats, n_chars), pa.string())]

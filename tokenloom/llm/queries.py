@@ -62,6 +62,12 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.damaged_records(_essays(spark, d), table(spark, d, "tokenization_result"))
 
 
+@_query
+def p3_restoration(spark: SparkSession, d: str) -> DataFrame:
+    """How much of sound essays damaged on purpose is found and restored exactly, by pair of encodings."""
+    return mojibake.restoration(_essays(spark, d))
+
+
 @_query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = nearcopies.near_copy_pairs(_essays(spark, d), k=3, threshold=0.6)
