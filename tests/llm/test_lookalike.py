@@ -61,6 +61,12 @@ def test_one_different_string_among_many_equal_ones(spark):
     assert lookalike.same_looking_groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_batches_equal_single_texts():
+    parts = [LONG + x for x in ("", "ｔｈｅ", "café", "cafe\u0301", "\u212bngstr\u00f6m \u2126", "“a” – b… it’s", "sеcret", "\u1100\u1161", "€ 5", "w\u00adord")]
+    parts += ["", "a", "соса", "Когда ночь открыла эту дорогу", *parts, "é" * 30]
+    assert lookalike.forms(parts, MODEL) == [form(t, MODEL) for t in parts]
+
+
 def test_russian_stays_russian():
     text = "Когда ночь открыла эту дорогу, старая газета уже была там. Сосна и роса, нора, сор."
     assert form(text, MODEL) == text

@@ -89,6 +89,7 @@ def test_batches_find_what_single_texts_find(codec, model):
     parts = [x for t in TEXTS for x in (t, misread(t, codec), "", misread(t.split()[1], codec), "\n" + t + "\n")]
     single = [(i, r[1], r[2]) for i, r in enumerate(repair(t, model) for t in parts) if r[0]]
     assert repairs(parts, model) == single
+    assert np.flatnonzero(mojibake.damaged(parts, model)).tolist() == [i for i, _, _ in single]
 
 
 @pytest.mark.parametrize(("written", "read"), mojibake.CONFUSED)
@@ -96,6 +97,7 @@ def test_batches_find_confused_encodings(written, read, model):
     parts = [confused(t, written, read) for t in TEXTS + [w + " " + w for t in TEXTS for w in t.split()]]
     single = [(i, r[1], r[2]) for i, r in enumerate(repair(t, model) for t in parts) if r[0]]
     assert repairs(parts, model) == single
+    assert np.flatnonzero(mojibake.damaged(parts, model)).tolist() == [i for i, _, _ in single]
 
 
 def test_records(spark):

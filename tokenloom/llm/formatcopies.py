@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut, spread
-from .lookalike import MIN_LETTERS, ScriptModel, essays_once, form, script_model
+from .lookalike import MIN_LETTERS, ScriptModel, essays_once, forms, script_model
 
 _EMPTY_LINE = re.compile(r"\n[^\S\n]*\n")
 _FIRST_NAME = re.compile(r"[\W_]{0,40}[^\W_]+[^\w\s:]{0,8}\s?:")
@@ -45,10 +45,10 @@ def sort_entries(text: str) -> str:
     return "\n".join([parts[0], *sorted(entries), "", text[gap.end() :]])
 
 
-def canonical(text: str, model: ScriptModel) -> str:
-    """Case-folded form with sorted entries; two records are copies if this has the same letters and digits."""
-    folded = form(text, model).replace("\r\n", "\n").casefold()
-    return sort_entries(folded) if ":" in folded else folded
+def canonical(texts: list[str], model: ScriptModel) -> list[str]:
+    """Case-folded forms with sorted entries; two records are copies if these have the same letters and digits."""
+    folded = (t.replace("\r\n", "\n").casefold() for t in forms(texts, model))
+    return [sort_entries(t) if ":" in t else t for t in folded]
 
 
 def copy_keys(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", model: ScriptModel | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def copy_keys(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
         from .kernel import letters_hash
 
         for b in batches:
-            h1, h2, n = letters_hash([canonical(t, own) for t in b.column(1).to_pylist()])
+            h1, h2, n = letters_hash(canonical(b.column(1).to_pylist(), own))
             out = pa.RecordBatch.from_arrays([b.column(0), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["id", "k1", "k2"])
             yield out.filter(pa.array(n >= MIN_LETTERS))
 

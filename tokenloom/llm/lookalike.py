@@ -140,8 +140,10 @@ class ScriptModel:
     def __post_init__(self) -> None:
         total = self.counts.sum(1, keepdims=True) + 0.5 * _N
         self.log = np.maximum(np.log((self.counts + 0.5) / total), _FLOOR)
-        self.memo: dict[tuple[str, tuple[float, ...]], str] = {}
-        self.skeleton = _SKELETON | {ord(c): seen for c, seen in self.alike.items()}
+        self.memo: dict[tuple[float, ...], dict[str, str]] = {}
+        self.skeleton = np.arange(0x110000, dtype="<u4")
+        for c, seen in (_SKELETON | {ord(c): seen for c, seen in self.alike.items()}).items():
+            self.skeleton[c] = ord(seen)
         self.unusual = re.compile(f"[{_UNUSUAL}{''.join(map(re.escape, self.alike))}]")
         # By script the letter that stands for each ASCII letter in its words: the first one.
         self.own: dict[str, dict[str, str]] = {}
@@ -155,14 +157,21 @@ class ScriptModel:
 
     def resolve(self, token: str, prior: tuple[float, ...]) -> str:
         """The best look-alike path for one token given as seen (Latin representatives)."""
-        key = (token, prior)
-        found = self.memo.get(key)
+        known = self.memo.setdefault(prior, {})
+        found = known.get(token)
         if found is None:
-            if len(self.memo) > 200_000:
+            if len(known) > 200_000 or len(self.memo) > 1000:
                 self.memo.clear()
-            found = self.memo[key] = self._viterbi(token, prior)
+                known = self.memo[prior] = {}
+            open_ = _HAS_ALIKE.search(token) or self.own and not token.isascii()
+            found = known[token] = self._viterbi(token, prior) if open_ else token
         return found
 
+    def seen(self, text: str) -> str:
+        """The text with the letter that stands for all that look like it."""
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.skeleton[cp].tobytes().decode("utf-32-le", "surrogatepass")
+
     def _viterbi(self, token: str, prior: tuple[float, ...]) -> str:
         # A letter without a look-alike fixes the script of its token; only without one does the text's script count.
         fixed = [c for c in token if c not in _ALTERNATIVES and not unicodedata.combining(c)]
@@ -217,17 +226,42 @@ def form(text: str, model: ScriptModel) -> str:
     is then the best one of every lattice, as the tests check.
     """
     if not text.isascii():
-        if _TO_FOLD.search(text):
-            text = text.translate(_FOLD)
+        text = _TO_FOLD.sub(lambda m: _FOLD.get(ord(m[0]), m[0]) or "", text)
         text = unicodedata.normalize("NFC", text)
     if (text.isascii() or not model.unusual.search(text)) and _evidence(text, EVIDENCE[LATIN]) >= EVIDENCE_ENOUGH:
         return text
-    seen = unicodedata.normalize("NFD", text).translate(model.skeleton)
+    seen = model.seen(unicodedata.normalize("NFD", text))
     known = [_evidence(seen, letters) for letters in EVIDENCE]
     total = sum(known) + 3
     prior = tuple(round(2 * math.log((k + 1) / total)) / 2 for k in known)
-    resolve = model.resolve
-    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: resolve(m[0], prior) if _HAS_ALIKE.search(m[0]) or model.own and not m[0].isascii() else m[0], seen))
+    resolve, known = model.resolve, model.memo.setdefault(prior, {})
+    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: known.get(m[0]) or resolve(m[0], prior), seen))
+
+
+@lru_cache(4)
+def _plain(unusual: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Characters that call for no step of ``form``, and the letters that show the Latin script."""
+    plain, shows = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    plain[:0x250] = [not _TO_FOLD.match(chr(c)) and not unusual.match(chr(c)) for c in range(0x250)]
+    for a, b in ((0x2010, 0x2010), (0x2012, 0x2027), (0x2030, 0x205E)):
+        plain[a : b + 1] = True
+    shows[[ord(c) for c in EVIDENCE[LATIN]]] = True
+    return plain, shows
+
+
+def forms(texts: list[str], model: ScriptModel) -> list[str]:
+    """The forms of texts; those of plain characters that show enough Latin are told at once and stay as they are."""
+    from .kernel import blocks, codes
+
+    plain, shows = _plain(model.unusual)
+    out = list(texts)
+    for lo, hi in blocks(texts):
+        cp, start = codes(texts[lo:hi])
+        odd = np.add.reduceat(~plain[cp], start[:-1], dtype=np.int64) > 0
+        known = np.add.reduceat(shows[cp], start[:-1], dtype=np.int64) >= EVIDENCE_ENOUGH
+        for i in np.flatnonzero(odd | ~known).tolist():
+            out[lo + i] = form(texts[lo + i], model)
+    return out
 
 
 def script_model(df: DataFrame, text_col: str = "text") -> ScriptModel:
@@ -282,7 +316,7 @@ def with_form(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pa.array([form(t, own) for t in b.column(1).to_pylist()], pa.string())
+            out = pa.array(forms(b.column(1).to_pylist(), own), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["id", "text", "form"])
 
     return spread(rows).mapInArrow(run, "id long, text string, form string")
@@ -298,9 +332,9 @@ def form_keys(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
 
         for b in batches:
             texts = b.column(1).to_pylist()
-            forms = [form(t, own) for t in texts]
-            keep = letters_hash(forms)[2] >= MIN_LETTERS
-            digest = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")) for x in forms]
+            formed = forms(texts, own)
+            keep = letters_hash(formed)[2] >= MIN_LETTERS
+            digest = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")) for x in formed]
             signed = lambda v: np.array(v, np.uint64).view(np.int64)
             cols = [
                 b.column(0),

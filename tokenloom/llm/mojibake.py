@@ -267,7 +267,9 @@ def confused(texts: list[str], model: np.ndarray) -> np.ndarray:
         doc = np.searchsorted(start, at, "right") - 1
         edge = np.flatnonzero(np.diff(doc, prepend=-1))
         total = np.add.reduceat(np.where(counts, gain, 0), edge, axis=1)
-        out[lo + doc[edge]] = total.max(0) > GAIN_IN_ALL
+        odd = np.concatenate([[0], np.cumsum((cp[1:] >= 0x80) | (cp[:-1] >= 0x80))])
+        enough = odd[np.minimum(start[doc[edge] + 1], len(odd) - 1)] - odd[start[doc[edge]]] >= LEAST_PAIRS
+        out[lo + doc[edge]] = (total.max(0) > GAIN_IN_ALL) & enough
     return out
 
 
@@ -357,6 +359,25 @@ def repairs(texts: list[str], model: np.ndarray) -> list[tuple[int, str, bool]]:
     return [(i, now, complete) for i, damaged, now, complete in found if damaged]
 
 
+def damaged(texts: list[str], model: np.ndarray) -> np.ndarray:
+    """Which texts are damaged, without restoring them."""
+    out = confused(texts, model)
+    for i in np.flatnonzero(structured(texts) & ~out):
+        out[i] = "\ufffd" in texts[i] or _has_span(texts[i])
+    return out
+
+
+def _has_span(text: str) -> bool:
+    mask = _codecs_with_spans(text)
+    runs = [m.span() for m in _FOREIGN.finditer(text)] if mask else []
+    for k, (automaton, to_byte) in enumerate(_automata()):
+        if mask >> k & 1:
+            for m in (m for lo, hi in runs for m in automaton.finditer(text, lo, hi)):
+                if _believable(text, m.start(), m.end(), bytes(to_byte[c] for c in m[0]).decode("utf-8")):
+                    return True
+    return False
+
+
 def repaired(df: DataFrame, id_col: str, text_col: str, model: np.ndarray) -> DataFrame:
     """(id, restored, complete) of the damaged records only.
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .frames import cut, expand, only_ids, spread
-from .lookalike import MIN_LETTERS, ScriptModel, form, script_model
+from .lookalike import MIN_LETTERS, ScriptModel, forms, script_model
 
 SEGMENTS, WIDTH = 48, 4
 #: Longest chain that is tested, and the largest bucket that is paired up.
@@ -123,15 +123,16 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, k: int, script: ScriptM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .formatcopies import sort_entries
         from .kernel import Words, blocks, distinct_by_doc, letters_hash, mix64
-        from .mojibake import repairs
+        from .mojibake import damaged
 
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             good = np.ones(len(texts), bool)
             if damage is not None:
-                good[[i for i, _, _ in repairs(texts, damage)]] = False
+                good = ~damaged(texts, damage)
             at = np.flatnonzero(good)
-            folded = [(form(texts[i], script) if script else texts[i]).replace("\r\n", "\n").casefold() for i in at]
+            live = [texts[i] for i in at]
+            folded = [t.replace("\r\n", "\n").casefold() for t in (forms(live, script) if script else live)]
             for lo, hi in blocks(folded):
                 part = folded[lo:hi]
                 h1, h2, n = letters_hash([sort_entries(t) if ":" in t else t for t in part])
@@ -212,7 +213,7 @@ def _texts_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            sets = shingle_sets([form(t, script) for t in texts] if script else texts, k)
+            sets = shingle_sets(forms(texts, script) if script else texts, k)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], names=["id", "shingles"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import spread
-from .lookalike import form, script_model
+from .lookalike import forms, script_model
 
 # The commonest function words of English, Spanish, French, German, Portuguese, Russian and Polish.
 COMMON = """
@@ -141,7 +141,7 @@ def quality(df: DataFrame, id_col: str = "essay_id", text_col: str = "text") ->
             n_chars = np.array([len(t) for t in texts], np.int64)
             for i, now, _ in repairs(texts, damage):
                 texts[i] = now
-            stats = statistics([form(t, script) for t in texts])
+            stats = statistics(forms(texts, script))
             shown = [pa.array(np.round(stats[c], 6)) for c in STATS[1:7]]
             cols = [b.column(0), pa.array(n_chars), pa.array(stats["n_words"].astype(np.int64)), *shown, pa.array(reasons(stats, n_chars), pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_chars", "n_words", *STATS[1:7], "reason"])
