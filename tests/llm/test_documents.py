@@ -38,8 +38,20 @@ def test_words_and_hashes():
 PROSE = "The house was old and the garden had not been touched, so we sat there in the sun."
 
 
+COMMON = kernel.Words(["the was and had not been so we in a it as were on to is"]).hash
+COMMON.sort()
+OTHERS = [
+    "Die alte Bücherei war kalt, doch wir saßen lange dort und sprachen über jeden neuen Roman, den Ayşe gelesen hatte.",
+    "Después de comer fuimos a la plaza y hablamos con todos los vecinos, porque hacía sol y nadie quería volver.",
+    "Nous avons visité le musée avant midi, puis nous avons marché jusqu’au port en parlant de ses vieux bateaux.",
+    "Ben de evde kaldım, çünkü dışarıda yağmur yağıyordu; sonra uzun bir mektup yazdım ve erken uyudum.",
+    "Bu kitap çok güzel ama biraz uzun; yüzlerce sayfa boyunca hep aynı evin bahçesi anlatılıyor, orada oturan insanlar konuşuyor.",
+]
+TURKISH = "Evin bahçesi çok eskiydi, bu yüzden orada güneşte oturduk ve uzun süre konuştuk."
+
+
 def test_statistics():
-    s = quality.statistics(["- One two.\n- three 44\n\nend!", ""])
+    s = quality.statistics(["- One two.\n- three 44\n\nend!", ""], COMMON)
     assert s["n_words"].tolist() == [5, 0]
     assert s["mean_word_length"][0] == pytest.approx(16 / 5) and s["letter_words"][0] == pytest.approx(0.8)
     assert s["lines_ending_in_punctuation"][0] == pytest.approx(2 / 3) and s["bullet_lines"][0] == pytest.approx(2 / 3)
@@ -47,11 +59,22 @@ def test_statistics():
 
 
 def test_quality(spark):
-    rows = [(1, PROSE), (2, PROSE.upper().replace(",", "")), (3, "\n".join(f"{i}. apple pear" for i in range(9))), (4, "a1 | b2 | c3\n" * 9), (5, "x"), (6, ""), (7, None), (None, PROSE), (8, "�� ��� " * 20), (9, "o kettle pan\n" * 8), (1, PROSE)]
-    out = {r.id: r for r in quality.quality(spark.createDataFrame(rows, "essay_id long, text string")).collect()}
-    assert {i for i, r in out.items() if r.reason} == {3, 4, 9} and out[3].reason == "common_words"
-    assert set(out) == {1, 2, 3, 4, 5, 6, 8, 9} and out[6].n_words == 0
+    kinds = [
+        (PROSE, True), (PROSE.upper().replace(",", ""), True), ("\n".join(f"{i}. apple pear" for i in range(9)), False), ("a1 | b2 | c3\n" * 9, False), ("x", True), ("", True),
+        ("�� ��� " * 20, True), ("o kettle pan\n" * 8, False), (TURKISH, True), ("xqzj kvvw qqpt zzkx wjqf " * 5, False), ("pots pans lamps\nforks spoons\nknives plates trays\n", False),
+    ]
+    rows = [(i, t, "en", 0) for i, (t, _) in enumerate(kinds)] + [(500, None, "en", 0), (None, PROSE, "en", 0), (0, PROSE, "en", 0)]
+    rows += [(100 + i, PROSE.replace("garden", f"garden{i}"), "en", 0) for i in range(60)]
+    rows += [(200 + i, t, None, 0) for i, t in enumerate(OTHERS)]
+    out = {r.id: r for r in quality.quality(spark.createDataFrame(rows, "essay_id long, text string, lang string, prose int")).collect()}
+    assert {i: out[i].prose for i in range(len(kinds))} == {i: p for i, (_, p) in enumerate(kinds)}
+    assert "bullet_lines" in out[2].reasons and "letter_words" in out[3].reasons and out[9].reasons == "common_words, lines_ending_in_punctuation, likelihood"
+    # A language without texts to know its words by fails one of three rules only.
+    assert out[8].reasons == "common_words" and out[1].reasons is None
+    assert set(out) == set(range(len(kinds))) | set(range(100, 160)) | set(range(200, 200 + len(OTHERS))) and out[5].n_words == 0
     assert quality.quality(spark.createDataFrame([], "essay_id long, text string")).count() == 0
+    assert quality.quality(spark.createDataFrame(rows[:3], "essay_id long, text string, lang string, prose int")).where("prose").count() == 2
+    assert quality.plain_statistics(spark.createDataFrame([(1, PROSE, 0), (1, PROSE, 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, id int")).count() == 2
 
 
 # --- term statistics ------------------------------------------------------
@@ -194,6 +217,7 @@ def test_lists_fail_by_their_bullets_even_with_lost_characters():
     prose = "the teacher was in the house and it was not so strange as the people had thought"
     rows = ["\n".join(f"{mark} {prose} {i}" for i in range(6)) for mark in ("-", "•", "—", "–")]
     rows += [rows[1].replace("house", "h��se"), "- " + prose, rows[2].replace("house", "h��se")]
-    found = quality.reasons(quality.statistics(rows), np.array([len(t) for t in rows]))
-    assert quality.statistics(rows)["lost_chars"][4] >= quality.LOST
-    assert found == ["bullet_lines", "bullet_lines", None, None, "bullet_lines", None, None]
+    stats = quality.statistics(rows, COMMON)
+    prose, _ = quality.judge(stats, np.array([len(t) for t in rows]))
+    assert stats["lost_chars"][4] >= quality.LOST
+    assert prose.tolist() == [False, False, True, True, False, True, True]

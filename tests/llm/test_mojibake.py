@@ -19,7 +19,7 @@ TEXTS = [
 def model():
     counts = np.zeros((256, 256))
     for t in TEXTS * 40:
-        ids = mojibake._classes()[np.frombuffer((" " + t + " ").encode("utf-32-le"), np.uint32)]
+        ids = mojibake.letter_classes()[np.frombuffer((" " + t + " ").encode("utf-32-le"), np.uint32)]
         np.add.at(counts, (ids[:-1], ids[1:]), 1)
     return mojibake.to_model(counts)
 

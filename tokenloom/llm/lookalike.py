@@ -264,6 +264,37 @@ def forms(texts: list[str], model: ScriptModel) -> list[str]:
     return out
 
 
+def count_script(texts: list[str]) -> np.ndarray:
+    """Counts of letter bigrams within each script."""
+    from .kernel import blocks, codes
+
+    lut, allowed = _script_tables()
+    sums = np.zeros(_N * _N, np.int64)
+    for lo, hi in blocks(texts):
+        ids = lut[codes(texts[lo:hi])[0]]
+        sums += np.bincount(ids[:-1].astype(np.uint16) * np.uint16(_N) + ids[1:], minlength=_N * _N)
+    return sums * allowed
+
+
+@lru_cache(1)
+def _script_tables() -> tuple[np.ndarray, np.ndarray]:
+    lut = np.zeros(0x110000, np.uint8)
+    for c, i in _INDEX.items():
+        lut[ord(c)] = i
+        if len(c.upper()) == 1:
+            lut[ord(c.upper())] = i
+    script = np.array([-1] + [_script(c) for c in _LETTERS] + [-1] * (_N - 1 - len(_LETTERS)))
+    a, b = np.divmod(np.arange(_N * _N), _N)
+    return lut, ~((b == 0) | ((a != 0) & (script[a] != script[b])))
+
+
+def to_script_model(sums: dict[int, int], spark: SparkSession) -> ScriptModel:
+    counts = np.zeros(_N * _N, np.int64)
+    for pair, n in sums.items():
+        counts[pair] = n
+    return ScriptModel(counts.reshape(_N, _N), confusable_letters(spark))
+
+
 def script_model(df: DataFrame, text_col: str = "text") -> ScriptModel:
     """Count letter bigrams within each script over all texts.
 
@@ -272,30 +303,14 @@ def script_model(df: DataFrame, text_col: str = "text") -> ScriptModel:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernel import blocks, codes
-
-        lut = np.zeros(0x110000, np.uint8)
-        for c, i in _INDEX.items():
-            lut[ord(c)] = i
-            if len(c.upper()) == 1:
-                lut[ord(c.upper())] = i
-        script = np.array([-1] + [_script(c) for c in _LETTERS] + [-1] * (_N - 1 - len(_LETTERS)))
         sums = np.zeros(_N * _N, np.int64)
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for lo, hi in blocks(texts):
-                ids = lut[codes(texts[lo:hi])[0]]
-                sums += np.bincount(ids[:-1].astype(np.uint16) * np.uint16(_N) + ids[1:], minlength=_N * _N)
-        a, b = np.divmod(np.arange(_N * _N), _N)
-        sums[(b == 0) | ((a != 0) & (script[a] != script[b]))] = 0
+            sums += count_script([t for t in batch.column(0).to_pylist() if t])
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["pair", "n"])
 
-    counts = np.zeros(_N * _N, np.int64)
     rows = spread(df.select(F.col(text_col))).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    for pair, n in rows.collect():  # bounded by the alphabet: 16,384 rows
-        counts[pair] = n
-    return ScriptModel(counts.reshape(_N, _N), confusable_letters(df.sparkSession))
+    return to_script_model(dict(rows.collect()), df.sparkSession)  # bounded by the alphabet: 16,384 rows
 
 
 def essays_once(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -144,7 +144,7 @@ def undo_utf8(text: str, model: np.ndarray | None = None) -> str:
 
 def likelihood(text: str, model: np.ndarray) -> float:
     """Mean log probability of the text's letters."""
-    ids = _classes()[np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    ids = letter_classes()[np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
     return float(model[ids[:-1], ids[1:]].mean())
 
 
@@ -156,7 +156,7 @@ _ODD = 255  # a sign that is neither a letter nor common beside letters
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
+def letter_classes() -> np.ndarray:
     lut = np.zeros(0x110000, np.uint8)
     lut[0xA0:0x3000] = _ODD
     lut[0x80:0xA0] = _ODD
@@ -170,23 +170,33 @@ def _classes() -> np.ndarray:
     return lut
 
 
+def count_letters(texts: list[str]) -> np.ndarray:
+    from .kernel import blocks, codes
+
+    sums = np.zeros(_N * _N, np.int64)
+    for lo, hi in blocks(texts):
+        ids = letter_classes()[codes(texts[lo:hi])[0]]
+        sums += np.bincount((ids[:-1].astype(np.uint16) << np.uint16(8)) + ids[1:], minlength=_N * _N)
+    return sums
+
+
 def bigram_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probability of each letter after each other one, counted over all texts (at most 65,536 sums reach the driver)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernel import blocks, codes
-
         sums = np.zeros(_N * _N, np.int64)
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for lo, hi in blocks(texts):
-                ids = _classes()[codes(texts[lo:hi])[0]]
-                sums += np.bincount((ids[:-1].astype(np.uint16) << np.uint16(8)) + ids[1:], minlength=_N * _N)
+            sums += count_letters([t for t in batch.column(0).to_pylist() if t])
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["pair", "n"])
 
+    rows = spread(df.select(F.col(text_col))).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return sums_to_model(dict(rows.collect()))
+
+
+def sums_to_model(sums: dict[int, int]) -> np.ndarray:
     counts = np.zeros(_N * _N)
-    for pair, n in spread(df.select(F.col(text_col))).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+    for pair, n in sums.items():
         counts[pair] = n
     return to_model(counts.reshape(_N, _N))
 
@@ -211,7 +221,7 @@ def _inverse() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             if ord(was) < _TOP:
                 out[k + 1, ord(was)] = ord(now)
     chars = [chr(c) for c in range(0x10000)]
-    return out, _classes()[out], np.array([c.isupper() for c in chars])[out], np.array([c.islower() for c in chars])[out]
+    return out, letter_classes()[out], np.array([c.isupper() for c in chars])[out], np.array([c.islower() for c in chars])[out]
 
 
 _FROM_CYRILLIC = np.array([read in ("cp1251", "koi8_r", "cp866") for _, read in CONFUSED])

@@ -84,7 +84,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.quality(_essays(spark, d)).where("reason is not null").select(F.col("id").alias("essay_id"))
+    return quality.quality(_essays(spark, d)).where("not prose").select(F.col("id").alias("essay_id"))
 
 
 @_query
@@ -92,6 +92,12 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(_essays(spark, d)).withColumnRenamed("id", "essay_id")
 
 
+@_query
+def p6_plain_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that need no knowledge of other texts, of the documents as they stand."""
+    return quality.plain_statistics(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @_query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return termstats.term_counts(table(spark, d, "word_symbols")).where("mark is not null").select(F.col("term").alias("symbol"), "mark")
@@ -170,3 +176,19 @@ ORACLES["p9_found"] = """
     item_runs as (select item_id, array_to_string(w[i : i + 11], ' ') as run from (select item_id, w, unnest(range(1, len(w) - 10)) as i from items))
     select distinct item_id, doc_id from runs join item_runs using (run)
 """
+
+_SPACE = "".join(f"\\x{{{c:x}}}" for c in quality.SPACE)
+_SIGNS = "".join(f"\\x{{{ord(c):x}}}" for c in quality.PLAIN)
+_ENDS = "".join(f"\\x{{{ord(c):x}}}" for c in quality.END)
+ORACLES["p6_plain_statistics"] = f"""
+    with once as (select doc_id, min(text) as text from documents where doc_id is not null and text is not null group by doc_id),
+    marked as (select *, cast(len(regexp_extract_all(text, '{quality.BULLET}')) as double) as marks, lower(regexp_replace(text, '{quality.BULLET}', '', 'g')) as body from once),
+    parts as (select *, regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+') as words, list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^{_SPACE}]')) as lines,
+        length(regexp_replace(body, '[{_SPACE}]+', '', 'g')) as ink from marked),
+    counts as (select *, cast(len(words) as bigint) as n_words, greatest(len(words), 1) as per_word, greatest(len(lines), 1) as n_lines from parts)
+    select doc_id, n_words, round(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) / per_word, 6) as mean_word_length,
+        round(length(regexp_replace(body, '[\\p{{L}}\\p{{N}}{_SPACE}{_SIGNS}]+', '', 'g')) / cast(greatest(ink, 1) as double), 6) as symbol_ratio,
+        round(len(list_filter(words, lambda w: regexp_matches(w, '[^0-9]'))) / cast(per_word as double), 6) as letter_words,
+        round(len(list_filter(lines, lambda l: regexp_matches(l, '[{_ENDS}][{_SPACE}]*$'))) / cast(n_lines as double), 6) as lines_ending_in_punctuation,
+        round(least(marks / n_lines, 1), 6) as bullet_lines from counts
+""".replace("\\\\", "\\")
