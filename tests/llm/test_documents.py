@@ -68,7 +68,7 @@ def test_quality(spark):
     rows += [(200 + i, t, None, 0) for i, t in enumerate(OTHERS)]
     out = {r.id: r for r in quality.quality(spark.createDataFrame(rows, "essay_id long, text string, lang string, prose int")).collect()}
     assert {i: out[i].prose for i in range(len(kinds))} == {i: p for i, (_, p) in enumerate(kinds)}
-    assert "bullet_lines" in out[2].reasons and "letter_words" in out[3].reasons and out[9].reasons == "common_words, lines_ending_in_punctuation, likelihood"
+    assert "bullet_lines" in out[2].reasons and "mean_word_length" in out[3].reasons and out[9].reasons.startswith("common_words, lines_ending_in_punctuation")
     # A language without texts to know its words by fails one of three rules only.
     assert out[8].reasons == "common_words" and out[1].reasons is None
     assert set(out) == set(range(len(kinds))) | set(range(100, 160)) | set(range(200, 200 + len(OTHERS))) and out[5].n_words == 0
@@ -175,9 +175,30 @@ def test_leaks_equal_brute_force(spark):
     held = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.item_id, r.doc_id) for r in leakage.leaks(df, held).collect()}
     assert got == want and len(want) > 20
+    assert {(r.item_id, r.doc_id) for r in leakage.leaks(df, held, slice_chars=2000).collect()} == want
     assert leakage.leaks(df.limit(0), held).count() == 0 and leakage.leaks(df, held.limit(0)).count() == 0
 
 
+def test_wand_retrieves_all_that_reach_the_threshold_and_skips_the_rest():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)] + ["the", "of"] * 20
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(400)]
+    index = leakage.build(list(range(400)), texts)
+    n = len(index.ids)
+    dense = np.zeros((len(index.vocab), n))
+    dense[index.postings // n, index.postings % n] = index.impact
+    terms = np.full((200, 12), -1)
+    for row in terms:
+        own = np.flatnonzero(dense[:, rng.randrange(n)])
+        some = rng.sample(own.tolist(), min(len(own), rng.choice([3, 6, 10])))
+        row[: len(some)] = some
+    score = np.array([dense[row[row >= 0]].sum(0) for row in terms])
+    row, item, work = leakage.retrieve(terms, index)
+    assert set(zip(row.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(score >= leakage._REACHED)), strict=True)) and len(row)
+    # Far fewer items are scored than share a term with a passage.
+    assert work["skipped"] > 0 and work["scored"] < 0.2 * (score > 0).sum()
+
+
 # --- shared spans ---------------------------------------------------------
 
 
