@@ -231,7 +231,22 @@ def test_shared_spans_equal_brute_force(spark, hot):
                     mark[k : k + 60] = [True] * 60
             covered[i] = sum(mark)
     assert {r.id: r.shared_chars for r in sharedspans.shared_part(df, **how).collect()} == covered
+    texts = dict(docs)
+    repeats = {tuple(r) for r in sharedspans.maximal_repeats(df, **how).collect()}
+    for a, b, i, j, n in repeats:
+        x, y = texts[a], texts[b]
+        if a == 70:  # one letter only: its anchors are hot whatever the limit
+            continue
+        assert n >= 60 and x[i : i + n] == y[j : j + n] and (hot == 1 or i == 0 or j == 0 or x[i - 1] != y[j - 1])
+        assert hot == 1 or i + n == len(x) or j + n == len(y) or x[i + n] != y[j + n]
+    if hot > 1:
+        assert {r[:2] for r in repeats} == pairs
+    else:
+        assert {i for r in repeats for i in r[:2]} == {i for p in pairs for i in p}
     assert sharedspans.sharing_pairs(df.limit(0)).count() == 0
+    # Of two texts of one key one counts, and they share nothing with each other.
+    twice = spark.createDataFrame([(1, blocks[5]), (1, blocks[5] + "x" * 99)], "doc_id long, text string")
+    assert sharedspans.sharing_pairs(twice, **how).count() == 0 and sharedspans.maximal_repeats(twice, **how).count() == 0
 
 
 def test_lists_fail_by_their_bullets_even_with_lost_characters():

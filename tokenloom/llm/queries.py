@@ -149,6 +149,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+@_query
+def p10_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal repeats of two documents: where they begin in each, and how long they are."""
+    spans = sharedspans.maximal_repeats(table(spark, d, "documents"))
+    return spans.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"), "begin_a", "begin_b", "length")
+
+
 @_query
 def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_part(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
@@ -192,3 +199,18 @@ ORACLES["p6_plain_statistics"] = f"""
         round(len(list_filter(lines, lambda l: regexp_matches(l, '[{_ENDS}][{_SPACE}]*$'))) / cast(n_lines as double), 6) as lines_ending_in_punctuation,
         round(least(marks / n_lines, 1), 6) as bullet_lines from counts
 """.replace("\\\\", "\\")
+
+_LEAST = sharedspans.LEAST
+_WINDOWS = f"""windows as materialized (select doc_id, i, hash(substring(text, cast(i as bigint), {_LEAST})) as g from (
+        select doc_id, text, unnest(range(1, length(text) - {_LEAST - 2})) as i from documents where doc_id is not null and length(text) >= {_LEAST})),
+    shared as materialized (select doc_id, i, g from windows where g in (select g from windows group by g having count(distinct doc_id) > 1)),
+    hits as materialized (select distinct x.doc_id as a, y.doc_id as b, x.i as i, y.i as j from shared x join shared y using (g) where x.doc_id < y.doc_id)"""
+ORACLES["p10_found"] = f"with {_WINDOWS} select distinct a as doc_id_a, b as doc_id_b from hits"
+ORACLES["p10_repeats"] = f"""with {_WINDOWS},
+    runs as (select a, b, i - j as diagonal, i, i - row_number() over (partition by a, b, i - j order by i) as run from hits)
+    select a as doc_id_a, b as doc_id_b, cast(min(i) - 1 as integer) as begin_a, cast(min(i) - diagonal - 1 as integer) as begin_b, cast(max(i) - min(i) + {_LEAST} as integer) as length from runs group by a, b, diagonal, run"""
+ORACLES["p10_shared_part"] = f"""with {_WINDOWS},
+    steps as (select doc_id, i, lag(i) over (partition by doc_id order by i) as last from (select distinct doc_id, i from shared)),
+    covered as (select doc_id, cast(sum(least({_LEAST}, coalesce(i - last, {_LEAST}))) as bigint) as shared_chars from steps group by doc_id)
+    select doc_id, n_chars, coalesce(shared_chars, 0) as shared_chars, case when n_chars > 0 then round(coalesce(shared_chars, 0) / n_chars, 6) else 0.0 end as shared_part
+    from (select doc_id, cast(max(length(text)) as bigint) as n_chars from documents where doc_id is not null and text is not null group by doc_id) left join covered using (doc_id)"""

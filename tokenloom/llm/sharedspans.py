@@ -2,10 +2,11 @@
 
 Seeds are winnowed anchors: of every ``WINDOW`` consecutive k-gram hashes the
 smallest is kept, so two texts that share ``least`` characters share an anchor
-inside them.  Only anchors of at least two records live on.  Each is sent with
-the characters around it (``least - GRAM`` before, ``least`` from it on), which
-is enough to extend a match both ways: the extensions of neighbouring anchors
-overlap, so their union is the maximal repeat.
+inside them.  Only anchors of at least two records live on, and only texts with
+such anchors are read again.  Each anchor is sent with the characters around it
+(``least - GRAM`` before, ``least`` from it on), which is enough to extend a
+match both ways: the extensions of neighbouring anchors overlap, so their union
+on one diagonal is the maximal repeat.
 
 An anchor that more than ``HOT`` occurrences share is never paired up.  There
 every stretch of ``least`` characters around the anchor is hashed instead, and
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import cut, spread
+from .frames import cut, only_ids, spread
 
 LEAST = 250
 GRAM = 100
@@ -81,16 +82,25 @@ def _common(x: str, y: str) -> int:
     return int((a != b).argmax())
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """(id, text) with one text per id; only hashes are compared, and texts shuffled only if some id has several."""
+    hashed = docs.select("id", F.xxhash64("text").alias("th")).groupBy("id").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
+    several = cut(hashed.where("lo <> hi").select("id", "lo"))
+    if several.isEmpty():
+        return docs
+    return docs.join(several, "id", "left").where(F.col("lo").isNull() | (F.col("lo") == F.xxhash64("text"))).select("id", "text")
+
+
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Spans (a, b, begin_a, begin_b, length) from cool anchors, and stretches (g, id, pos) of ``least`` characters from hot ones.
 
     Null keys and texts take no part, texts shorter than ``least`` share
-    nothing; of rows that repeat a key the smallest text counts.
+    nothing; of rows that repeat a key one text counts (that of the smallest hash).
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull() & (F.length(text_col) >= least))
+    docs = _once(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull() & (F.length(text_col) >= least)))
     seeds = cut(_seeds(docs, least, gram))
     several = seeds.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("h", "n")
-    live = seeds.join(several, "h").groupBy("id").agg(F.collect_set(F.struct("pos", "h", "n")).alias("seeds"))  # bounded by the length of the text
+    live = cut(seeds.join(several, "h").groupBy("id").agg(F.collect_set(F.struct("pos", "h", "n")).alias("seeds")))  # bounded by the length of the text
     back = least - gram
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +125,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["hot", "h", "id", "pos", "before", "after"])
 
-    there = cut(docs.join(live, "id").mapInArrow(around, "hot boolean, h long, id long, pos int, before string, after string"))
+    there = cut(only_ids(spread(docs), live.select("id")).join(live, "id").mapInArrow(around, "hot boolean, h long, id long, pos int, before string, after string"))
     cool, burning = there.where("not hot"), there.where("hot").select(F.col("h").alias("g"), "id", "pos").distinct()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +146,24 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return spans, burning
 
 
+def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, **how: int) -> DataFrame:
+    """(id_a, id_b, begin_a, begin_b, length), id_a < id_b: the stretches of at least ``least`` characters two records share that can be extended neither way.
+
+    Positions count characters from 0.  Stretches around hot anchors are given
+    between every record and the first one that holds them, not between all
+    pairs; where that record changes, so does the row.
+    """
+    spans, burning = shared_spans(df, id_col, text_col, least, **how)
+    first = burning.groupBy("g").agg(F.min(F.struct("id", "pos")).alias("first"))
+    to_first = burning.join(first, "g").where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.pos").alias("begin_a"), F.col("pos").alias("begin_b"), F.lit(least).alias("length"))
+    rows = spans.unionByName(to_first).distinct().withColumn("diagonal", F.col("begin_a") - F.col("begin_b")).withColumn("end", F.col("begin_a") + F.col("length"))
+    line = Window.partitionBy("a", "b", "diagonal").orderBy("begin_a", "end")
+    opens = F.col("begin_a") > F.coalesce(F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    parts = rows.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = parts.groupBy("a", "b", "diagonal", "part").agg(F.min("begin_a").alias("begin_a"), F.max("end").alias("end"))
+    return whole.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "begin_a", (F.col("begin_a") - F.col("diagonal")).alias("begin_b"), (F.col("end") - F.col("begin_a")).alias("length"))
+
+
 def sharing_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """(id_a, id_b), a < b: records with a stretch of at least ``least`` characters in common."""
     spans, burning = shared_spans(df, id_col, text_col, **how)
