@@ -121,7 +121,11 @@ def test_plan_is_a_packing(seed):
     assert windows <= max(-(-total // capacity), big) * 1.35 + 1
 
 
-def test_packed(spark):
+@pytest.mark.parametrize("rows", [500_000, 2])
+def test_packed(spark, monkeypatch, rows):
+    """Also with far more parts than rows of a size."""
+    monkeypatch.setattr(packing, "ROWS_PER_PART", rows)
+    monkeypatch.setattr(packing, "BROADCAST_SLOTS", rows)
     rng = random.Random(4)
     docs = [(i, "x" * rng.randint(0, 250), None if i % 2 else rng.randint(1, 260), "w") for i in range(400)]
     docs += docs[:20] + [(900, None, None, "w"), (None, "abc", 4, "w"), (901, "é" * 60, None, "w")]

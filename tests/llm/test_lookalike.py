@@ -150,7 +150,7 @@ def test_pairs(spark):
     assert forms[2] == LONG + "secret" and forms[8] == "" and 9 not in forms and len(forms[14]) > 200_000
 
 
-@pytest.mark.parametrize("rule", [{}, {"hot_share": 0.0, "hot_least": 1}])
+@pytest.mark.parametrize("rule", [{}, {"hot_least": 1}])
 def test_copies_hot_and_cold(spark, rule):
     got = {tuple(r) for r in formatcopies.copy_pairs(frame(spark), **rule).collect()}
     assert got == {(1, 2), (1, 3), (1, 4), (1, 5), (10, 11), (10, 12)}
@@ -161,5 +161,5 @@ def test_copies_hot_and_cold(spark, rule):
 
 def test_a_third_of_all_rows_in_one_group(spark):
     rows = [(i, LONG + (str(i) * 3 if i % 3 else ""), 0) for i in range(600)]
-    groups = formatcopies.copies(frame(spark, rows), hot_share=0.1, hot_least=10)
+    groups = formatcopies.copies(frame(spark, rows), hot_least=10)
     assert sorted(r.n_copies for r in groups.collect())[-1] == 200

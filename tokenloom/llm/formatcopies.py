@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, spread
+from .frames import SALTS, cut, hot_from, spread
 from .lookalike import MIN_LETTERS, ScriptModel, essays_once, forms, script_model
 
 _EMPTY_LINE = re.compile(r"\n[^\S\n]*\n")
@@ -25,10 +25,8 @@ _FIRST_NAME = re.compile(r"[\W_]{0,40}[^\W_]+[^\w\s:]{0,8}\s?:")
 _NAME = re.compile(r"([^\W_]+)[^\w\s:]{0,8}\s?:")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
-#: A key with more than this share of all rows is hot, so there are at most 2,000 hot keys.
-HOT_SHARE = 1 / 2000
+#: No key with fewer rows is hot; see ``hot_from`` for the rest.
 HOT_LEAST = 1000
-SALTS = 64
 
 
 def sort_entries(text: str) -> str:
@@ -72,15 +70,15 @@ def copy_keys(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", m
     return keys.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
 
 
-def collapse(keys: DataFrame, hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST) -> tuple[DataFrame, DataFrame]:
+def collapse(keys: DataFrame, hot_least: int = HOT_LEAST) -> tuple[DataFrame, DataFrame]:
     """From (id, k1, k2): the groups (k1, k2, keep_id, n_copies, hot) and the hot keys.
 
     Ties cannot arise, as ids are distinct; an empty table gives no groups.
     """
     key = ["k1", "k2"]
     counts = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    least = max(hot_least, int(keys.count() * hot_share))
-    hot = F.broadcast(cut(counts.where(F.col("n") > least).select(*key)))  # at most 1 / hot_share rows
+    least = hot_from(keys.sparkSession, keys.count(), hot_least)
+    hot = F.broadcast(cut(counts.where(F.col("n") > least).select(*key)))  # few by definition
     once = (F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies"))
     salted = keys.join(hot, key, "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     two_level = salted.groupBy(*key, "salt").agg(*once).groupBy(*key).agg(F.min("keep_id").alias("keep_id"), F.sum("n_copies").alias("n_copies"))
@@ -89,13 +87,13 @@ def collapse(keys: DataFrame, hot_share: float = HOT_SHARE, hot_least: int = HOT
     return two_level.withColumn("hot", flag).unionByName(one_level.withColumn("hot", ~flag)), hot
 
 
-def copies(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", **hot_rule: float) -> DataFrame:
+def copies(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", **hot_rule: int) -> DataFrame:
     """(keep_id, n_copies): one row per distinct record, with the number of ids that hold it."""
     groups, _ = collapse(cut(copy_keys(df, id_col, text_col)), **hot_rule)
     return groups.select("keep_id", "n_copies")
 
 
-def copy_pairs(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", **hot_rule: float) -> DataFrame:
+def copy_pairs(df: DataFrame, id_col: str = "essay_id", text_col: str = "text", **hot_rule: int) -> DataFrame:
     """(keep_id, copy_id): each copy with the smallest id of its group."""
     keys = cut(copy_keys(df, id_col, text_col))
     groups, hot = collapse(keys, **hot_rule)

@@ -119,13 +119,17 @@ def only_ids(rows: DataFrame, ids: DataFrame, most: int = FILTER_IDS) -> DataFra
     return rows.mapInArrow(keep, rows.schema)
 
 
-#: A class with more than this share of all members (and HOT_LEAST) is hot, so there are at most 2,000 hot classes.
-HOT_SHARE = 1 / 2000
 HOT_LEAST = 10_000
 SALTS = 64
 
 
-def expand(pairs: DataFrame, members: DataFrame, key: list[str], hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
+def hot_from(spark: SparkSession, rows: int, least: int = HOT_LEAST) -> int:
+    """A key with more rows than this is hot: a quarter of a mean partition, so there are at most four hot keys for each (or 2,000)."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, rows // max(2000, 4 * parts))
+
+
+def expand(pairs: DataFrame, members: DataFrame, key: list[str], hot_least: int = HOT_LEAST) -> DataFrame:
     """``pairs`` with the columns of ``members`` that have the same ``key``, one row for each member.
 
     Hot classes are found exactly by partial counts; their members are dealt
@@ -133,9 +137,8 @@ def expand(pairs: DataFrame, members: DataFrame, key: list[str], hot_share: floa
     join.  ``members`` is read several times and should be a written table.
     """
     sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    least = max(hot_least, int(members.count() * hot_share))
-    hot = sizes.where(F.col("n") > least).select(*key)
-    names = hot.collect()  # at most 1 / hot_share rows
+    hot = sizes.where(F.col("n") > hot_from(members.sparkSession, members.count(), hot_least)).select(*key)
+    names = hot.collect()  # few by definition
     if not names:
         return pairs.join(members, key)
     hot = F.broadcast(members.sparkSession.createDataFrame(names, hot.schema))

@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of one size are ranked in so many parts, so that a hot size is never ranked by one task.
-RANK_PARTS = 64
+#: Rows of one size, and the split documents, are ranked in parts of about so many rows, at least 64, so that none is ranked by one task however hot.
+ROWS_PER_PART = 500_000
+LEAST_PARTS = 64
+#: Planned slots are broadcast up to so many (some 50 MB); their number follows the capacities, not the documents.
+BROADCAST_SLOTS = 1_000_000
 
 Slot = tuple[int, int, int, int, int]
 
@@ -129,9 +132,13 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Slot], int]:
     return slots, windows
 
 
-def _with_rank(items: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """0-based rank within the key in a fixed order, worked out in RANK_PARTS parts per key."""
-    parts = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)))
+def parts_for(rows: int) -> int:
+    return max(LEAST_PARTS, -(-rows // ROWS_PER_PART))
+
+
+def _with_rank(items: DataFrame, key: list[str], order: list[str], n_parts: int) -> DataFrame:
+    """0-based rank within the key in a fixed order, worked out in parts of each key."""
+    parts = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)))
     counts = parts.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("in_part"))
     before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("offset"))
@@ -160,22 +167,27 @@ def packed(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id") -> DataF
     rows = rows.withColumn("size", F.col("tokens") - F.col("full") * F.col("capacity"))
 
     # One row per window and size: at most the sum of the capacities, however many documents there are.
-    counted = rows.groupBy("window_key", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full")).collect()
+    counted = rows.groupBy("window_key", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("full") > 0).alias("split")).collect()
     slots: list[tuple] = []
     opened: dict[str, int] = {}
     for key, capacity in kinds:
         made, n = plan({r.size: r.n for r in counted if r.window_key == key}, capacity)
         slots += [(key, *s) for s in made]
         opened[key] = n
-    table = F.broadcast(spark.createDataFrame(slots, schema))
-    ranked = _with_rank(rows, ["window_key", "size"], ["doc_id"])
+    table = spark.createDataFrame(slots, schema)
+    if len(slots) <= BROADCAST_SLOTS:
+        table = F.broadcast(table)
+    ranked = _with_rank(rows, ["window_key", "size"], ["doc_id"], parts_for(max((r.n for r in counted), default=0)))
     hit = (ranked.window_key == table.window_key) & (ranked["size"] == table["size"]) & (ranked["rank"] >= table.from_rank) & (ranked["rank"] < table.from_rank + table.n_items)
     window_id = table.first_window + F.floor((ranked["rank"] - table.from_rank) / table.per)
     last = ranked.join(table, hit).select(ranked.window_key, window_id.cast("long").alias("window_id"), "doc_id", F.col("full").cast("int").alias("piece"), ranked["size"].alias("tokens"))
 
     # The full pieces of split documents have windows of their own, numbered after the planned ones.
     split = rows.where("full > 0")
-    part = split.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)))
+    by_key: dict[str, int] = defaultdict(int)
+    for r in counted:
+        by_key[r.window_key] += r.split
+    part = split.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts_for(max(by_key.values(), default=0)))))
     of_part = part.groupBy("window_key", "part").agg(F.sum("full").alias("n"))
     before = Window.partitionBy("window_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = of_part.select("window_key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

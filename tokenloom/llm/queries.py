@@ -127,10 +127,13 @@ def p8_covered(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Per capacity the tokens packed; the assignment itself is p8_packing."""
-    packed = packing.packed(table(spark, d, "documents"), table(spark, d, "context_windows"))
+    """Per capacity the tokens packed, the least number of windows that could hold them, and whether all windows hold what they may and at most 1 % more of them were opened."""
+    windows = table(spark, d, "context_windows").select("window_key", F.col("capacity").cast("long").alias("capacity"))
+    packed = packing.packed(table(spark, d, "documents"), windows)
     used = packed.groupBy("window_key", "window_id").agg(F.sum("tokens").alias("t"))
-    return used.groupBy("window_key").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+    sums = used.groupBy("window_key").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("tokens"), F.max("t").alias("fullest")).join(F.broadcast(windows), "window_key")
+    bound = F.ceil(F.col("tokens") / F.col("capacity")).cast("long")
+    return sums.select("window_key", "tokens", bound.alias("lower_bound"), (F.col("fullest") <= F.col("capacity")).alias("all_fit"), (F.col("n") <= F.ceil(1.01 * bound)).alias("close"))
 
 
 @_query
@@ -176,6 +179,8 @@ ORACLES["p7_found"] = f"select symbol, mark from ({_TERMS}) where mark is not nu
 _SIZES = "(select doc_id, min(coalesce(cast(n_tokens as bigint), strlen(text) + 1)) as tokens from documents where doc_id is not null group by doc_id)"
 ORACLES["p8_found"] = f"select window_key, doc_id from {_SIZES} s, context_windows w where s.tokens > w.capacity"
 ORACLES["p8_covered"] = f"select window_key, doc_id, tokens, cast(ceil(tokens / capacity) as bigint) as pieces from {_SIZES} s, context_windows w where tokens > 0"
+ORACLES["p8_windows"] = f"""select window_key, cast(sum(tokens) as bigint) as tokens, cast(ceil(sum(tokens) / max(capacity)) as bigint) as lower_bound, true as all_fit, true as close
+    from {_SIZES} s, context_windows w where tokens > 0 group by window_key"""
 ORACLES["p9_found"] = """
     with words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
     runs as (select doc_id, array_to_string(w[i : i + 11], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from words)),
@@ -214,3 +219,6 @@ ORACLES["p10_shared_part"] = f"""with {_WINDOWS},
     covered as (select doc_id, cast(sum(least({_LEAST}, coalesce(i - last, {_LEAST}))) as bigint) as shared_chars from steps group by doc_id)
     select doc_id, n_chars, coalesce(shared_chars, 0) as shared_chars, case when n_chars > 0 then round(coalesce(shared_chars, 0) / n_chars, 6) else 0.0 end as shared_part
     from (select doc_id, cast(max(length(text)) as bigint) as n_chars from documents where doc_id is not null and text is not null group by doc_id) left join covered using (doc_id)"""
+
+_RUNS = ORACLES["p9_found"].split("select distinct item_id")[0]
+ORACLES["p9_leaks"] = f"{_RUNS} select item_id, doc_id, cast(count(distinct run) as bigint) as stretches from runs join item_runs using (run) group by item_id, doc_id"

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import cut
+
 RARE_BELOW = 10
 COMMON_SHARE = 0.05
 
@@ -55,7 +57,7 @@ def term_counts(df: DataFrame, id_col: str = "ws_id", terms_col: str = "symbols"
     compared exactly; the empty string is a term, null is none; an empty table
     gives no terms.
     """
-    records = counted_records(df, id_col, terms_col, weight_col)
+    records = cut(counted_records(df, id_col, terms_col, weight_col))  # read by the count, the sampling of ranges and the sort
     total = records.count()
     rows = records.select(F.explode("terms").alias("term"), "id", F.col("weight").cast("long").alias("weight"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
