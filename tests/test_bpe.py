@@ -19,8 +19,7 @@ def test_hand_vector(spark):
     vocab = bpe.train(docs)
     model = [r.token for r in bpe.id_map(vocab).orderBy("id").collect()]
     assert model[:6] == ["<unk>", "aa", "##aa", "a", "##a", "."] and len(model) == 25
-    tokens = bpe.tokenize(corpus(spark, "aaaa"), [r.subword for r in vocab.collect()])
-    assert bpe.encode(tokens, bpe.id_map(vocab)).first().ids == [1, 2]
+    assert bpe.encode(corpus(spark, "aaaa"), [r.subword for r in vocab.collect()], bpe.id_map(vocab)).first().ids == [1, 2]
 
 
 def naive(words, weights, ops):
@@ -85,15 +84,35 @@ def test_oov_by_first_appearance_and_unknown(spark):
     docs = corpus(spark, "b$a", "$é a", "", None)
     vocab = spark.createDataFrame([("a",)], "subword string")
     model = bpe.id_map(vocab)
-    tokens = bpe.tokenize(docs, ["a"])
     n = model.count()
-    assert {r.token: r.id for r in bpe.oov_ids(tokens, model).collect()} == {"b": n, "$": n + 1, "é": n + 2}
-    ids = {r.doc_id: r.ids for r in bpe.encode(tokens, model).collect()}
+    assert {r.token: r.id for r in bpe.oov_ids(docs, ["a"], model).collect()} == {"b": n, "$": n + 1, "é": n + 2}
+    ids = {r.doc_id: r.ids for r in bpe.encode(docs, ["a"], model).collect()}
     assert ids == {0: [n, n + 1, 1], 1: [n + 1, n + 2, 1], 2: [], 3: None}
-    plain = {r.doc_id: r.ids for r in bpe.encode(tokens, model, BpeConfig(preserve_unknown=False)).collect()}
+    plain = {r.doc_id: r.ids for r in bpe.encode(docs, ["a"], model, BpeConfig(preserve_unknown=False)).collect()}
     assert plain[0] == [0, 0, 1]
 
 
+@pytest.mark.parametrize("split", [True, False])
+@pytest.mark.parametrize("closed", [True, False])
+def test_unseen_pieces_equal_those_of_the_tokens(spark, split, closed):
+    rng = random.Random(5)
+    docs = corpus(spark, *["".join(rng.choice("abxyé$. -A") for _ in range(rng.randint(0, 12))) for _ in range(60)], None)
+    subwords, cfg = ["ab", "bab", "a", *("b" * closed)], BpeConfig(split_on_punctuation=split)
+    model = bpe.id_map(spark.createDataFrame([(s,) for s in subwords], "subword string"))
+    known, order = {r.token for r in model.collect()}, []
+    for r in bpe.tokenize(docs, subwords, cfg).orderBy("doc_id").collect():
+        order += [p for p in r.pieces or [] if p not in known and p not in order]
+    got = {r.token: r.id for r in bpe.oov_ids(docs, subwords, model, cfg).collect()}
+    assert got == {p: len(known) + i for i, p in enumerate(dict.fromkeys(order))}
+
+
+def test_training_words_read_on_until_there_are_enough(spark):
+    docs = corpus(spark, *[f"w{i} ," if i % 3 else "..." for i in range(400)])
+    words = [r.word for r in bpe.training_words(docs, BpeConfig(word_limit=250)).orderBy("doc_id", "pos").collect()]
+    assert words == [f"w{i}" for i in range(250) if i % 3]
+    assert bpe.training_words(docs, BpeConfig(word_limit=390)).count() == 260
+
+
 def test_decode(spark):
     rows = spark.createDataFrame([(0, ["it", "'", "s"]), (1, ["un", "##do", "!"]), (2, [])], "doc_id long, p array<string>")
     assert [r.x for r in rows.orderBy("doc_id").select(bpe.join_pieces(rows.p).alias("x")).collect()] == ["it' s", "undo!", ""]

@@ -3,21 +3,54 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.operators import unigram
 from tokenloom.plans.config import SpConfig
 
 
+def viterbi(text, pieces, longest):
+    """The recurrence position by position: strictly cheaper ways only, so the earliest start wins."""
+    n = len(text)
+    cost, back = [0.0] + [math.inf] * n, [-1] * (n + 1)
+    for i in range(n):
+        for j in range(i + 1, min(n, i + longest) + 1):
+            p = pieces.get(text[i:j])
+            if p is not None and cost[i] - p < cost[j]:
+                cost[j], back[j] = cost[i] - p, i
+        if back[i + 1] < 0 and cost[i] + 20 < cost[i + 1]:
+            cost[i + 1], back[i + 1] = cost[i] + 20, i
+    out, at = [], n
+    while at > 0:
+        out.append(text[back[at] : at])
+        at = back[at]
+    return out[::-1]
+
+
+def segment(texts, pieces, longest):
+    return unigram.Segmenter(list(pieces), list(pieces.values()), longest)(pa.array(texts, pa.string())).to_pylist()
+
+
+@pytest.mark.parametrize("block", [40, 1000, 1_000_000])
+def test_segments_in_step_equal_a_plain_loop(monkeypatch, block):
+    monkeypatch.setattr(unigram, "BLOCK_CHARS", block)
+    rng = random.Random(block)
+    for _ in range(40):
+        letters = "abcé▁😀"[: rng.randint(2, 6)]
+        pieces = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))): -rng.choice([1.0, 2.0, 3.0, rng.random() * 6]) for _ in range(rng.randint(1, 30))}
+        texts = ["".join(rng.choice(letters + "z") for _ in range(rng.choice([0, 1, 2, 5, 30, 200]))) for _ in range(20)] + [None, ""]
+        longest = max(map(len, pieces))
+        assert segment(texts, pieces, longest) == [None if t is None else viterbi(t, pieces, longest) for t in texts]
+
+
 def test_viterbi_is_optimal():
     rng = random.Random(2)
     for _ in range(60):
         pieces = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 3))): -rng.random() * 5 for _ in range(5)}
         text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
-        longest = {}
-        for p in pieces:
-            longest[p[0]] = max(longest.get(p[0], 1), len(p))
-        got = unigram.viterbi(text, pieces, longest, 3)
+        (got,) = segment([text], pieces, 3)
         assert "".join(got) == text
         cost = lambda ps: sum(-pieces[p] if p in pieces else 20.0 for p in ps)  # noqa: B023, E731
         best = math.inf

@@ -39,14 +39,24 @@ def first_rows(corpus: DataFrame, limit: int) -> DataFrame:
 def training_words(corpus: DataFrame, cfg: BpeConfig = APP_BPE) -> DataFrame:
     """(doc_id, pos, word): the first ``word_limit`` words of the first ``word_limit`` rows that are not empty.
 
-    Words are counted per row first, so that only the rows they come from are
-    taken apart.
+    Rows are read in growing slices by ``doc_id`` until they hold enough words,
+    so only a few rows more than needed are ever taken apart.
     """
-    rows = first_rows(corpus.where("text is not null and text <> ''"), cfg.word_limit)
-    sized = rows.select("doc_id", F.size(normalized_tokens(F.col("text"), replace(cfg, keep_punctuation=False))).alias("n")).where("n > 0")
-    so_far = F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    last = sized.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < cfg.word_limit).agg(F.max("doc_id")).first()[0]
-    needed = rows.where(F.col("doc_id") <= F.lit(last)) if last is not None else rows.limit(0)
+    filled = corpus.where("text is not null and text <> ''")
+    n_words = F.size(normalized_tokens(F.col("text"), replace(cfg, keep_punctuation=False)))
+    rows, last = 64, None
+    while True:
+        rows = min(rows, cfg.word_limit)
+        sized = filled.select("doc_id", "text").orderBy("doc_id").limit(rows).select("doc_id", n_words.alias("n")).collect()  # bounded by the word limit
+        total = 0
+        for r in sorted(sized, key=lambda r: r.doc_id):
+            last, total = r.doc_id, total + r.n
+            if total >= cfg.word_limit:
+                break
+        if total >= cfg.word_limit or len(sized) < rows or rows == cfg.word_limit:
+            break
+        rows *= 4
+    needed = filled.where(F.col("doc_id") <= F.lit(last)) if last is not None else filled.limit(0)
     tokens = needed.select("doc_id", F.posexplode(normalized_tokens(F.col("text"), cfg)).alias("pos", "word"))
     return tokens.where(~is_punct_token(F.col("word"), cfg)).orderBy("doc_id", "pos").limit(cfg.word_limit)
 
@@ -233,9 +243,9 @@ def piece_array(text: Column, pattern: str, cfg: BpeConfig = APP_BPE) -> Column:
     return F.transform(found, lambda p: F.when(p.startswith(" "), F.substring(p, 2, 1 << 30)).otherwise(F.concat(F.lit("##"), p)))
 
 
-def tokenize(corpus: DataFrame, subwords: list[str], cfg: BpeConfig = APP_BPE) -> DataFrame:
-    """(doc_id, pieces); a null text gives null, an empty one no pieces."""
-    return corpus.select("doc_id", piece_array(F.col("text"), longest_match_pattern(subwords), cfg).alias("pieces"))
+def tokenize(corpus: DataFrame, subwords: list[str], cfg: BpeConfig = APP_BPE, *more: Column) -> DataFrame:
+    """(doc_id, pieces) and any more columns of the corpus; a null text gives null, an empty one no pieces."""
+    return corpus.select("doc_id", *more, piece_array(F.col("text"), longest_match_pattern(subwords), cfg).alias("pieces"))
 
 
 def lookup(tokens: list[str], ids: list[int], default: int = 0):
@@ -255,29 +265,50 @@ def lookup(tokens: list[str], ids: list[int], default: int = 0):
     return run
 
 
-def oov_ids(tokens: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, token) of the pieces without an id, numbered after the model in order of first appearance.
+def _outside(known: list[str]) -> str:
+    return f"[^ {''.join(_escape(c) for c in sorted(known))}]"
+
+
+def unseen_pieces(text: Column, subwords: list[str], known: list[str], cfg: BpeConfig = APP_BPE) -> Column:
+    """The different pieces of a text without an id, in order of first appearance.
+
+    Pieces without an id are single characters.  If the characters of all
+    subwords are subwords too, which training provides for, no longer piece
+    holds such a character, so it is enough to look for the characters; a
+    vocabulary from elsewhere without that takes the pieces themselves.
+    """
+    held = set(known)
+    if any(c not in held or f"##{c}" not in held for s in subwords for c in s):
+        return F.array_distinct(F.filter(piece_array(text, longest_match_pattern(subwords), cfg), lambda p: ~p.isin(known)))
+    words = F.concat(F.lit(" "), F.array_join(normalized_tokens(text, cfg), " "))
+    first, later = ([t for t in held if len(t) == 1], [t[2:] for t in held if len(t) == 3 and t.startswith("##")])
+    found = F.array_distinct(F.regexp_extract_all(words, F.lit(f"(?s) {_outside(first)}|(?<! ){_outside(later)}"), F.lit(0)))
+    return F.transform(found, lambda p: F.when(p.startswith(" "), F.substring(p, 2, 2)).otherwise(F.concat(F.lit("##"), p)))
+
+
+def oov_ids(corpus: DataFrame, subwords: list[str], model: DataFrame, cfg: BpeConfig = APP_BPE) -> DataFrame:
+    """(id, token) of the pieces of a corpus (doc_id, text) without an id, numbered after the model in order of first appearance.
 
-    ``tokens`` holds (doc_id, pieces).  Pieces without an id are single
-    characters, so their number is bounded by the alphabet.
+    Their number is bounded by the alphabet.
     """
-    known = [r.token for r in model.select("token").collect()]
-    size = len(known)
-    placed = F.transform("pieces", lambda p, i: F.struct(i.alias("pos"), p.alias("token")))
-    rows = tokens.select("doc_id", F.explode(F.filter(placed, lambda x: ~x["token"].isin(known))).alias("x"))
-    fresh = rows.groupBy("x.token").agg(F.min(F.struct("doc_id", "x.pos")).alias("at"))
-    return fresh.select((F.row_number().over(Window.orderBy("at")) - 1 + size).cast("int").alias("id"), "token")
+    known = [r.token for r in model.select("token").collect()]  # bounded by the word limit
+    rows = corpus.select("doc_id", F.posexplode(unseen_pieces(F.col("text"), subwords, known, cfg)).alias("pos", "token"))
+    fresh = rows.groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    return fresh.select((F.row_number().over(Window.orderBy("at")) - 1 + len(known)).cast("int").alias("id"), "token")
 
 
-def with_oov(tokens: DataFrame, model: DataFrame) -> list[tuple[int, str]]:
-    """(id, token) of the model and of the unseen pieces; bounded by the word limit and the alphabet."""
-    return [(int(r.id), r.token) for r in model.select("id", "token").unionAll(oov_ids(tokens, model)).collect()]
+def all_ids(corpus: DataFrame, subwords: list[str], model: DataFrame, cfg: BpeConfig = APP_BPE) -> list[tuple[int, str]]:
+    """(id, token) of the model and, if they are preserved, of the unseen pieces; bounded by the word limit and the alphabet."""
+    rows = model.select("id", "token")
+    if cfg.preserve_unknown:
+        rows = rows.unionAll(oov_ids(corpus, subwords, model, cfg))
+    return [(int(r.id), r.token) for r in rows.collect()]
 
 
-def encode(tokens: DataFrame, model: DataFrame, cfg: BpeConfig = APP_BPE) -> DataFrame:
-    """(doc_id, pieces, ids): static ids, then those of unseen pieces if they are preserved, else 0."""
-    rows = with_oov(tokens, model) if cfg.preserve_unknown else [(int(r.id), r.token) for r in model.select("id", "token").collect()]
-    return tokens.withColumn("ids", lookup([t for _, t in rows], [i for i, _ in rows])("pieces"))
+def encode(corpus: DataFrame, subwords: list[str], model: DataFrame, cfg: BpeConfig = APP_BPE, *more: Column) -> DataFrame:
+    """(doc_id, pieces, ids) and any more columns of the corpus: static ids, then those of unseen pieces if they are preserved, else 0."""
+    rows = all_ids(corpus, subwords, model, cfg)
+    return tokenize(corpus, subwords, cfg, *more).withColumn("ids", lookup([t for _, t in rows], [i for i, _ in rows])("pieces"))
 
 
 def join_pieces(pieces: Column) -> Column:
@@ -311,5 +342,3 @@ def id_tokens(model_rows: list[tuple[int, str]], unknown: str = "<unk>"):
 def decode(encoded: DataFrame, model_rows: list[tuple[int, str]], unknown: str = "<unk>") -> DataFrame:
     """(doc_id, decoded) from (doc_id, ids)."""
     return encoded.select("doc_id", join_pieces(id_tokens(model_rows, unknown)("ids")).alias("decoded"))
-
-

@@ -108,48 +108,138 @@ def train(corpus: DataFrame, cfg: SpConfig = APP_SP) -> DataFrame:
     return spark.createDataFrame([(i, *m) for i, m in enumerate(model)], "id int, piece string, n long, log_prob double")
 
 
-def viterbi(text: str, log_prob: dict[str, float], longest: dict[str, int], max_chars: int) -> list[str]:
-    """The pieces of least total cost; of equal costs the earliest start wins."""
-    n = len(text)
-    inf = math.inf
-    cost, back = [inf] * (n + 1), [-1] * (n + 1)
-    cost[0] = 0.0
-    get = log_prob.get
-    for i in range(n):
-        here = cost[i]
-        for j in range(i + 1, min(n, i + min(max_chars, longest.get(text[i], 1))) + 1):
-            p = get(text[i:j])
-            if p is not None and here - p < cost[j]:
-                cost[j], back[j] = here - p, i
-        if back[i + 1] < 0 and here + FALLBACK_COST < cost[i + 1]:
-            cost[i + 1], back[i + 1] = here + FALLBACK_COST, i
-    out, at = [], n
-    while at > 0:
-        out.append(text[back[at] : at])
-        at = back[at]
-    return out[::-1]
+#: Characters that are segmented in step; the arrays of a block take some 60 bytes for each.
+BLOCK_CHARS = 1_000_000
+_MULTIPLIER, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _extend(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one more character each."""
+    h = h * _MULTIPLIER + (cp.astype(np.uint64) + np.uint64(1)) * _STEP
+    return h ^ (h >> np.uint64(29))
+
+
+class Segmenter:
+    """Viterbi segmentation of many texts in step.
+
+    The pieces that start at each position are found by hashes of substrings,
+    one length after the other; then the cheapest way to each end position is
+    worked out for all texts at once, in the order of positions, and the ways
+    are walked back for all texts at once.
+    """
+
+    def __init__(self, pieces: list[str], log_prob: list[float], max_chars: int):
+        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(1, max_chars + 1):
+            some = [(p, -c) for p, c in zip(pieces, log_prob, strict=True) if len(p) == k]
+            h = np.zeros(len(some), np.uint64)
+            for i in range(k):
+                h = _extend(h, np.array([ord(p[i]) for p, _ in some], np.uint32))
+            order = np.argsort(h)
+            self.by_length.append((h[order], np.array([c for _, c in some])[order] if some else np.zeros(0)))
+
+    def lengths(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each end position of each text the length of the last piece of the cheapest way there; texts are in order of falling size, each followed by one more position."""
+        left = np.repeat(start + size, size + 1) - np.arange(len(cp))
+        cost = []
+        h = np.zeros(len(cp), np.uint64)
+        alive = np.arange(len(cp))
+        for k, (hashes, costs) in enumerate(self.by_length, 1):
+            alive = alive[left[alive] >= k]
+            h = _extend(h[: len(cp) - k + 1], cp[k - 1 :])
+            c = np.full(len(cp), np.inf)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h[alive]), len(hashes) - 1)
+                hit = hashes[at] == h[alive]
+                c[alive[hit]] = costs[at[hit]]
+            cost.append(c)
+        longest = len(cost)
+        out = np.ones(len(cp), np.uint8)
+        ring = np.full((longest + 1, len(size)), np.inf)
+        ring[0] = 0.0
+        falling = -size
+        for end in range(1, int(size.max(initial=0)) + 1):
+            n = int(np.searchsorted(falling, -end, "right"))  # texts that reach so far
+            here = start[:n] + end
+            best, length = np.full(n, np.inf), np.zeros(n, np.uint8)
+            # The earliest start is tried first, so it wins among equal costs.
+            for k in range(min(longest, end), 0, -1):
+                c = ring[(end - k) % (longest + 1), :n] + cost[k - 1][here - k]
+                less = c < best
+                best[less] = c[less]
+                length[less] = k
+            none = length == 0
+            if none.any():
+                best[none] = ring[(end - 1) % (longest + 1), :n][none] + FALLBACK_COST
+                length[none] = 1
+            ring[end % (longest + 1), :n] = best
+            out[here] = length
+        return out
+
+    def __call__(self, norm: pa.Array) -> pa.Array:
+        """Arrays of pieces; null stays null."""
+        texts = norm.to_pylist()
+        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+        parts, where = [], np.full(len(texts), -1)
+        lo = done = 0
+        while lo < len(order):
+            hi, chars = lo, 0
+            while hi < len(order) and (not chars or chars + len(texts[order[hi]]) <= BLOCK_CHARS):
+                chars += len(texts[order[hi]]) + 1
+                hi += 1
+            parts.append(self._block([texts[i] for i in order[lo:hi]]))
+            where[order[lo:hi]] = np.arange(done, done + hi - lo)
+            done += hi - lo
+            lo = hi
+        empty = pa.array([[], None], pa.list_(pa.string()))
+        whole = pa.concat_arrays([*parts, empty])
+        return whole.take(pa.array([done + 1 if t is None else where[i] if t else done for i, t in enumerate(texts)], pa.int64()))
+
+    def _block(self, texts: list[str]) -> pa.Array:
+        joined = "\n".join(texts) + "\n"
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(t) for t in texts])
+        start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        length = self.lengths(cp, start, size)
+        begins = np.zeros(len(cp) + 1, bool)
+        at, first = start + size, start
+        while len(at):
+            at = at - length[at]
+            begins[at] = True
+            going = at > first
+            at, first = at[going], first[going]
+        begins[start + size] = True  # the line feeds, dropped below
+        begins[len(cp)] = True
+        width = 1 + (cp >= 0x80).astype(np.int32) + (cp >= 0x800) + (cp >= 0x10000)
+        byte = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+        cuts = np.flatnonzero(begins)
+        data = joined.encode()
+        flat = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(byte[cuts].tobytes()), pa.py_buffer(data))
+        feeds = np.searchsorted(cuts, start + size)
+        kept = np.ones(len(cuts) - 1, bool)
+        kept[feeds] = False
+        offsets = np.concatenate([[0], feeds - np.arange(len(feeds))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), flat.filter(pa.array(kept)))
 
 
 def encoder(model: list[tuple[str, float]], max_chars: int):
     """An Arrow UDF from normalized texts to arrays of pieces."""
-    log_prob = dict(model)
-    longest: dict[str, int] = {}
-    for p in log_prob:
-        longest[p[0]] = max(longest.get(p[0], 1), len(p))
+    pieces, log_prob = [p for p, _ in model], [c for _, c in model]
+    longest = max([len(p) for p in pieces if len(p) <= max_chars], default=1)
 
     @F.arrow_udf("array<string>")
     def run(norm: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else viterbi(t, log_prob, longest, max_chars) for t in norm.to_pylist()], pa.list_(pa.string()))
+        return Segmenter(pieces, log_prob, longest)(norm)
 
     return run
 
 
-def encode(corpus: DataFrame, model: DataFrame, cfg: SpConfig = APP_SP) -> DataFrame:
-    """(doc_id, pieces, ids); unseen pieces have id 0, a null text gives null."""
+def encode(corpus: DataFrame, model: DataFrame, cfg: SpConfig = APP_SP, *more: Column) -> DataFrame:
+    """(doc_id, pieces, ids) and any more columns of the corpus; unseen pieces have id 0, a null text gives null."""
     rows = model.select("id", "piece", "log_prob").collect()  # bounded by the vocabulary
     cut = encoder([(r.piece, r.log_prob) for r in rows], cfg.max_piece_chars)
     ids = bpe.lookup([r.piece for r in rows], [r.id for r in rows])
-    out = corpus.select("doc_id", cut(normalize(F.col("text"), cfg)).alias("pieces"))
+    out = corpus.select("doc_id", *more, cut(normalize(F.col("text"), cfg)).alias("pieces"))
     return out.withColumn("ids", ids("pieces"))
 
 

@@ -11,20 +11,13 @@ from .config import APP_BPE, APP_SP, BpeConfig, SpConfig
 
 
 def bpe_results(corpus: DataFrame, vocab: DataFrame, cfg: BpeConfig = APP_BPE) -> DataFrame:
-    """(doc_id, pieces, ids, decoded, approx, vocab_size); pieces are worked out once."""
+    """(doc_id, approx, pieces, ids, decoded, vocab_size); pieces are worked out once."""
     model = bpe.id_map(vocab, cfg.unknown_token)
     subwords = [r.subword for r in vocab.collect()]
-    tokens = bpe.tokenize(corpus, subwords, cfg)
-    encoded = bpe.encode(tokens, model, cfg)
-    size = model.count()
-    approx = corpus.select("doc_id", approx_tokens(F.col("text")).alias("approx"))
-    out = encoded.withColumn("decoded", bpe.join_pieces(F.col("pieces")))
-    return out.join(approx, "doc_id").withColumn("vocab_size", F.lit(size).cast("long"))
+    out = bpe.encode(corpus, subwords, model, cfg, approx_tokens(F.col("text")).alias("approx"))
+    return out.withColumn("decoded", bpe.join_pieces(F.col("pieces"))).withColumn("vocab_size", F.lit(model.count()).cast("long"))
 
 
 def sp_results(corpus: DataFrame, model: DataFrame, cfg: SpConfig = APP_SP) -> DataFrame:
-    encoded = unigram.encode(corpus, model, cfg)
-    size = model.count()
-    approx = corpus.select("doc_id", approx_tokens(F.col("text")).alias("approx"))
-    out = encoded.withColumn("decoded", unigram.decode_pieces(F.col("pieces")))
-    return out.join(approx, "doc_id").withColumn("vocab_size", F.lit(size).cast("long"))
+    out = unigram.encode(corpus, model, cfg, approx_tokens(F.col("text")).alias("approx"))
+    return out.withColumn("decoded", unigram.decode_pieces(F.col("pieces"))).withColumn("vocab_size", F.lit(model.count()).cast("long"))

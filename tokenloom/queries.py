@@ -39,11 +39,6 @@ def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return _spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", *more))
 
 
-def _docs_with_tokens(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    """Documents with at least one token; the test reads the text, so that no token array is worked out for it."""
-    return _docs(spark, d, *more).where(F.col("text").rlike(f"[^{WS_BPE}\\x00]"))
-
-
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -123,7 +118,6 @@ def essay_token_budget(spark: SparkSession, d: str) -> DataFrame:
 
 # --- pair merging ---------------------------------------------------------
 
-_K = 10
 _LIMIT = APP_BPE.word_limit
 _FIRST_ROWS = f"(select * from documents where text is not null and length(text) > 0 order by doc_id limit {_LIMIT})"
 _TRAIN = f"(select token as word from {_tokens_sql(_FIRST_ROWS)} where not is_punct and token <> '' order by doc_id, pos limit {_LIMIT})"
@@ -146,27 +140,29 @@ def bpe_best_pair(spark: SparkSession, d: str) -> DataFrame:
     return bpe.best_pair(bpe.pair_counts(bpe.seed_symbols(_types(spark, d))))
 
 
+_OLD, _NEW = "chr(1) || l || chr(2) || chr(1) || r || chr(2)", "chr(1) || l || r || chr(2)"
+
+
 def _merged_sql(k: int) -> str:
-    """The word types after k merges, as a chain of common table expressions."""
-    out = [f"w0 as materialized (select word, freq, s from {_SEEDS})"]
-    for i in range(k):
-        out.append(f"b{i} as materialized (select l, r from {_PAIRS_OF.format(f'w{i}')} where n >= 2 order by n desc, l, r limit 1)")
-        old, new = "chr(1) || l || chr(2) || chr(1) || r || chr(2)", "chr(1) || l || r || chr(2)"
-        out.append(f"w{i + 1} as materialized (select word, freq, replace(s, coalesce((select {old} from b{i}), chr(3)), coalesce((select {new} from b{i}), '')) as s from w{i})")
-    return "with " + ", ".join(out)
+    """Word types after up to k merges, as ``learnt``: each step counts all pairs anew, merges the best one, and ends when none occurs twice."""
+    return f"""with recursive seeds as materialized (select word, freq, s from {_SEEDS}), w as (select 0 as k, word, freq, s from seeds union all select * from (
+        with now as (select * from w), pair as (select l, r from {_PAIRS_OF.format("now")} where n >= 2 order by n desc, l, r limit 1)
+        select k + 1 as k, word, freq, replace(s, {_OLD}, {_NEW}) as s from now, pair where k < {k})),
+    learnt as materialized (select word, freq, s from w where k = (select max(k) from w))"""
 
 
+_K = APP_BPE.merge_ops
 _SYMBOLS = "regexp_extract_all(s, '\\x01([^\\x02]*)\\x02', 1)"
-_HARVEST = f"(select distinct x as subword from (select unnest(regexp_extract_all(word, '(?s).')) as x from w{_K} union all select regexp_replace(unnest({_SYMBOLS}), '</w>$', '') from w{_K}) where x <> '')"
+_HARVEST = f"(select distinct x as subword from (select unnest(regexp_extract_all(word, '(?s).')) as x from learnt union all select regexp_replace(unnest({_SYMBOLS}), '</w>$', '') from learnt) where x <> '')"
 
 
-@_query(f"{_merged_sql(_K)} select word, freq, array_to_string({_SYMBOLS}, ' ') as symbols from w{_K}")
+@_query(f"{_merged_sql(_K)} select word, freq, array_to_string({_SYMBOLS}, ' ') as symbols from learnt")
 def bpe_merges_k(spark: SparkSession, d: str) -> DataFrame:
-    done = bpe.segment_types(_types(spark, d), BpeConfig(merge_ops=_K))
+    done = bpe.segment_types(_types(spark, d))
     return done.select("word", "freq", F.array_join("symbols", " ").alias("symbols"))
 
 
-@_query(f"{_merged_sql(1)} select word, array_to_string({_SYMBOLS}, ' ') as symbols from w1")
+@_query(f"{_merged_sql(1)} select word, array_to_string({_SYMBOLS}, ' ') as symbols from learnt")
 def bpe_merge_step(spark: SparkSession, d: str) -> DataFrame:
     seeds = bpe.seed_symbols(_types(spark, d))
     pair = bpe.best_pair(bpe.pair_counts(seeds)).first()
@@ -176,8 +172,7 @@ def bpe_merge_step(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"{_merged_sql(_K)} select subword, cast(length(subword) as bigint) as n_chars from {_HARVEST}")
 def bpe_vocab_k(spark: SparkSession, d: str) -> DataFrame:
-    vocab = bpe.harvest(bpe.segment_types(_types(spark, d), BpeConfig(merge_ops=_K)))
-    return vocab.select("subword", F.length("subword").cast("long").alias("n_chars"))
+    return _vocab(spark, d).select("subword", chars.char_count(F.col("subword")).alias("n_chars"))
 
 
 _MARKS = ", ".join(f"({(1 << 30) + i + 1}, '{m.replace(chr(39), chr(39) * 2)}')" for i, m in enumerate(bpe.STATIC_MARKS))
@@ -188,88 +183,112 @@ _IDS = f"""(select cast(row_number() over (order by o) - 1 as bigint) as id, tok
 _RANKED = f"ranked as (select subword, row_number() over (order by octet_length(encode(subword)) desc, subword) as k from {_HARVEST})"
 
 
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary trained on all documents with the application's settings."""
+    return bpe.train(_docs(spark, d))
+
+
+def _subwords(vocab: DataFrame) -> list[str]:
+    return [r.subword for r in vocab.collect()]
+
+
 @_query(f"{_merged_sql(_K)}, {_RANKED} select id, token from {_IDS}")
 def bpe_id_map(spark: SparkSession, d: str) -> DataFrame:
-    vocab = bpe.harvest(bpe.segment_types(_types(spark, d), BpeConfig(merge_ops=_K)))
-    return bpe.id_map(vocab).select(F.col("id").cast("long").alias("id"), "token")
+    return bpe.id_map(_vocab(spark, d)).select(F.col("id").cast("long").alias("id"), "token")
 
 
-# A frozen vocabulary, the same on both sides.
-FROZEN = [*"abcdefghijklmnopqrstuvwxyz", *"0123456789", "th", "the", "er", "in", "ing", "re", "on", "an", "and", "ed", "st", "en", "at", "or", "tion", "al", "ch", "que", "ar", "es"]
-_FROZEN_PATTERN = "|".join([*sorted(FROZEN, key=lambda s: (-len(s), s)), "."])
-_FROZEN_LIST = ", ".join(f"('{s}')" for s in FROZEN)
-_PIECES = f"(select doc_id, lang, pos, is_punct, unnest(list_zip(range(len(ps)), ps)) as z from (select *, case when is_punct then [token] else regexp_extract_all(token, '(?s){_FROZEN_PATTERN}') end as ps from {_TOKENS} where token <> ''))"
-_FLAT = f"(select doc_id, lang, cast(row_number() over (partition by doc_id order by pos, z[1]) - 1 as integer) as pos, case when z[1] = 0 then z[2] else '##' || z[2] end as piece from {_PIECES})"
-_FROZEN_IDS = _IDS.replace("from ranked", f"from (select subword, row_number() over (order by octet_length(encode(subword)) desc, subword) as k from (values {_FROZEN_LIST}) v(subword))")
-_OOV = f"(select piece as token, (select count(*) from {_FROZEN_IDS}) - 1 + row_number() over (order by at_doc, at_pos) as id from (select piece, min(doc_id) as at_doc, arg_min(pos, struct_pack(a := doc_id, b := pos)) as at_pos from {_FLAT} where piece not in (select token from {_FROZEN_IDS}) group by piece))"
+@_query(f"{_merged_sql(_K)}, {_RANKED} select 1 + 20 + 2 * count(*) - (select count(*) from ranked where subword in ({', '.join(repr(m) if m != chr(39) else chr(39) * 4 for m in bpe.STATIC_MARKS)})) as vocab_size from ranked")
+def bpe_vocab_size(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the model: the unknown piece, subwords and their continuations, and the marks that are no subwords."""
+    return bpe.id_map(_vocab(spark, d)).agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
-def _frozen(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    vocab = spark.createDataFrame([(s,) for s in FROZEN], "subword string")
-    return vocab, bpe.id_map(vocab)
+# Greedy longest match in SQL: an ordered alternation of the vocabulary trained in the same statement.
+_NORMAL = f"list_filter(list_transform(regexp_extract_all({_CAMEL}, '{_ALL}'), lambda t: trim(translate(t, '{chars.UPPER}', '{chars.LOWER}'), ' ')), lambda t: t <> '')"
+_SPLIT = "list_transform(regexp_extract_all({0}, (select p from scan)), lambda x: case when x like ' %' then x[2:] else '##' || x end)"
+_TRAINED = f"""{_merged_sql(_K)}, {_RANKED}, ids as materialized (select * from {_IDS}),
+    scan as materialized (select '(?s) ?(?:' || string_agg(subword, '|' order by length(subword) desc, subword) || '|[^ ])' as p from ranked),
+    pieces as materialized (select doc_id, lang, ts, {_SPLIT.format("' ' || array_to_string(ts, ' ')")} as ps from (select doc_id, lang, {_NORMAL} as ts from documents)),
+    flat as materialized (select doc_id, lang, unnest(ps) as piece, cast(generate_subscripts(ps, 1) - 1 as integer) as pos from pieces),
+    oov as (select piece as token, (select count(*) from ids) - 1 + row_number() over (order by at_doc, at_pos) as id from (
+        select piece, min(doc_id) as at_doc, arg_min(pos, struct_pack(a := doc_id, b := pos)) as at_pos from flat where piece not in (select token from ids) group by piece)),
+    known as (select token, id from ids union all select token, id from oov)"""
+_PER_DOC = "select d.doc_id, case when d.text is not null then coalesce(x.v, '') end as {0} from documents d left join ({1}) x using (doc_id)"
 
 
-@_query(f"select token as word, array_to_string(list_transform(list_zip(range(len(ps)), ps), lambda z: case when z[1] = 0 then z[2] else '##' || z[2] end), ' ') as pieces from (select token, regexp_extract_all(token, '(?s){_FROZEN_PATTERN}') as ps from (select distinct token from {_WORDS}))")
+@_query(f"{_TRAINED} select word, array_to_string({_SPLIT.format(chr(39) + ' ' + chr(39) + ' || word')}, ' ') as pieces from (select distinct token as word from {_WORDS})")
 def bpe_word_segments(spark: SparkSession, d: str) -> DataFrame:
     words = _pretokens(spark, d).where("not is_punct and token <> ''").select(F.col("token").alias("word")).distinct()
-    return words.select("word", F.array_join(bpe.word_pieces(F.col("word"), bpe.longest_match_pattern(FROZEN)), " ").alias("pieces"))
+    return words.select("word", F.array_join(bpe.word_pieces(F.col("word"), bpe.longest_match_pattern(_subwords(_vocab(spark, d)))), " ").alias("pieces"))
 
 
-@_query(f"select doc_id, string_agg(piece, ' ' order by pos) as pieces from {_FLAT} group by doc_id")
+@_query(f"{_TRAINED} {_PER_DOC.format('pieces', 'select doc_id, string_agg(piece, chr(32) order by pos) as v from flat group by doc_id')}")
 def bpe_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.tokenize(_docs_with_tokens(spark, d), FROZEN).select("doc_id", F.array_join("pieces", " ").alias("pieces"))
+    return bpe.tokenize(_docs(spark, d), _subwords(_vocab(spark, d))).select("doc_id", F.array_join("pieces", " ").alias("pieces"))
+
+
+def _encoded(spark: SparkSession, d: str, cfg: BpeConfig = APP_BPE) -> DataFrame:
+    vocab = _vocab(spark, d)
+    return bpe.encode(_docs(spark, d), _subwords(vocab), bpe.id_map(vocab), cfg)
 
 
-@_query(f"select doc_id, string_agg(cast(coalesce(m.id, 0) as varchar), ' ' order by pos) as ids from {_FLAT} f left join (select token, id from {_FROZEN_IDS} union all select token, id from {_OOV}) m on f.piece = m.token group by doc_id")
+@_query(f"{_TRAINED} {_PER_DOC.format('ids', 'select doc_id, string_agg(cast(id as varchar), chr(32) order by pos) as v from flat join known on piece = token group by doc_id')}")
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
-    tokens = bpe.tokenize(_docs_with_tokens(spark, d), FROZEN)
-    return bpe.encode(tokens, _frozen(spark)[1]).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return _encoded(spark, d).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@_query(f"select doc_id, cast(count(*) as bigint) as n_ids, cast(count(*) filter (where m.id is null) as bigint) as n_unknown from {_FLAT} f left join {_FROZEN_IDS} m on f.piece = m.token group by doc_id")
+@_query(f"""{_TRAINED}, per_doc as (select doc_id, count(*) as n, count(*) filter (where piece not in (select token from ids)) as u from flat group by doc_id)
+    select d.doc_id, case when d.text is not null then cast(coalesce(n, 0) as bigint) end as n_ids, case when d.text is not null then cast(coalesce(u, 0) as bigint) end as n_unknown from documents d left join per_doc using (doc_id)""")
 def bpe_encode_plain(spark: SparkSession, d: str) -> DataFrame:
     """Unknown pieces not preserved: they have id 0."""
-    tokens = bpe.tokenize(_docs_with_tokens(spark, d), FROZEN)
-    ids = bpe.encode(tokens, _frozen(spark)[1], BpeConfig(preserve_unknown=False))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("ids", lambda i: i == 0)).cast("long").alias("n_unknown"))
+    ids = _encoded(spark, d, BpeConfig(preserve_unknown=False))
+    size = lambda c: F.when(F.col("ids").isNotNull(), F.size(c).cast("long"))
+    return ids.select("doc_id", size(F.col("ids")).alias("n_ids"), size(F.filter("ids", lambda i: i == 0)).alias("n_unknown"))
 
 
-@_query(f"select cast(id as bigint) as id, token from {_OOV}")
+@_query(f"{_TRAINED} select cast(id as bigint) as id, token from oov")
 def bpe_oov_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.oov_ids(bpe.tokenize(_docs(spark, d), FROZEN), _frozen(spark)[1]).select(F.col("id").cast("long").alias("id"), "token")
+    vocab = _vocab(spark, d)
+    return bpe.oov_ids(_docs(spark, d), _subwords(vocab), bpe.id_map(vocab)).select(F.col("id").cast("long").alias("id"), "token")
 
 
-@_query(f"select piece, count(*) as n from {_FLAT} group by piece")
+@_query(f"{_TRAINED} select piece, count(*) as n from flat group by piece")
 def bpe_token_freq(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.tokenize(_docs(spark, d), FROZEN).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    return bpe.tokenize(_docs(spark, d), _subwords(_vocab(spark, d))).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(f"""select doc_id, string_agg(case when pos = 0 or piece like '##%' or regexp_matches(piece, '^[{PUNCT}]$') then regexp_replace(piece, '^##', '') else ' ' || piece end, '' order by pos) as decoded
-    from {_FLAT} group by doc_id""")
+_SPOKEN = f"case when pos = 0 or piece like '##%' or regexp_matches(piece, '^[{PUNCT}]$') then regexp_replace(piece, '^##', '') else ' ' || piece end"
+
+
+@_query(f"{_TRAINED} {_PER_DOC.format('decoded', f'select doc_id, string_agg({_SPOKEN}, repeat(chr(32), 0) order by pos) as v from flat group by doc_id')}")
 def bpe_decode(spark: SparkSession, d: str) -> DataFrame:
     """Ids back to text; the ids of unseen pieces are known to the decoder too."""
-    tokens = bpe.tokenize(_docs_with_tokens(spark, d), FROZEN)
-    rows = bpe.with_oov(tokens, _frozen(spark)[1])
-    encoded = tokens.select("doc_id", bpe.lookup([t for _, t in rows], [i for i, _ in rows])("pieces").alias("ids"))
+    docs, vocab = _docs(spark, d), _vocab(spark, d)
+    subwords = _subwords(vocab)
+    rows = bpe.all_ids(docs, subwords, bpe.id_map(vocab))
+    encoded = bpe.tokenize(docs, subwords).select("doc_id", bpe.lookup([t for _, t in rows], [i for i, _ in rows])("pieces").alias("ids"))
     return bpe.decode(encoded, rows)
 
 
-@_query(f"""select lang, round(cast(count(*) as double) / count(distinct (doc_id, word_pos)), 9) as fertility
-    from (select doc_id, lang, pos as word_pos from {_PIECES} where not is_punct) group by lang""")
+@_query(f"""{_TRAINED} select lang, round(cast(sum(len(ps)) as double) / sum(len(ws)), 9) as fertility from (
+    select lang, ws, {_SPLIT.format("' ' || array_to_string(ws, ' ')")} as ps from (select lang, list_filter(ts, lambda t: not regexp_matches(t, '^[{PUNCT}]$')) as ws from pieces) where len(ws) > 0) group by lang""")
 def bpe_fertility_by_lang(spark: SparkSession, d: str) -> DataFrame:
     """Pieces per word by language."""
     cfg = BpeConfig(keep_punctuation=False)
     words = pretokenize.normalized_tokens(F.col("text"), cfg)
-    pieces = bpe.piece_array(F.col("text"), bpe.longest_match_pattern(FROZEN), cfg)
+    pieces = bpe.piece_array(F.col("text"), bpe.longest_match_pattern(_subwords(_vocab(spark, d))), cfg)
     per_doc = _docs(spark, d, "lang").where("text is not null").select("lang", F.size(pieces).alias("pieces"), F.size(words).alias("words")).where("words > 0")
     return per_doc.groupBy("lang").agg(F.round(F.sum("pieces").cast("double") / F.sum("words"), 9).alias("fertility"))
 
 
-@_query()
+@_query(f"""{_TRAINED}, per_doc as (select doc_id, string_agg(piece, ' ' order by pos) as v, string_agg(cast(id as varchar), ' ' order by pos) as i, string_agg({_SPOKEN}, '' order by pos) as t from flat join known on piece = token group by doc_id)
+    select d.doc_id, cast(ceil(octet_length(encode(d.text)) / 4.0) as bigint) as approx, case when d.text is not null then coalesce(v, '') end as pieces, case when d.text is not null then coalesce(i, '') end as ids,
+        case when d.text is not null then coalesce(t, '') end as decoded, (select count(*) from ids) as vocab_size from documents d left join per_doc using (doc_id)""")
 def bpe_train_encode(spark: SparkSession, d: str) -> DataFrame:
     """The whole way with the default settings: train, tokenize, encode, decode, report."""
     docs = _docs(spark, d)
-    return pipeline.bpe_results(docs, bpe.train(docs))
+    out = pipeline.bpe_results(docs, bpe.train(docs))
+    return out.withColumn("pieces", F.array_join("pieces", " ")).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
 
 
 # --- unigram --------------------------------------------------------------
