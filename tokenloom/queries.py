@@ -312,21 +312,27 @@ def sp_seed_chars(spark: SparkSession, d: str) -> DataFrame:
     return unigram.seed_chars(unigram.training_rows(_docs(spark, d), SpConfig(row_limit=25_000))).withColumn("log_prob", F.round("log_prob", 9))
 
 
-_GRAM_CHARS = 4
-_GRAMS = f"(select piece, count(*) as n from (select unnest(list_transform(range(1, length(norm) - k + 2), lambda i: substring(norm, i, k))) as piece from {_SP_ROWS}, (select unnest(range(2, {_GRAM_CHARS + 1})) as k) where length(norm) >= k) group by piece having count(*) >= 2)"
+_GRAM_CHARS = APP_SP.max_piece_chars
+# Texts are cut into overlapping stretches first, as substrings of long texts are slow.
+_STRETCHES = f"(select substring(norm, 64 * i + 1, {64 + _GRAM_CHARS - 1}) as part from (select norm, unnest(range(0, cast(ceil(length(norm) / 64.0) as bigint))) as i from {_SP_ROWS}))"
+_GRAMS = f"(select piece, count(*) as n from (select unnest(list_transform(range(1, least(64, length(part) - k + 1) + 1), lambda i: substring(part, i, k))) as piece from {_STRETCHES}, (select unnest(range(2, {_GRAM_CHARS + 1})) as k) where length(part) >= k) group by piece having count(*) >= 2)"
 
 
 @_query(f"select piece, n from {_GRAMS}")
 def sp_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return unigram.ngram_counts(unigram.training_rows(_docs(spark, d), SpConfig(row_limit=25_000)), _GRAM_CHARS)
+    return unigram.ngram_counts(unigram.training_rows(_docs(spark, d), APP_SP), _GRAM_CHARS)
 
 
-@_query(f"""with grams as materialized {_GRAMS}, seeds as materialized {_SEED_CHARS}, best as (select piece, n from grams order by n desc, octet_length(encode(piece)) desc, piece limit (select 1000 - 1 - count(*) from seeds))
-    select cast(0 as bigint) as id, '<unk>' as piece, -20.0::double as log_prob union all
+_SP_MODEL = f"""grams as materialized {_GRAMS}, seeds as materialized {_SEED_CHARS.replace("round(ln(n / sum(n) over ()), 9)", "ln(n / sum(n) over ())")},
+    best as (select piece, n from grams order by n desc, octet_length(encode(piece)) desc, piece limit (select greatest({APP_SP.target_vocab} - 1 - count(*), 0) from seeds)),
+    model as materialized (select cast(0 as bigint) as id, '<unk>' as piece, -20.0::double as log_prob union all
     select row_number() over (order by n desc, piece), piece, log_prob from seeds union all
-    select (select count(*) from seeds) + row_number() over (order by n desc, octet_length(encode(piece)) desc, piece), piece, round(ln(n / (select sum(n) from grams)), 9) from best""")
+    select (select count(*) from seeds) + row_number() over (order by n desc, octet_length(encode(piece)) desc, piece), piece, ln(n / (select sum(n) from grams)) from best)"""
+
+
+@_query(f"with {_SP_MODEL} select id, piece, round(log_prob, 9) as log_prob from model")
 def sp_model(spark: SparkSession, d: str) -> DataFrame:
-    model = unigram.train(_docs(spark, d), SpConfig(target_vocab=1000, max_piece_chars=_GRAM_CHARS, row_limit=25_000))
+    model = unigram.train(_docs(spark, d), APP_SP)
     return model.select(F.col("id").cast("long").alias("id"), "piece", F.round("log_prob", 9).alias("log_prob"))
 
 
@@ -342,6 +348,51 @@ def sp_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return unigram.encode(docs.where("text is not null"), model, cfg).select("doc_id", unigram.decode_pieces(F.col("pieces")).alias("decoded"))
 
 
+# The cheapest way to each position of every item, worked out position by position: costs of the last positions, newest first, and the lengths of the last pieces.
+_ITEM_NORM = _NORM.replace("doc_id", "item_id").replace("documents", "eval_items")
+_WAYS = "list_transform(range(1, least(8, pos + 1) + 1), lambda k: costs[k] - coalesce(m[substring(norm, pos + 2 - k, k)], '-infinity'::double))"
+_SP_ITEMS = f"""with recursive {_SP_MODEL}, scores as materialized (select map(list(piece), list(log_prob)) as m from model), texts as materialized (select item_id, norm from {_ITEM_NORM}),
+    way as (select item_id, norm, 0 as pos, [0.0::double] as costs, []::integer[] as lens from texts union all
+        select item_id, norm, pos + 1, list_prepend(cost, costs[:8]), list_append(lens, len) from (
+            select item_id, norm, pos, costs, lens, case when least_cost < 'infinity'::double then least_cost else costs[1] + 20.0 end as cost,
+                case when least_cost < 'infinity'::double then cast(len(ways) + 1 - list_position(list_reverse(ways), least_cost) as integer) else 1 end as len
+            from (select *, list_min(ways) as least_cost from (select way.*, {_WAYS} as ways from way, scores where pos < length(norm))))),
+    back as (select item_id, norm, lens, length(norm) as still, []::varchar[] as pieces from way where pos = length(norm) union all
+        select item_id, norm, lens, still - lens[still], list_prepend(substring(norm, still - lens[still] + 1, lens[still]), pieces) from back where still > 0),
+    cut as materialized (select item_id, pieces from back where still = 0),
+    flat as materialized (select item_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as i from cut)"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation items as a corpus: short enough for SQL to work out the cheapest way, too."""
+    return _table(spark, d, "eval_items").where("text is not null").select(F.col("item_id").alias("doc_id"), "text")
+
+
+def _encoded_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    _, model, cfg = _sp(spark, d)
+    return unigram.encode(_items(spark, d), model, cfg), model
+
+
+@_query(f"{_SP_ITEMS} select item_id, string_agg(piece, ' ' order by i) as pieces, string_agg(cast(coalesce(id, 0) as varchar), ' ' order by i) as ids from flat left join model using (piece) group by item_id")
+def sp_encode_items(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces and ids of the evaluation items under the model trained on all documents."""
+    encoded, _ = _encoded_items(spark, d)
+    return encoded.select(F.col("doc_id").alias("item_id"), F.array_join("pieces", " ").alias("pieces"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@_query(f"{_SP_ITEMS} select item_id, trim(replace(string_agg(case when id is null then '<unk>' else piece end, '' order by i), '▁', ' '), ' ') as decoded from flat left join model using (piece) group by item_id")
+def sp_decode_items(spark: SparkSession, d: str) -> DataFrame:
+    encoded, model = _encoded_items(spark, d)
+    return unigram.decode_ids(encoded, model).select(F.col("doc_id").alias("item_id"), "decoded")
+
+
+@_query(f"""{_SP_ITEMS} select item_id, array_to_string(list_filter(string_split(string_agg(case when piece like '▁%' then chr(1) || replace(piece, '▁', '') else replace(piece, '▁', '') end, '' order by i), chr(1)), lambda w: w <> ''), ' ') as words
+    from flat group by item_id""")
+def sp_display_items(spark: SparkSession, d: str) -> DataFrame:
+    encoded, _ = _encoded_items(spark, d)
+    return encoded.select(F.col("doc_id").alias("item_id"), F.array_join(unigram.display_pieces(F.col("pieces")), " ").alias("words"))
+
+
 @_query()
 def sp_encode_ids(spark: SparkSession, d: str) -> DataFrame:
     return unigram.encode(*_sp(spark, d))
@@ -357,7 +408,7 @@ def sp_decode_ids(spark: SparkSession, d: str) -> DataFrame:
 def sp_display(spark: SparkSession, d: str) -> DataFrame:
     """Pieces glued to words for display; a piece that holds a marker inside does not end a word."""
     docs, model, cfg = _sp(spark, d)
-    pieces = unigram.encode(docs, model, cfg).where(F.size("pieces") > 0)
+    pieces = unigram.encode(docs, model, cfg)
     return pieces.select("doc_id", unigram.display_pieces(F.col("pieces")).alias("words"))
 
 
