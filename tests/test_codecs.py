@@ -143,3 +143,83 @@ def test_matches_far_back_and_lazy_steps_over_long_matches():
     stream = list(lz77.tokens(first + b"!" + first[1:] + more + b"?" + first + more))
     assert stream[-1][3] == 69 and stream[-2] == (lz77.LITERAL, 100, 0, 0)
     assert lz77.expand(iter(stream)).endswith(b"?" + first + more)
+
+
+def chained(data, depth):
+    """Matches as a search along chains of the nearest places with three equal bytes finds them."""
+    seen, out = {}, []
+    for at in range(len(data)):
+        best = 0
+        for c in reversed(seen.get(data[at : at + 3], [])[-depth:]):
+            n = 0
+            while n < min(255, len(data) - at) and data[c + n] == data[at + n]:
+                n += 1
+            best = max(best, n)
+        out.append(best if best >= 3 else 0)
+        seen.setdefault(data[at : at + 3], []).append(at)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_are_nearly_as_long_as_those_of_a_full_search(seed):
+    rng = random.Random(seed)
+    words = [bytes(rng.choices(range(97, 105), k=rng.randint(2, 9))) for _ in range(40)]
+    chunks = [b" ".join(rng.choices(words, k=rng.choice([0, 1, 60, 300]))) for _ in range(5)] + [b"z" * 700]
+    for data, (length, offset) in zip(chunks, lz77.matches(chunks), strict=True):
+        full = chained(data, 10**9)
+        for at, (n, off) in enumerate(zip(length.tolist(), offset.tolist(), strict=True)):
+            assert data[at - off : at - off + n] == data[at : at + n] and (n > 0) == (full[at] > 0)
+            assert full[at] >= n >= 0.74 * full[at] - 1
+        assert sum(length) >= 0.93 * sum(full) and sum(length) >= 0.93 * sum(chained(data, 64))
+
+
+def test_token_rows_are_read_from_the_stream(spark):
+    data = b"abcabcabcabc!" * 30
+    rows = spark.createDataFrame([(1, bytearray(container.compress(data, CodecConfig(chunk_size=100)))), (2, bytearray(container.compress(b"")))], "id long, container binary")
+    got = container.token_rows(rows).orderBy("id", "chunk_idx", "pos").collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r.chunk_idx, []).append((r.flag, r.byte_val, r.offset, r.length))
+    assert {r.id for r in got} == {1} and b"".join(lz77.expand(iter(parts[i])) for i in sorted(parts)) == data
+    shown = container.token_rows(rows).select(container.token_text(F.col("flag"), F.col("byte_val"), F.col("offset"), F.col("length")).alias("t")).limit(4).collect()
+    assert [r.t for r in shown] == ["Lit(97)", "Lit(98)", "Lit(99)", "Ref(offset=3, len=9)"]
+
+
+def by_hand(text):
+    """Every offset tried at every position, from the far end of the window on; strictly longer matches only."""
+    out, at = [], 0
+    while at < len(text):
+        best, offset = 0, 0
+        for start in range(max(0, at - 255), at):
+            n = 0
+            while n < 255 and at + n < len(text) and text[start + n] == text[at + n]:
+                n += 1
+            if n > best:
+                best, offset = n, at - start
+        out.append(("R", "", offset, best) if best >= 3 else ("L", text[at], 0, 0))
+        at += best if best >= 3 else 1
+    return out
+
+
+@pytest.mark.parametrize("block", [30, 1 << 16])
+def test_character_matches_equal_a_plain_search(monkeypatch, block):
+    monkeypatch.setattr(charcodec, "BLOCK_CHARS", block)
+    rng = random.Random(block)
+    texts = ["".join(rng.choice("abé😀\n") for _ in range(rng.choice([0, 1, 5, 60, 700]))) for _ in range(25)] + ["a" * 600, "abc" * 200, "\n" * 9]
+    assert charcodec.tokens_of(texts) == [by_hand(t) for t in texts]
+
+
+def test_long_codes_are_read_bit_by_bit(monkeypatch):
+    text = "".join(chr(97 + i) * (1 << i) for i in range(12)) + "xyz" * 5
+    packed = charcodec.compress(text)
+    monkeypatch.setattr(charcodec, "TABLE_BITS", 2)
+    assert charcodec.decompress(packed) == text and charcodec.compress(text) == packed
+    with pytest.raises(ValueError):
+        charcodec.decompress(packed[:-1])
+
+
+def test_character_files(spark):
+    rows = charcodec.compress_files(spark.createDataFrame([("a", "ab" * 500), ("b", ""), ("c", None)], "path string, text string")).collect()
+    got = {r.path: r for r in rows}
+    assert got["a"].same and got["a"].saving_pct > 50 and charcodec.decompress(bytes(got["a"].content)) == "ab" * 500
+    assert got["b"].same and got["b"].ratio is None and got["c"].content is None

@@ -23,6 +23,35 @@ def test_corpora(spark, tmp_path):
     assert [r.text for r in corpus.corpus(spark, str(tmp_path / "c.csv")).collect()] == ["v"]
 
 
+def test_several_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,alpha\n2,beta\n")
+    (tmp_path / "b.csv").write_text("TEXT,id\ngamma,3\n\ndelta\n")
+    (tmp_path / "c.csv").write_text("x,y\nepsilon,5\n")
+    rows = corpus.csv_corpus(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["alpha", "beta", "gamma", "delta", "epsilon"] and len({r.doc_id for r in rows}) == 5
+    assert [r.text for r in corpus.csv_corpus(spark, str(tmp_path), 3).orderBy("doc_id").collect()] == ["alpha", "beta", "gamma"]
+
+
+def test_lines_of_a_file_in_several_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{i}\n" for i in range(5000)))
+    (tmp_path / "b.txt").write_text("x\ny\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = corpus.text_corpus(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 1 and [r.text for r in rows.orderBy("doc_id").collect()] == [*map(str, range(5000)), "x", "y"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_over_several_lines():
+    lines = ["a,b", '1,"x', "", 'y ""z""",2', '3,"q"', 'open,"', "end"]
+    records = list(strictcsv.assemble(lines))
+    assert records == ["a,b", '1,"x\n\ny ""z""",2', '3,"q"', 'open,"\nend']
+    assert strictcsv.split_record(records[1]) == ["1", 'x\n\ny "z"', "2"]
+    assert strictcsv.split_record("a\rb,c") == ["a\rb", "c"] and strictcsv.split_record("") == [""]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"a\xffb\r\nc\rd")
     assert corpus.text_files(spark, str(tmp_path / "x.bin")).first().text == "a�b\nc\nd"

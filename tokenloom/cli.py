@@ -1,4 +1,4 @@
-"""Command line: ``tokenize``, ``compress``, ``decompress`` and ``stats`` on files."""
+"""Command line: ``tokenize`` a text, ``compress``, ``decompress`` and ``compress-text`` files, ``test``."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ import sys
 import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .functions import chars
 from .operators import bpe, charcodec, container, unigram
 from .plans import pipeline
 from .plans.config import APP_BPE, APP_SP
@@ -54,21 +56,24 @@ def tokenize(spark: SparkSession, mode: str, text: str, corpus_path: str, model_
     return row.asDict() | {"display": shown}
 
 
-def compress_file(path: str, out: str | None = None) -> dict:
-    """One file into one container; returns its statistics."""
-    data = Path(path).read_bytes()
+def compress_paths(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Files into containers, as Spark tasks over their chunks; returns the statistics with sizes and throughput for reading."""
     began = time.perf_counter()
-    packed = container.compress(data)
-    seconds = time.perf_counter() - began
-    target = out or corpus.compressed_name(path)
-    Path(target).write_bytes(packed)
-    return {"output": target, "original_bytes": len(data), "compressed_bytes": len(packed), "ratio": len(packed) / len(data) if data else None, "seconds": seconds}
+    stats = pipeline.compress_files(spark, path, folder)
+    millis = (time.perf_counter() - began) * 1000
+    took = F.lit(millis)
+    total = F.sum("original_bytes").over(Window.partitionBy())
+    shown = {"original": chars.format_bytes(F.col("original_bytes")), "compressed": chars.format_bytes(F.col("compressed_bytes")), "time": chars.format_millis(took), "mb_per_s": F.round(chars.throughput_mb(total, took), 3)}
+    return stats.withColumns(shown)
 
 
-def decompress_file(path: str, out: str | None = None) -> str:
-    target = out or corpus.restored_name(path)
-    Path(target).write_bytes(container.decompress(Path(path).read_bytes()))
-    return target
+def print_text_files(spark: SparkSession, path: str, folder: str) -> None:
+    """Text files through the character codec; a file whose round trip fails is reported and not written."""
+    done = charcodec.compress_files(corpus.text_files(spark, path)).persist()
+    name = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(".lzh"))
+    corpus.write_files(done.where("same").select(name.alias("name"), "content"), folder)
+    done.drop("content").show(truncate=False)
+    done.unpersist()
 
 
 def self_test() -> bool:
@@ -84,10 +89,10 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--corpus", required=True)
     t.add_argument("--mode", default="bpe")
     t.add_argument("--model")
-    for name in ("compress", "decompress"):
+    for name in ("compress", "decompress", "compress-text"):
         s = sub.add_parser(name)
         s.add_argument("path")
-        s.add_argument("-o", "--output")
+        s.add_argument("folder")
     sub.add_parser("test")
     a = p.parse_args(argv)
     if a.what == "tokenize":
@@ -97,9 +102,11 @@ def main(argv: list[str] | None = None) -> int:
         for k, v in tokenize(_session(), a.mode, a.text, a.corpus, a.model).items():
             print(f"{k}: {v}")
     elif a.what == "compress":
-        print(compress_file(a.path, a.output))
+        compress_paths(_session(), a.path, a.folder).show(truncate=False)
     elif a.what == "decompress":
-        print(decompress_file(a.path, a.output))
+        pipeline.decompress_files(_session(), a.path, a.folder)
+    elif a.what == "compress-text":
+        print_text_files(_session(), a.path, a.folder)
     else:
         ok = self_test()
         print("PASS" if ok else "FAIL")

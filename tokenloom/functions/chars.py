@@ -78,22 +78,28 @@ def throughput_mb(n_bytes: Column, millis: Column) -> Column:
     return (n_bytes / F.lit(1048576.0)) / (F.nullif(millis, F.lit(0)) / F.lit(1000.0))
 
 
+def _decimals(n: Column, unit: int, places: int) -> Column:
+    """n / unit as text, exact ties to the even digit, as the C library prints it."""
+    exact = n.cast("decimal(26,6)") / F.lit(unit).cast("decimal(20,0)")
+    return F.bround(exact, places).cast("string")
+
+
 def format_bytes(n: Column) -> Column:
     """The short ladder: B, KB, MB."""
     return (
         F.when(n < 1024, F.format_string("%d B", n.cast("long")))
-        .when(n < 1048576, F.format_string("%.2f KB", n / F.lit(1024.0)))
-        .otherwise(F.format_string("%.2f MB", n / F.lit(1048576.0)))
+        .when(n < 1048576, F.concat(_decimals(n, 1024, 2), F.lit(" KB")))
+        .otherwise(F.concat(_decimals(n, 1048576, 2), F.lit(" MB")))
     )
 
 
 def format_bytes_long(n: Column) -> Column:
     """The long ladder: B to PB, one decimal."""
-    out = F.format_string("%.1f PB", n / F.lit(1024.0**5))
+    out = F.concat(_decimals(n, 1024**5, 1), F.lit(" PB"))
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / F.lit(float(1024**k)))).otherwise(out)
+        out = F.when(n < 1024 ** (k + 1), F.concat(_decimals(n, 1024**k, 1), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def format_millis(ms: Column) -> Column:
-    return F.when(ms < 1000, F.format_string("%.2f ms", ms.cast("double"))).otherwise(F.format_string("%.2f s", ms / F.lit(1000.0)))
+    return F.when(ms < 1000, F.concat(_decimals(ms, 1, 2), F.lit(" ms"))).otherwise(F.concat(_decimals(ms, 1000, 2), F.lit(" s")))

@@ -7,6 +7,7 @@ characters, not the list of merges; encoding is greedy longest match on it.
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import replace
@@ -248,6 +249,32 @@ def tokenize(corpus: DataFrame, subwords: list[str], cfg: BpeConfig = APP_BPE, *
     return corpus.select("doc_id", *more, piece_array(F.col("text"), longest_match_pattern(subwords), cfg).alias("pieces"))
 
 
+def pieces_function(subwords: list[str], cfg: BpeConfig = APP_BPE):
+    """An Arrow UDF that does what ``piece_array`` does, for use by name in SQL."""
+    from ..functions.chars import LOWER, UPPER, WS_BPE
+
+    python = lambda p: re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), p)
+    word = f"[^{WS_BPE}{PUNCT}]+"
+    split = f"[{PUNCT}]|{word}" if cfg.keep_punctuation else word
+    token = re.compile(python(split if cfg.split_on_punctuation else f"[^{WS_BPE}]+"))
+    piece = re.compile(python(longest_match_pattern(subwords).removeprefix("(?s)")), re.DOTALL)
+    camel = re.compile("([a-z])([A-Z])")
+    fold = str.maketrans(UPPER, LOWER, "\0") if cfg.lowercase else str.maketrans("", "", "\0")
+
+    @F.arrow_udf("array<string>")
+    def run(text: pa.Array) -> pa.Array:
+        out = []
+        for t in text.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            t = (camel.sub(r"\1 \2", t) if cfg.split_camel_case else t).translate(fold)
+            out.append([p if not i else "##" + p for w in token.findall(t) for i, p in enumerate(piece.findall(w))])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run
+
+
 def lookup(tokens: list[str], ids: list[int], default: int = 0):
     """An Arrow UDF that maps arrays of pieces to arrays of ids, vectorized over the flat values."""
     keys, values = pa.array(tokens, pa.string()), pa.array(ids, pa.int32())

@@ -5,17 +5,19 @@ from __future__ import annotations
 import struct
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.chars import ratio, saving_percent
 from ..plans.config import CodecConfig
 from . import huffman, lz77
 
 # Fixed values of the format, all integers little-endian: magic, u64 size, u32 chunks, u32 chunk size;
 # per chunk u32 compressed size, u32 original size, u8 padding, 256 code lengths, data.
-MAGIC = bytes((0x43, 0x4C, 0x4D, 1, 0, 0, 0, 0))
+MAGIC = b"CLM\x01\x00\x00\x00\x00"
 HEAD, CHUNK_HEAD = struct.Struct("<8sQII"), struct.Struct("<IIB256s")
 _PART = (("orig_size", T.LongType()), ("padding", T.IntegerType()), ("lengths", T.BinaryType()), ("data", T.BinaryType()))
 CHUNK_TYPE = T.StructType([T.StructField(*f) for f in (*_PART, ("literals", T.LongType()), ("refs", T.LongType()))])
@@ -35,22 +37,31 @@ class CorruptContainer(ValueError):
     """The bytes are no intact container."""
 
 
+def compress_chunks(chunks: list[bytes], cfg: CodecConfig = CodecConfig()) -> list[Chunk]:
+    out = []
+    for data, (stream, literals, refs) in zip(chunks, lz77.compress_all(chunks, cfg.lazy), strict=True):
+        lengths = huffman.code_lengths(np.bincount(np.frombuffer(stream, np.uint8), minlength=256).tolist())
+        packed, padding = huffman.pack(stream, lengths)
+        out.append(Chunk(len(data), padding, bytes(lengths), packed, literals, refs))
+    return out
+
+
 def compress_chunk(data: bytes, cfg: CodecConfig = CodecConfig()) -> Chunk:
-    found = list(lz77.tokens(data, cfg.lazy))
-    stream = lz77.serialize(iter(found))
-    freq = [0] * 256
-    for b in stream:
-        freq[b] += 1
-    lengths = huffman.code_lengths(freq)
-    packed, padding = huffman.pack(stream, lengths)
-    refs = sum(t[0] for t in found)
-    return Chunk(len(data), padding, bytes(lengths), packed, len(found) - refs, refs)
+    return compress_chunks([data], cfg)[0]
+
+
+def chunk_stream(chunk: Chunk) -> bytes:
+    """The token stream a chunk holds."""
+    try:
+        return huffman.unpack(chunk.data, chunk.padding, list(chunk.lengths))
+    except ValueError as e:
+        raise CorruptContainer(str(e)) from e
 
 
 def decompress_chunk(chunk: Chunk) -> bytes:
     """Raises CorruptContainer unless exactly the original number of bytes comes out."""
     try:
-        out = lz77.decompress(huffman.unpack(chunk.data, chunk.padding, list(chunk.lengths)))
+        out = lz77.decompress(chunk_stream(chunk))
     except ValueError as e:
         raise CorruptContainer(str(e)) from e
     if len(out) != chunk.orig_size:
@@ -90,7 +101,7 @@ def parse(data: bytes) -> tuple[int, int, list[Chunk]]:
 def compress(data: bytes, cfg: CodecConfig = CodecConfig()) -> bytes:
     """One container; empty input has one empty chunk."""
     cuts = range(0, max(len(data), 1), cfg.chunk_size)
-    return serialize([compress_chunk(data[i : i + cfg.chunk_size], cfg) for i in cuts], len(data), cfg.chunk_size)
+    return serialize(compress_chunks([data[i : i + cfg.chunk_size] for i in cuts], cfg), len(data), cfg.chunk_size)
 
 
 def decompress(data: bytes) -> bytes:
@@ -117,18 +128,21 @@ def join(chunks: DataFrame) -> DataFrame:
 def chunk_encoder(cfg: CodecConfig = CodecConfig()):
     @F.arrow_udf(CHUNK_TYPE)
     def run(chunk: pa.Array) -> pa.Array:
-        rows = [None if c is None else compress_chunk(c, cfg)._asdict() for c in chunk.to_pylist()]
+        done = iter(compress_chunks([c for c in chunk.to_pylist() if c is not None], cfg))
+        rows = [next(done)._asdict() if there else None for there in chunk.is_valid().to_pylist()]
         kinds = [("orig_size", pa.int64()), ("padding", pa.int32()), ("lengths", pa.binary()), ("data", pa.binary()), ("literals", pa.int64()), ("refs", pa.int64())]
         return pa.array(rows, pa.struct(kinds))
 
     return run
 
 
-def compressed_chunks(df: DataFrame, cfg: CodecConfig = CodecConfig(), id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """(id, size, chunk_idx, orig_size, padding, lengths, data, literals, refs), one task row per chunk."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+def compressed_chunks(df: DataFrame, cfg: CodecConfig = CodecConfig(), id_col: str = "id", content_col: str = "content", partitions: int | None = None) -> DataFrame:
+    """(id, size, chunk_idx, orig_size, padding, lengths, data, literals, refs), one row per chunk.
+
+    ``partitions`` spreads the chunks of few large values over so many tasks.
+    """
     rows = split(df, cfg.chunk_size, id_col, content_col)
-    rows = rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    rows = rows.repartition(partitions) if partitions else rows
     return rows.withColumn("z", chunk_encoder(cfg)("chunk")).select("id", "size", "chunk_idx", "z.*")
 
 
@@ -157,6 +171,12 @@ def compress_column(content: pa.Array) -> pa.Array:
     return pa.array([None if c is None else compress(c) for c in content.to_pylist()], pa.binary())
 
 
+@F.arrow_udf(T.BinaryType())
+def restore_column(chunk: pa.Array) -> pa.Array:
+    """The bytes of parsed chunks; a corrupt one fails the task with a clear error."""
+    return pa.array([None if c is None else decompress_chunk(Chunk(c["orig_size"], c["padding"], c["lengths"], c["data"])) for c in chunk.to_pylist()], pa.binary())
+
+
 @F.arrow_udf(PARSED_TYPE)
 def parse_column(container: pa.Array) -> pa.Array:
     out = []
@@ -171,10 +191,25 @@ TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n i
 
 @F.arrow_udf(TOKEN_TYPE)
 def token_column(chunk: pa.Array) -> pa.Array:
-    """The literals (flag 0) and references (flag 1) of each chunk, in order."""
+    """The literals (flag 0) and references (flag 1) of each compressed chunk (a struct of padding, lengths, data), in order, read from its stream."""
     kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("flag", "byte_val", "offset", "length")]))
-    names = ("flag", "byte_val", "offset", "length")
-    return pa.array([None if c is None else [dict(zip(names, t, strict=True)) for t in lz77.tokens(c)] for c in chunk.to_pylist()], kind)
+    rows = [None if c is None else lz77.token_arrays(chunk_stream(Chunk(0, c["padding"], c["lengths"], c["data"]))) for c in chunk.to_pylist()]
+    return pa.array(rows, kind)
+
+
+def token_rows(containers: DataFrame) -> DataFrame:
+    """(id, chunk_idx, pos, flag, byte_val, offset, length): the tokens of containers (id, container) as rows."""
+    chunks = containers.select("id", F.explode(parse_column("container")).alias("c"))
+    part = F.struct("c.padding", "c.lengths", "c.data")
+    return chunks.select("id", "c.chunk_idx", F.posexplode(token_column(part)).alias("pos", "t")).select("id", "chunk_idx", "pos", "t.*")
+
+
+def token_text(flag: Column, byte: Column, offset: Column, length: Column) -> Column:
+    """A token for reading: Lit(byte) or Ref(offset=..., len=...)."""
+    return F.when(flag == lz77.LITERAL, F.format_string("Lit(%d)", byte)).otherwise(F.format_string("Ref(offset=%d, len=%d)", offset, length))
+
+
+STATISTICS = ("original_bytes", "compressed_bytes", "num_chunks", "ratio", "saving_pct", "lz77_literals", "lz77_refs")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -183,11 +218,26 @@ def statistics(chunks: DataFrame) -> DataFrame:
     out = F.sum(F.octet_length("data") + CHUNK_HEAD.size).alias("parts")
     rows = chunks.groupBy("id").agg(size, out, F.count(F.lit(1)).alias("num_chunks"), F.sum("literals").alias("lz77_literals"), F.sum("refs").alias("lz77_refs"))
     total = F.col("parts") + HEAD.size
-    share = total / F.nullif("original_bytes", F.lit(0))
-    return rows.select("id", "original_bytes", total.alias("compressed_bytes"), "num_chunks", share.alias("ratio"), ((1 - share) * 100).alias("saving_pct"), "lz77_literals", "lz77_refs")
+    share, saving = ratio(total, F.col("original_bytes")), saving_percent(total, F.col("original_bytes"))
+    return rows.select("id", "original_bytes", total.alias("compressed_bytes"), "num_chunks", share.alias("ratio"), saving.alias("saving_pct"), "lz77_literals", "lz77_refs")
 
 
 def byte_histogram(df: DataFrame, content_col: str = "content") -> DataFrame:
     """(byte, n) over a binary column."""
     pairs = F.regexp_extract_all(F.hex(content_col), F.lit("(..)"), F.lit(1))
     return df.select(F.explode(pairs).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).select(F.conv("h", 16, 10).cast("int").alias("byte"), "n")
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def code_lengths_column(content: pa.Array) -> pa.Array:
+    """The 256 prefix code lengths of the bytes of each value."""
+    return pa.array([None if c is None else huffman.code_lengths(np.bincount(np.frombuffer(c, np.uint8), minlength=256).tolist()) for c in content.to_pylist()], pa.list_(pa.int32()))
+
+
+def code_cost(df: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """(id, n_symbols, bits): the different bytes of each value and the bits of all its bytes under their prefix code."""
+    n = F.size(F.filter("lengths", lambda x: x > 0)).cast("long")
+    counts = df.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.hex(content_col), F.lit("(..)"), F.lit(1))).alias("h")).groupBy("id", "h").agg(F.count(F.lit(1)).alias("k"))
+    lengths = df.where(F.octet_length(content_col) > 0).select(F.col(id_col).alias("id"), code_lengths_column(content_col).alias("lengths"))
+    each = counts.join(lengths, "id").select("id", n.alias("n"), (F.col("k") * F.element_at("lengths", F.conv("h", 16, 10).cast("int") + 1)).alias("bits"))
+    return each.groupBy("id").agg(F.max("n").alias("n_symbols"), F.sum("bits").alias("bits"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 MAX_BITS = 15
 
 
 def code_lengths(freq: list[int], limit: int = MAX_BITS) -> list[int]:
-    """Optimal code lengths of at most ``limit`` bits (package-merge); 0 for symbols that do not occur.
+    """Optimal code lengths of at most ``limit`` bits; 0 for symbols that do not occur.
 
+    A tree that is shallow enough gives them at once, else package-merge does.
     One symbol alone gets length 1, none at all gives no codes.
     """
     used = [s for s, n in enumerate(freq) if n]
@@ -18,6 +21,20 @@ def code_lengths(freq: list[int], limit: int = MAX_BITS) -> list[int]:
         out[used[0]] = 1
     if len(used) < 2:
         return out
+    heap = [(freq[s], i) for i, s in enumerate(used)]
+    heapq.heapify(heap)
+    parent = [0] * (2 * len(used) - 1)
+    for node in range(len(used), 2 * len(used) - 1):
+        (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a] = parent[b] = node
+        heapq.heappush(heap, (n + m, node))
+    depth = [0] * len(parent)
+    for node in range(len(parent) - 2, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    if max(depth[: len(used)]) <= limit:
+        for i, s in enumerate(used):
+            out[s] = depth[i]
+        return out
     coins = sorted((freq[s], (s,)) for s in used)
     level = coins
     for _ in range(limit - 1):

@@ -1,90 +1,161 @@
-"""Sliding-window matching over bytes, and its token stream."""
+"""Sliding-window matching over bytes, and its token stream.
+
+Matches are found for all positions of a block of chunks at once.  One match
+length after the other, positions are sorted by a hash of that many bytes; the
+neighbour before a position in that order is the nearest earlier place with the
+same bytes.  The longest length with such a place within the window gives the
+match, and a search on hashes its exact length.  The window is searched whole,
+so there is no limit to the number of places looked at.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+
 # Fixed values of the stream format: flags, shortest and longest match, largest offset that fits two bytes.
 LITERAL, REFERENCE = 0, 1
 MIN_MATCH, MAX_MATCH, MAX_OFFSET = 3, 255, 65_535
-DEPTH = 64
+#: Lengths that are looked up, each within a third of the one before.
+LEVELS = (3, 4, 5, 6, 8, 10, 13, 16, 20, 26, 32, 42, 56, 74, 98, 128, 170, 216, 255)
+#: Chunks are searched together up to so many bytes.
+BLOCK_BYTES = 1 << 20
 
 Token = tuple[int, int, int, int]  # flag, byte, offset, length
-
-
-def _length(data: bytes, a: int, b: int, top: int) -> int:
-    """Length of the match of data[b:] with data[a:], at most ``top``."""
-    if data[a : a + top] == data[b : b + top]:
-        return top
-    lo, hi = 0, top
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if data[a : a + mid] == data[b : b + mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-class _Matcher:
-    def __init__(self, data: bytes, depth: int):
-        self.data, self.depth, self.seen = data, depth, {}
-
-    def add(self, at: int) -> None:
-        key = self.data[at : at + MIN_MATCH]
-        if len(key) == MIN_MATCH:
-            held = self.seen.setdefault(key, [])
-            held.append(at)
-            if len(held) > 4 * self.depth:
-                del held[: -self.depth]
-
-    def find(self, at: int) -> tuple[int, int]:
-        """(length, offset) of the longest match, the nearest of equal ones; (0, 0) if there is none."""
-        data, best, offset = self.data, 0, 0
-        top = min(MAX_MATCH, len(data) - at)
-        if top < MIN_MATCH:
-            return 0, 0
-        for c in reversed(self.seen.get(data[at : at + MIN_MATCH], ())[-self.depth :]):
-            if at - c > MAX_OFFSET:
-                break
-            if best and data[c + best] != data[at + best]:
-                continue
-            n = _length(data, c, at, top)
-            if n > best:
-                best, offset = n, at - c
-                if n == top:
-                    break
-        return best, offset
-
-
-def tokens(data: bytes, lazy: bool = True, depth: int = DEPTH) -> Iterator[Token]:
-    """Literals and references that rebuild the data.
-
-    With ``lazy`` a match gives way to a literal if the next byte starts a
-    longer one; the next byte is looked up before it is added, so it never
-    finds itself.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        n = max(n, BLOCK_BYTES + 1)
+        for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _powers[i] = np.multiply.accumulate(x)
+    return _powers
+
+
+def matches(chunks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each chunk the length and offset of the match at each position, 0 where there is none; no match leaves its chunk."""
+    data = np.frombuffer(b"".join(chunks), np.uint8)
+    size = np.array([len(c) for c in chunks])
+    end = np.cumsum(size)
+    n = len(data)
+    up, down = _power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    chunk = np.repeat(np.arange(len(chunks)), size)
+    left = np.minimum(end[chunk] - np.arange(n), MAX_MATCH)
+    salt = _mix((chunk + 1).astype(np.uint64) * _BASE)
+    length, source = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def spans(at: np.ndarray, k) -> np.ndarray:
+        return (sums[at + k] - sums[at]) * down[at]
+
+    alive = np.arange(n)
+    for k in LEVELS:
+        alive = alive[left[alive] >= k]
+        if len(alive) < 2:
+            break
+        h = _mix(spans(alive, k)) ^ salt[alive]
+        order = np.argsort(h, kind="stable")
+        h, p = h[order], alive[order]
+        same = h[1:] == h[:-1]
+        at, before = p[1:][same], p[:-1][same]
+        near = at - before <= MAX_OFFSET
+        length[at[near]], source[at[near]] = k, before[near]
+        # Only places that are not alone go on to the next length.
+        alive = np.sort(p[np.append(same, False) | np.insert(same, 0, False)])
+    # The exact length lies between the level reached and the next one.
+    at = np.flatnonzero(length)
+    nxt = np.array([*LEVELS[1:], MAX_MATCH + 1])
+    lo = length[at]
+    hi = np.minimum(nxt[np.searchsorted(LEVELS, lo)] - 1, left[at])
+    src = source[at]
+    while (lo < hi).any():
+        mid = (lo + hi + 1) // 2
+        equal = spans(at, mid) == spans(src, mid)
+        lo, hi = np.where(equal, mid, lo), np.where(equal, hi, mid - 1)
+    length[at] = lo
+    offset = np.where(length > 0, np.arange(n) - source, 0)
+    first = end - size
+    return [(length[a:b], offset[a:b]) for a, b in zip(first, end, strict=True)]
+
+
+def parse(data: bytes, length: np.ndarray, offset: np.ndarray, lazy: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and lengths of the tokens that rebuild the data (length 0 for a literal).
+
+    With ``lazy`` a match gives way to a literal if the next byte starts a longer one.
     """
-    matcher, at, n = _Matcher(data, depth), 0, len(data)
-    length, offset = matcher.find(0)
+    lengths, offsets = length.tolist(), offset.tolist()
+    lengths.append(0)
+    at, n = 0, len(data)
+    where: list[int] = []
+    what: list[int] = []
     while at < n:
-        matcher.add(at)
-        if length < MIN_MATCH:
-            yield LITERAL, data[at], 0, 0
+        k = lengths[at]
+        # Equal hashes are no proof; a match is taken only if its bytes are the same.
+        if k < MIN_MATCH or (lazy and lengths[at + 1] > k) or data[at - offsets[at] : at - offsets[at] + k] != data[at : at + k]:
+            where.append(at)
+            what.append(0)
             at += 1
-            length, offset = matcher.find(at)
-            continue
-        if lazy and length < MAX_MATCH and at + 1 < n:
-            later = matcher.find(at + 1)
-            if later[0] > length:
-                yield LITERAL, data[at], 0, 0
-                at += 1
-                length, offset = later
-                continue
-        yield REFERENCE, 0, offset, length
-        for i in range(at + 1, at + length):
-            matcher.add(i)
-        at += length
-        length, offset = matcher.find(at)
+        else:
+            where.append(at)
+            what.append(k)
+            at += k
+    return np.array(where, np.int64), np.array(what, np.int64)
+
+
+def write(data: bytes, where: np.ndarray, what: np.ndarray, offset: np.ndarray) -> bytes:
+    """The stream: flag and byte of a literal, flag, offset (low byte first) and length of a reference."""
+    if not len(where):
+        return b""
+    refs = what > 0
+    size = np.where(refs, 4, 2)
+    start = np.cumsum(size) - size
+    out = np.zeros(int(start[-1] + size[-1]), np.uint8)
+    out[start] = refs
+    off = offset[where]
+    out[start + 1] = np.where(refs, off & 255, np.frombuffer(data, np.uint8)[where])
+    out[start[refs] + 2] = off[refs] >> 8
+    out[start[refs] + 3] = what[refs]
+    return out.tobytes()
+
+
+def compress_all(chunks: list[bytes], lazy: bool = True) -> list[tuple[bytes, int, int]]:
+    """(stream, literals, references) of each chunk; chunks are searched together in blocks."""
+    out: list[tuple[bytes, int, int]] = []
+    lo = 0
+    while lo < len(chunks):
+        hi, size = lo, 0
+        while hi < len(chunks) and (hi == lo or size + len(chunks[hi]) <= BLOCK_BYTES):
+            size += len(chunks[hi])
+            hi += 1
+        for c, (length, offset) in zip(chunks[lo:hi], matches(chunks[lo:hi]), strict=True):
+            where, what = parse(c, length, offset, lazy)
+            refs = int(np.count_nonzero(what))
+            out.append((write(c, where, what, offset), len(what) - refs, refs))
+        lo = hi
+    return out
+
+
+def compress(data: bytes, lazy: bool = True) -> bytes:
+    return compress_all([data], lazy)[0][0]
+
+
+def tokens(data: bytes, lazy: bool = True) -> Iterator[Token]:
+    """Literals and references that rebuild the data."""
+    return deserialize(compress(data, lazy))
 
 
 def serialize(stream: Iterator[Token]) -> bytes:
@@ -118,21 +189,37 @@ def deserialize(stream: bytes) -> Iterator[Token]:
 
 def expand(stream: Iterator[Token]) -> bytes:
     """The data a token stream stands for; a reference may overlap what it produces."""
+    return decompress(serialize(stream))
+
+
+def decompress(stream: bytes) -> bytes:
+    """The data of a token stream, read in one go."""
     out = bytearray()
-    for flag, byte, offset, length in stream:
+    at, n = 0, len(stream)
+    while at < n:
+        flag = stream[at]
         if flag == LITERAL:
-            out.append(byte)
-            continue
-        if not 0 < offset <= len(out):
-            raise ValueError("reference before the start")
-        piece = bytes(out[len(out) - offset : len(out) - offset + min(offset, length)])
-        out += (piece * (length // offset + 1))[:length] if offset < length else piece
+            if at + 1 >= n:
+                raise ValueError("truncated literal")
+            out.append(stream[at + 1])
+            at += 2
+        elif flag == REFERENCE:
+            if at + 3 >= n:
+                raise ValueError("truncated reference")
+            offset, length = stream[at + 1] | stream[at + 2] << 8, stream[at + 3]
+            start = len(out) - offset
+            if not offset or start < 0:
+                raise ValueError("reference before the start")
+            if offset >= length:
+                out += out[start : start + length]
+            else:
+                out += (out[start:] * (length // offset + 1))[:length]
+            at += 4
+        else:
+            raise ValueError("invalid token flag")
     return bytes(out)
 
 
-def compress(data: bytes, lazy: bool = True, depth: int = DEPTH) -> bytes:
-    return serialize(tokens(data, lazy, depth))
-
-
-def decompress(stream: bytes) -> bytes:
-    return expand(deserialize(stream))
+def token_arrays(stream: bytes) -> list[dict[str, int]]:
+    """The tokens of a stream as records."""
+    return [dict(zip(("flag", "byte_val", "offset", "length"), t, strict=True)) for t in deserialize(stream)]

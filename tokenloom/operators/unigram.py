@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.chars import WS_SP, fold_ascii
+from ..functions.chars import LOWER, UPPER, WS_SP, fold_ascii
 from ..plans.config import APP_SP, SpConfig
 from . import bpe
 
@@ -234,6 +235,27 @@ def encoder(model: list[tuple[str, float]], max_chars: int):
     return run
 
 
+def pieces_function(model: list[tuple[str, float]], cfg: SpConfig = APP_SP):
+    """An Arrow UDF from raw texts to arrays of pieces, for use by name in SQL."""
+    blanks = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, 0x2007, 0x202F, 0x3000)))
+    run_of, camel, fold = re.compile(f"[{blanks}]+"), re.compile("([a-z])([A-Z])"), str.maketrans(UPPER, LOWER)
+    longest = max([len(p) for p, _ in model if len(p) <= cfg.max_piece_chars], default=1)
+
+    def norm(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = t.strip(blanks)
+        t = camel.sub(rf"\1{MARKER}\2", t) if cfg.split_camel_case else t
+        t = run_of.sub(MARKER, t)
+        return MARKER + (t.translate(fold) if cfg.lowercase else t) if t else ""
+
+    @F.arrow_udf("array<string>")
+    def run(text: pa.Array) -> pa.Array:
+        return Segmenter([p for p, _ in model], [c for _, c in model], longest)(pa.array([norm(t) for t in text.to_pylist()], pa.string()))
+
+    return run
+
+
 def encode(corpus: DataFrame, model: DataFrame, cfg: SpConfig = APP_SP, *more: Column) -> DataFrame:
     """(doc_id, pieces, ids) and any more columns of the corpus; unseen pieces have id 0, a null text gives null."""
     rows = model.select("id", "piece", "log_prob").collect()  # bounded by the vocabulary

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from .operators import bpe, charcodec, container, pretokenize, unigram
 from .plans import pipeline
 from .plans.config import APP_BPE, APP_SP, BpeConfig, CodecConfig, SpConfig
 from .sources import corpus as corpora
-from .sources import strictcsv
+from .sources import models, strictcsv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,21 +470,44 @@ def compression_stats(spark: SparkSession, d: str) -> DataFrame:
     return container.statistics(container.compressed_chunks(_bytes(spark, d)))
 
 
+@_query(f"""select doc_id as id, cast(octet_length(encode(text)) as bigint) as original_bytes, cast(greatest(1, ceil(octet_length(encode(text)) / {float(CodecConfig.chunk_size)})) as bigint) as num_chunks,
+    octet_length(encode(text)) as covered, true as size_of_container, true as shares_agree, octet_length(encode(text)) > 2000 as must_shrink from documents where text is not null""".replace("octet_length(encode(text)) as covered", "cast(octet_length(encode(text)) as bigint) as covered"))
+def compression_laws(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the statistics: sizes are those of the containers, tokens cover all bytes, shares follow from sizes, and long texts shrink."""
+    chunks = container.compressed_chunks(_bytes(spark, d)).persist()
+    packed = container.containers(chunks)
+    tokens = container.token_rows(packed).groupBy("id").agg(F.sum(F.when(F.col("flag") == 0, 1).otherwise(F.col("length"))).cast("long").alias("covered"), F.count_if(F.col("flag") == 0).alias("lits"), F.count_if(F.col("flag") == 1).alias("refs"))
+    both = container.statistics(chunks).join(packed, "id").join(tokens, "id", "left")
+    counted = (F.coalesce("lits", F.lit(0)) == F.col("lz77_literals")) & (F.coalesce("refs", F.lit(0)) == F.col("lz77_refs"))
+    share = F.col("compressed_bytes") / F.nullif("original_bytes", F.lit(0))
+    agree = F.coalesce((F.abs(F.col("ratio") - share) < 1e-9) & (F.abs(F.col("saving_pct") - (1 - share) * 100) < 1e-6), F.col("ratio").isNull()) & counted
+    must = (F.col("original_bytes") > 2000) & (F.col("ratio") < 1)
+    return both.select("id", "original_bytes", "num_chunks", F.coalesce("covered", F.lit(0).cast("long")).alias("covered"), (F.octet_length("container") == F.col("compressed_bytes")).alias("size_of_container"), agree.alias("shares_agree"), must.alias("must_shrink"))
+
+
 @_query("select doc_id as id, cast(octet_length(encode(text)) as bigint) as n_bytes from documents where text is not null and text <> ''")
 def lz_token_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Token rows of every chunk: literals and reference lengths add up to the bytes, offsets stay within two bytes."""
-    chunks = container.split(_bytes(spark, d), CodecConfig().chunk_size)
-    tokens = chunks.select("id", F.explode(container.token_column("chunk")).alias("t")).select("id", "t.*").where("offset < 65536")
+    """Tokens read back from the containers as rows: literals and reference lengths add up to the bytes, offsets stay within two bytes."""
+    packed = container.containers(container.compressed_chunks(_bytes(spark, d)))
+    tokens = container.token_rows(packed).where("offset < 65536")
     return tokens.groupBy("id").agg(F.sum(F.when(F.col("flag") == 0, 1).otherwise(F.col("length"))).cast("long").alias("n_bytes"))
 
 
-@_query()
+@_query(f"select doc_id as id, cast(i as integer) as chunk_idx, case when size > 0 then 1.0::double else 0.0::double end as kraft from {_CHUNKS.replace(str(_CHUNK), str(CodecConfig.chunk_size))}")
 def huffman_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """(id, chunk_idx, kraft, used): the code lengths of every chunk; kraft never exceeds 1."""
+    """(id, chunk_idx, kraft): the code lengths of every chunk; a code that wastes nothing has a sum of 1."""
     lengths = F.transform(F.regexp_extract_all(F.hex("lengths"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
-    used = F.filter(lengths, lambda n: n > 0)
-    kraft = F.aggregate(used, F.lit(0.0), lambda a, n: a + F.pow(F.lit(2.0), -n))
-    return container.compressed_chunks(_bytes(spark, d)).select("id", "chunk_idx", kraft.alias("kraft"), F.size(used).alias("used"))
+    kraft = F.aggregate(F.filter(lengths, lambda n: n > 0), F.lit(0.0), lambda a, n: a + F.pow(F.lit(2.0), -n))
+    return container.compressed_chunks(_bytes(spark, d)).select("id", "chunk_idx", kraft.alias("kraft"))
+
+
+@_query("""with recursive counts as (select doc_id, b, count(*) as k from (select doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) as b from documents where text is not null) group by doc_id, b),
+    merged as (select doc_id, list_sort(list(k)) as l, cast(count(*) as bigint) as n, cast(case when count(*) = 1 then sum(k) else 0 end as bigint) as bits from counts group by doc_id union all
+        select doc_id, list_sort(list_append(l[3:], l[1] + l[2])), n, bits + l[1] + l[2] from merged where len(l) > 1)
+    select doc_id as id, n as n_symbols, bits from merged where len(l) = 1""")
+def huffman_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Bits of every document under the prefix code of its bytes: no code has fewer."""
+    return container.code_cost(_bytes(spark, d))
 
 
 @_query("select doc_id as id, sha256(text) as h from documents where text is not null")
@@ -491,20 +516,99 @@ def charcodec_roundtrip_hash(spark: SparkSession, d: str) -> DataFrame:
     return packed.select(F.col("doc_id").alias("id"), F.sha2(charcodec.decompress_column("z"), 256).alias("h"))
 
 
-@_query("select doc_id as id, cast(octet_length(encode(text)) as bigint) as text_bytes, true as same from documents where text is not null")
+@_query("""select doc_id as id, cast(octet_length(encode(text)) as bigint) as text_bytes, true as same, true as counts_agree from documents where text is not null""")
 def charcodec_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = _docs(spark, d).where("text is not null").select("doc_id", charcodec.statistics_column("text").alias("s"))
-    return s.select(F.col("doc_id").alias("id"), "s.text_bytes", "s.same")
+    """Statistics of the character codec: the round trip, and the counts against the header of the stream."""
+    s = _docs(spark, d).where("text is not null").select("doc_id", charcodec.statistics_column("text").alias("s"), charcodec.compress_column("text").alias("z"))
+    in_header = F.conv(F.hex(F.substring("z", 5, 4)), 16, 10).cast("long")
+    agree = (F.col("s.literals") + F.col("s.refs") == in_header) & (F.col("s.compressed_bytes") == F.octet_length("z"))
+    return s.select(F.col("doc_id").alias("id"), "s.text_bytes", "s.same", agree.alias("counts_agree"))
 
 
 # --- line CSV -------------------------------------------------------------
 
 
-@_query()
+_LENIENT = """list_transform(regexp_extract_all(',' || line, ',((?:[^",]|"(?:[^"]|"")*(?:"|$))*)', 1), lambda f: replace(regexp_replace(f, '"((?:[^"]|"")*)(?:"|$)', '\\1', 'g'), '""', '"'))"""
+
+
+@_query(f"select line_id, array_to_string({_LENIENT}, chr(31)) as fields from (select line_id, min(line) as line from essay_csv_lines where line is not null group by line_id)")
 def csv_lenient_fields(spark: SparkSession, d: str) -> DataFrame:
     """The lenient line parser: a quote anywhere toggles quoting."""
     lines = _table(spark, d, "essay_csv_lines").where("line is not null").groupBy("line_id").agg(F.min("line").alias("line"))
-    return lines.select("line_id", corpora.split_line_column("line").alias("fields"))
+    return lines.select("line_id", F.array_join(corpora.split_line_column("line"), "\x1f").alias("fields"))
+
+
+# One line per place in a file, as files hold them.
+_FILE_LINES = "(select file_name, line_no, min(line) as line from essay_csv_lines where file_name is not null and line is not null and line_no is not null and not contains(line, chr(10)) group by file_name, line_no)"
+
+
+@_query(f"""with rows as (select file_name, line, row_number() over (partition by file_name order by line_no) as i, {_LENIENT} as f from {_FILE_LINES}),
+    heads as (select file_name, coalesce(list_position(list_transform(f, lambda x: lower(x)), 'text'), 1) as c from rows where i = 1),
+    texts as (select file_name, i, case when len(f) >= c then f[c] else f[1] end as text from rows join heads using (file_name) where i > 1 and line <> '')
+    select cast(row_number() over (order by file_name, i) as bigint) as place, text from texts where text <> ''""")
+def csv_corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of several CSV files, each with its own header, in file order: the files are written first, then scanned."""
+    rows = _table(spark, d, "essay_csv_lines").where("file_name is not null and line is not null and line_no is not null and not contains(line, '\n')")
+    once = rows.groupBy("file_name", "line_no").agg(F.min("line").alias("line"))
+    whole = once.groupBy("file_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    folder = _folder(spark)
+    corpora.write_files(whole.select(F.col("file_name").alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
+    return _places(corpora.csv_corpus(spark, folder))
+
+
+@_query("""select cast(row_number() over (order by doc_id, i) as bigint) as place, line as text from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null) where line <> ''""")
+def text_corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of text files in file order: one file is written for each document, then all are scanned."""
+    folder = _folder(spark)
+    named = _docs(spark, d).where("text is not null").select(F.format_string("%012d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    corpora.write_files(named, folder)
+    return _places(corpora.text_corpus(spark, folder))
+
+
+@_query("select cast(d.doc_id as varchar) || '.txt' as name, sha256(text) as h, cast(octet_length(encode(text)) as bigint) as size from documents d where text is not null")
+def whole_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files written and read again, as bytes."""
+    folder = _folder(spark)
+    corpora.write_files(_bytes(spark, d).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), "content"), folder)
+    return corpora.files(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"), "size")
+
+
+@_query("select cast(d.doc_id as varchar) || '_decompressed.txt' as name, sha256(text) as h from documents d where text is not null")
+def file_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Files compressed to containers and restored, all on Spark."""
+    folder = _folder(spark)
+    corpora.write_files(_bytes(spark, d).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), "content"), f"{folder}/in")
+    pipeline.compress_files(spark, f"{folder}/in", f"{folder}/packed", CodecConfig(chunk_size=_CHUNK))
+    pipeline.decompress_files(spark, f"{folder}/packed", f"{folder}/out")
+    return corpora.files(spark, f"{folder}/out").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+
+
+@_query(f"{_merged_sql(_K)} select subword from {_HARVEST}")
+def bpe_model_file(spark: SparkSession, d: str) -> DataFrame:
+    """A trained vocabulary saved as a table and read again."""
+    path = f"{_folder(spark)}/model"
+    models.save(_vocab(spark, d), path)
+    return models.load(spark, path)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for the files of a query, in the folder all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """Texts numbered in order; only counts per range of ids meet in one place."""
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m"))
+    sizes = {r.part: r.n for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("part") + 1)
+    return ordered.select((start + F.col("m").bitwiseAND((1 << 33) - 1) + 1).alias("place"), "text")
 
 
 @_query("select doc_id, case when b < 1024 then printf('%d B', b) when b < 1048576 then printf('%.2f KB', b / 1024.0) else printf('%.2f MB', b / 1048576.0) end as size from (select doc_id, octet_length(encode(text)) as b from documents where text is not null)")
@@ -512,6 +616,26 @@ def byte_sizes_shown(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", chars.format_bytes(F.octet_length("text")).alias("size"))
 
 
+_LONG = "case " + " ".join(f"when b < {1024 ** (k + 1)} then printf('%.1f {u}', b / {float(1024**k)})" for k, u in enumerate(("B", "KB", "MB", "GB", "TB"))) + f" else printf('%.1f PB', b / {float(1024**5)}) end"
+
+
+@_query(f"""select doc_id, {_LONG} as size, case when ms < 1000 then printf('%.2f ms', ms) else printf('%.2f s', ms / 1000.0) end as took, round((b / 1048576.0) / (ms / 1000.0), 9) as mb_per_s
+    from (select doc_id, cast(octet_length(encode(text)) as bigint) * doc_id * doc_id as b, cast(10 * (octet_length(encode(text)) + 1) as double) as ms from documents where text is not null)""")
+def long_sizes_shown(spark: SparkSession, d: str) -> DataFrame:
+    """The long ladder of sizes, times and throughput, of figures made from the texts."""
+    rows = _docs(spark, d).where("text is not null").select("doc_id", (F.octet_length("text").cast("long") * F.col("doc_id") * F.col("doc_id")).alias("b"), (10 * (F.octet_length("text") + 1)).cast("double").alias("ms"))
+    return rows.select("doc_id", chars.format_bytes_long(F.col("b")).alias("size"), chars.format_millis(F.col("ms")).alias("took"), F.round(chars.throughput_mb(F.col("b"), F.col("ms")), 9).alias("mb_per_s"))
+
+
+@_query(f"""select c, regexp_matches(c, '^[{WS_BPE}]$') as blank, regexp_matches(c, '^[{WS_SP}]$') as blank_sp, regexp_matches(c, '^[{PUNCT}]$') as punct, c in ('-', '_', '/', chr(39)) as connector, c between 'a' and 'z' as lower, c between 'A' and 'Z' as upper, count(*) as n
+    from (select unnest(regexp_extract_all(text, '(?s).')) as c from documents where text is not null) group by c""")
+def character_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of every character of the documents."""
+    counts = _docs(spark, d).where("text is not null").select(F.explode(chars.split_chars(F.col("text"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    c = F.col("c")
+    return counts.select("c", chars.is_whitespace(c).alias("blank"), chars.is_whitespace(c, sp=True).alias("blank_sp"), chars.is_punctuation(c).alias("punct"), chars.is_connector(c).alias("connector"), chars.is_ascii_lower(c).alias("lower"), chars.is_ascii_upper(c).alias("upper"), "n")
+
+
 # --- rows that fail to parse (problem 4) ----------------------------------
 
 _CELL = '(?:"(?:[^"]|"")*"|[^",]*)'
@@ -534,6 +658,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return strictcsv.rejected(_table(spark, d, "essay_csv_lines"))
 
 
-@_query()
+@_query(f"select line_id, cast(k as bigint) as essay_id, t as text, cast(g as integer) as is_generated, cast(nullif(gr, '') as integer) as grade, strptime(s, '%Y-%m-%d %H:%M:%S') as submitted_at from ({_P4.replace('select line_id, case', 'select *, case')}) where reason is null")
 def p4_valid(spark: SparkSession, d: str) -> DataFrame:
     return strictcsv.valid(_table(spark, d, "essay_csv_lines"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,10 +47,33 @@ def split_line_column(line: pa.Array) -> pa.Array:
     return pa.array([None if x is None else split_line(x) for x in line.to_pylist()], pa.list_(pa.string()))
 
 
+#: A file has fewer bytes than this, and so fewer lines; document ids count lines from a multiple of it on.
+FILE_SPAN = 1 << 42
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files; only a line feed ends a line, a carriage return stays."""
-    raw = spark.read.option("lineSep", "\n").text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """(file, line_no, first, line) of text files, ``line_no`` rising in file order over all files, ``first`` marking the first line of a file.
+
+    Only a line feed ends a line, a carriage return stays.  Files are in order
+    of their paths; a block of a file is read in order by one task, and its
+    lines are numbered from its first byte on, so no pass over all lines is
+    needed to number them (numbers rise but have gaps).
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    order = {f: i for i, f in enumerate(sorted(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("f")).distinct().toPandas()["f"]))}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for b in batches:
+            nos, first = [], []
+            for place in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = n + 1 if place == last else 0
+                last = place
+                nos.append(order[place[0]] * FILE_SPAN + place[1] + n)
+                first.append(place[1] == 0 and n == 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nos, pa.int64()), pa.array(first, pa.bool_()), b.column(2)], names=["file", "line_no", "first", "line"])
+
+    return raw.mapInArrow(number, "file string, line_no long, first boolean, line string")
 
 
 def text_corpus(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
@@ -56,18 +81,26 @@ def text_corpus(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
     return cap(lines(spark, path).where("line <> ''").select(F.col("line_no").alias("doc_id"), F.col("line").alias("text")), max_rows)
 
 
+@F.arrow_udf(T.IntegerType())
+def text_column(header: pa.Array) -> pa.Array:
+    """The place of the column called ``text`` (in any ASCII case) in a header line, else 0."""
+    out = []
+    for x in header.to_pylist():
+        names = [n.lower() if n.isascii() else n for n in split_line(x or "")]
+        out.append(names.index("text") if "text" in names else 0)
+    return pa.array(out, pa.int32())
+
+
 def csv_corpus(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
-    """(doc_id, text): the ``text`` column of a header (in any ASCII case), else the first column.
+    """(doc_id, text): the ``text`` column of each file's own header (in any ASCII case), else its first column.
 
     A row too short for the column falls back to its first field; empty text is dropped.
     """
     rows = lines(spark, path)
-    head = rows.orderBy("line_no").limit(1).collect()
-    names = [n.lower() if n.isascii() else n for n in split_line(head[0].line)] if head else []
-    at = names.index("text") if "text" in names else 0
-    body = rows.where(F.col("line_no") > (head[0].line_no if head else -1)).where("line <> ''")
-    fields = body.select("line_no", split_line_column("line").alias("f"))
-    text = F.when(F.size("f") > at, F.element_at("f", at + 1)).otherwise(F.element_at("f", 1))
+    heads = rows.where("first").select("file", text_column("line").alias("at"))
+    body = rows.where("not first and line <> ''").join(heads, "file")
+    fields = body.select("line_no", "at", split_line_column("line").alias("f"))
+    text = F.when(F.size("f") > F.col("at"), F.element_at("f", F.col("at") + 1)).otherwise(F.element_at("f", 1))
     return cap(fields.select(F.col("line_no").alias("doc_id"), text.alias("text")).where("text <> ''"), max_rows)
 
 
@@ -77,12 +110,18 @@ def cap(corpus: DataFrame, max_rows: int) -> DataFrame:
 
 
 def corpus(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
+    """A corpus by its extension."""
     return (csv_corpus if is_csv_path(path) else text_corpus)(spark, path, max_rows)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, content) of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
+    """(path, size, content) of whole files; empty ones, which Spark's scan leaves out, are added from its listing."""
+    scan = spark.read.format("binaryFile").load(path)
+    found = scan.select("path", F.col("length").alias("size"), "content")
+    jvm = spark._jvm
+    listed = [(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString(),) for f in scan.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(found.select("path"), "path", "left_anti")
+    return found.unionByName(empty.select("path", F.lit(0).cast("long").alias("size"), F.lit(b"").alias("content")))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -92,13 +131,16 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_files(df: DataFrame, folder: str) -> None:
-    """Write each (name, content) to a file of its own in a folder all executors share."""
+    """Write each (name, content) to a file of its own in a folder all executors reach, on any file system Arrow knows by its URI."""
+    where = folder if "://" in folder else Path(folder).resolve().as_uri()
 
     def put(rows) -> None:
+        files, root = fs.FileSystem.from_uri(where)
         for r in rows:
-            target = Path(folder) / r.name
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_bytes(bytes(r.content))
+            target = f"{root}/{r.name}"
+            files.create_dir(target.rpartition("/")[0], recursive=True)
+            with files.open_output_stream(target) as out:
+                out.write(bytes(r.content))
 
     df.select("name", "content").foreachPartition(put)
 

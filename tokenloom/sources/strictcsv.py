@@ -1,8 +1,9 @@
 """Problem 4: rows that fail to parse, set apart with the reason.
 
-Lines are assembled to records quote-aware within the bounds of a line (a
-field never spans lines here), parsed by Python's strict csv reader inside
-``mapInArrow``, and structural failures are caught before any field is typed.
+Records are assembled from lines quote-aware, parsed by Python's strict csv
+reader inside ``mapInArrow``, and structural failures are caught before any
+field is typed.  In the tables of this project a field never spans lines, so a
+line is a record; ``assemble`` joins lines for files where quoted fields do.
 The header of a file may name its columns in any order, so the lines are joined
 with the headers of their files; that join is a plain equi-join which Spark
 splits where one file holds most lines.
@@ -14,7 +15,7 @@ import csv
 import datetime as dt
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,22 +32,49 @@ class BrokenQuoting(ValueError):
     """The line cannot be split into fields."""
 
 
+def assemble(lines: Iterable[str]) -> Iterator[str]:
+    """Records of lines: a line with an odd number of quotes goes on in the next one, up to the line that closes it."""
+    held: list[str] = []
+    is_open = False
+    for line in lines:
+        held.append(line)
+        is_open ^= line.count('"') % 2 == 1
+        if not is_open:
+            yield "\n".join(held)
+            held = []
+    if held:
+        yield "\n".join(held)
+
+
+#: What stands for line breaks while the reader, which takes them for ends of records, sees a field: private use characters.
+_BREAKS = (("\r", "\U000f0d0d"), ("\n", "\U000f0a0a"))
+
+
 def split_record(line: str) -> list[str]:
-    """The fields of one line; quotes only around a whole field, doubled inside."""
-    if '"' not in line:
-        return line.split(",")
-    at = 0
-    while True:
+    """The fields of one record; quotes only around a whole field, doubled inside.
+
+    The strict reader lets quotes pass inside a field that does not begin with
+    one; those are caught first.
+    """
+    at, quoted = 0, '"' in line
+    while quoted:
         m = _FIELD.match(line, at)
         if not m:
             raise BrokenQuoting(line)
         at = m.end()
         if at == len(line):
             break
+    broken = "\r" in line or "\n" in line
+    if broken:
+        for char, sign in _BREAKS:
+            line = line.replace(char, sign)
     try:
-        (record,) = csv.reader([line], strict=True)
+        (record,) = csv.reader([line], strict=True) if line else ([""],)
     except (csv.Error, ValueError) as e:
         raise BrokenQuoting(line) from e
+    if broken:
+        for char, sign in _BREAKS:
+            record = [f.replace(sign, char) for f in record]
     return record
 
 
