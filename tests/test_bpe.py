@@ -78,6 +78,10 @@ def test_longest_match_equals_greedy_loop(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r.p for r in df.select(bpe.word_pieces(df.w, bpe.longest_match_pattern(sorted(vocab))).alias("p")).collect()]
     assert got == [greedy(w, vocab) for w in words]
+    rows = [(i, words[i : i + i % 7]) for i in range(0, 200, 3)] + [(900, None), (901, [])]
+    held = spark.createDataFrame(rows, "i long, t array<string>").repartition(2)
+    got = {r.i: r.p for r in held.select("i", bpe.pieces_of_tokens(sorted(vocab))("t").alias("p")).collect()}
+    assert got == {i: None if t is None else [p for w in t for p in greedy(w, vocab)] for i, t in rows}
 
 
 def test_oov_by_first_appearance_and_unknown(spark):

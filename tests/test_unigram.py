@@ -75,6 +75,16 @@ def test_ngram_counts_equal_a_plain_count():
     assert got == want
 
 
+@pytest.mark.parametrize("room", [1, 5, 30, 10_000])
+def test_best_ngrams_equal_an_ordering_of_all(spark, room):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([("▁" + "".join(rng.choice("abé") for _ in range(30)),) for _ in range(40)], "norm string")
+    every = unigram.ngram_counts(rows, 4)
+    want = every.orderBy(F.desc("n"), F.octet_length("piece").desc(), "piece").limit(room).collect()
+    total, best = unigram.best_ngrams(rows, 4, room)
+    assert total == every.agg(F.sum("n")).first()[0] and best == [(r.piece, r.n) for r in want]
+
+
 def test_model_and_round_trip(spark):
     docs = spark.createDataFrame([(0, "Hello myWorld hello"), (1, ""), (2, None), (3, "hello zz")], "doc_id long, text string")
     cfg = SpConfig(target_vocab=30, max_piece_chars=4)

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -244,9 +245,48 @@ def piece_array(text: Column, pattern: str, cfg: BpeConfig = APP_BPE) -> Column:
     return F.transform(found, lambda p: F.when(p.startswith(" "), F.substring(p, 2, 1 << 30)).otherwise(F.concat(F.lit("##"), p)))
 
 
+def pieces_of_tokens(subwords: list[str]):
+    """An Arrow UDF from arrays of normalized tokens to arrays of pieces.
+
+    Each different token of a batch is matched once, and known tokens of
+    earlier batches are not matched again.
+    """
+    known = frozenset(subwords)
+    longest = max(map(len, known), default=1)
+    memo: dict[str, list[str]] = {}
+
+    def cut(word: str) -> list[str]:
+        out, at, n = [], 0, len(word)
+        while at < n:
+            k = min(longest, n - at)
+            while k > 1 and word[at : at + k] not in known:
+                k -= 1
+            out.append(word[at : at + k] if not at else f"##{word[at : at + k]}")
+            at += k
+        return out
+
+    @F.arrow_udf("array<string>")
+    def run(tokens: pa.Array) -> pa.Array:
+        if len(memo) > 500_000:
+            memo.clear()
+        flat = tokens.flatten().dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        for w in words:
+            if w not in memo:
+                memo[w] = cut(w)
+        each = pa.array([memo[w] for w in words], pa.list_(pa.string()))
+        lists = each.take(flat.indices)
+        sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+        per_text = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = pa.array(sizes[np.concatenate([[0], np.cumsum(per_text)])].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, lists.flatten(), mask=tokens.is_null()) if tokens.null_count else pa.ListArray.from_arrays(offsets, lists.flatten())
+
+    return run
+
+
 def tokenize(corpus: DataFrame, subwords: list[str], cfg: BpeConfig = APP_BPE, *more: Column) -> DataFrame:
     """(doc_id, pieces) and any more columns of the corpus; a null text gives null, an empty one no pieces."""
-    return corpus.select("doc_id", *more, piece_array(F.col("text"), longest_match_pattern(subwords), cfg).alias("pieces"))
+    return corpus.select("doc_id", *more, pieces_of_tokens(subwords)(normalized_tokens(F.col("text"), cfg)).alias("pieces"))
 
 
 def pieces_function(subwords: list[str], cfg: BpeConfig = APP_BPE):

@@ -61,6 +61,12 @@ def ngram_counts(rows: DataFrame, max_chars: int) -> DataFrame:
 
 def count_ngrams(texts: list[str], max_chars: int, block: int = 500_000) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Distinct n-grams of the texts and their counts, by blocks of text and length."""
+    for joined, at, _, first, n, k in hashed_ngrams(texts, max_chars, block):
+        yield pa.array([joined[i : i + k] for i in at[first].tolist()], pa.string()), pa.array(n, pa.int64())
+
+
+def hashed_ngrams(texts: list[str], max_chars: int, block: int = 500_000) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """By blocks of text and length: the block, the places of its n-grams, the distinct hashes, the first place of each, their counts, and the length."""
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
@@ -73,13 +79,12 @@ def count_ngrams(texts: list[str], max_chars: int, block: int = 500_000) -> Iter
         for a, b in _spans(texts[lo:hi]):
             left[a:b] = np.arange(b - a, 0, -1)
         h = np.zeros(len(cp), np.uint64)
-        for k in range(max_chars):
-            h = h[: len(cp) - k] * np.uint64(0x9E3779B97F4A7C15) + (cp[k:].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-            if k:
-                at = np.flatnonzero(left[: len(h)] > k)
-                _, first, n = np.unique(h[at], return_index=True, return_counts=True)
-                yield pa.array([joined[i : i + k + 1] for i in at[first].tolist()], pa.string()), pa.array(n, pa.int64())
+        for k in range(1, max_chars + 1):
+            h = _extend(h[: len(cp) - k + 1], cp[k - 1 :])
+            if k > 1:
+                at = np.flatnonzero(left[: len(h)] >= k)
+                hashes, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                yield joined, at, hashes, first, n, k
         lo = hi
 
 
@@ -90,6 +95,49 @@ def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
         at += len(t) + 1
 
 
+def best_ngrams(rows: DataFrame, max_chars: int, room: int) -> tuple[int, list[tuple[str, int]]]:
+    """The occurrences of all n-grams with at least two, and the ``room`` best of them: most frequent, longest in bytes, smallest.
+
+    N-grams are counted by their hashes; the strings are looked up for those
+    alone that are frequent enough to be among the best.
+    """
+    width = rows.sparkSession.sparkContext.defaultParallelism
+    texts = rows.select("norm").repartition(width)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, hashes, _, n, _ in hashed_ngrams(batch.column(0).to_pylist(), max_chars):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counts = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).persist()
+    try:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        top = counts.orderBy(F.desc("n")).limit(room).agg(F.min("n")).first()[0] if room > 0 else None
+        if top is None:
+            return total, []
+        wanted = counts.where(F.col("n") >= top)
+        if wanted.count() > 50 * room:  # many ties at a low count: let Spark order the strings
+            best = ngram_counts(rows, max_chars).orderBy(F.desc("n"), F.octet_length("piece").desc(), "piece").limit(room)
+            return total, [(r.piece, r.n) for r in best.collect()]
+        n_of = {r.h: r.n for r in wanted.collect()}
+    finally:
+        counts.unpersist()
+    held = np.sort(np.array(list(n_of), np.int64))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for joined, at, hashes, first, _, k in hashed_ngrams(batch.column(0).to_pylist(), max_chars):
+                h = hashes.view(np.int64)
+                hit = [i for i in np.flatnonzero(held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h).tolist() if int(h[i]) not in seen]
+                seen.update(h[hit].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array([joined[i : i + k] for i in at[first[hit]].tolist()], pa.string())], names=["h", "piece"])
+
+    named = texts.mapInArrow(name, "h long, piece string").distinct().collect()  # at most 50 x room n-grams
+    order = sorted(((n_of[r.h], r.piece) for r in named), key=lambda x: (-x[0], -len(x[1].encode()), x[1].encode()))
+    return total, [(piece, n) for n, piece in order[:room]]
+
+
 def train(corpus: DataFrame, cfg: SpConfig = APP_SP) -> DataFrame:
     """The model (id, piece, n, log_prob): the unknown piece, all characters, then the best n-grams up to the target size."""
     rows = training_rows(corpus, cfg).persist()
@@ -98,14 +146,10 @@ def train(corpus: DataFrame, cfg: SpConfig = APP_SP) -> DataFrame:
         chars = seed_chars(rows).orderBy(F.desc("n"), "piece").collect()  # bounded by the alphabet
         if not chars:
             raise ValueError("no training text")
-        counts = ngram_counts(rows, cfg.max_piece_chars).persist()
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        room = cfg.target_vocab - 1 - len(chars)
-        best = counts.orderBy(F.desc("n"), F.octet_length("piece").desc(), "piece").limit(room).collect() if room > 0 else []  # bounded by the target
-        counts.unpersist()
+        total, best = best_ngrams(rows, cfg.max_piece_chars, cfg.target_vocab - 1 - len(chars))
     finally:
         rows.unpersist()
-    model = [(UNK, 0, UNK_LOG_PROB), *[(r.piece, r.n, r.log_prob) for r in chars if r.piece != UNK], *[(r.piece, r.n, math.log(r.n / total)) for r in best if r.piece != UNK]]
+    model = [(UNK, 0, UNK_LOG_PROB), *[(r.piece, r.n, r.log_prob) for r in chars if r.piece != UNK], *[(p, n, math.log(n / total)) for p, n in best if p != UNK]]
     return spark.createDataFrame([(i, *m) for i, m in enumerate(model)], "id int, piece string, n long, log_prob double")
 
 
