@@ -192,13 +192,13 @@ def id_map(vocab: DataFrame, unknown_token: str = "<unk>") -> DataFrame:
 
 def train(corpus: DataFrame, cfg: BpeConfig = APP_BPE) -> DataFrame:
     """The vocabulary (subword) of a corpus (doc_id, text); raises if there is no word to learn from."""
-    types = word_types(training_words(corpus, cfg)).persist()
+    segmented = segment_types(word_types(training_words(corpus, cfg)), cfg).persist()  # at most ``word_limit`` rows, read twice
     try:
-        if types.isEmpty():
-            raise ValueError("no training words")
-        found = [r.subword for r in harvest(segment_types(types, cfg)).collect()]  # bounded by the word limit
+        found = [r.subword for r in harvest(segmented).collect()]  # bounded by the word limit
     finally:
-        types.unpersist()
+        segmented.unpersist()
+    if not found:
+        raise ValueError("no training words")
     return corpus.sparkSession.createDataFrame([(s,) for s in sorted(found)], "subword string")
 
 

@@ -38,8 +38,16 @@ def training_rows(corpus: DataFrame, cfg: SpConfig = APP_SP) -> DataFrame:
 
 
 def seed_chars(rows: DataFrame) -> DataFrame:
-    """(piece, n, log_prob): every character of the training text."""
-    counts = rows.select(F.explode(F.split("norm", "")).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    """(piece, n, log_prob): every character of the training text; each batch is counted at once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = "".join(batch.column(0).to_pylist())
+            n = np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=1)
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in used.tolist()], pa.string()), pa.array(n[used])], names=["piece", "n"])
+
+    counts = rows.select("norm").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return counts.withColumn("log_prob", F.log(F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 
@@ -125,15 +133,20 @@ def best_ngrams(rows: DataFrame, max_chars: int, room: int) -> tuple[int, list[t
     held = np.sort(np.array(list(n_of), np.int64))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for joined, at, hashes, first, _, k in hashed_ngrams(batch.column(0).to_pylist(), max_chars):
                 h = hashes.view(np.int64)
-                hit = [i for i in np.flatnonzero(held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h).tolist() if int(h[i]) not in seen]
-                seen.update(h[hit].tolist())
+                hit = np.flatnonzero(held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h)
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array([joined[i : i + k] for i in at[first[hit]].tolist()], pa.string())], names=["h", "piece"])
 
-    named = texts.mapInArrow(name, "h long, piece string").distinct().collect()  # at most 50 x room n-grams
+    # The best n-grams are frequent: some texts hold them all, so texts are read in growing slices.
+    some = 1000
+    while True:
+        slice_ = rows.select("norm").limit(some).repartition(width)
+        named = slice_.mapInArrow(name, "h long, piece string").distinct().collect()  # at most 50 x room n-grams
+        if len(named) == len(n_of):
+            break
+        some *= 16
     order = sorted(((n_of[r.h], r.piece) for r in named), key=lambda x: (-x[0], -len(x[1].encode()), x[1].encode()))
     return total, [(piece, n) for n, piece in order[:room]]
 
