@@ -121,19 +121,25 @@ def undo_utf8(text: str, model: np.ndarray | None = None) -> str:
     a model, else the first.  Each pass shortens the text, so they end.
     """
     while True:
-        best, texts = 0, []
         mask = _codecs_with_spans(text)
         runs = [m.span() for m in _FOREIGN.finditer(text)] if mask else []
+        # Encodings that decode the same spans to the same text are one; those that could explain most are looked at first.
+        ways: dict[tuple, int] = {}
         for k, (automaton, to_byte) in enumerate(_automata()):
-            if not mask >> k & 1:
-                continue
+            if mask >> k & 1:
+                spans = tuple((*m.span(), bytes([to_byte[c] for c in m[0]]).decode("utf-8")) for lo, hi in runs for m in automaton.finditer(text, lo, hi))
+                if spans:
+                    ways.setdefault(spans, sum(b - a for a, b, _ in spans))
+        best, texts = 0, []
+        for spans, most in sorted(ways.items(), key=lambda x: -x[1]):
+            if most < best:
+                break
             out, at, size = [], 0, 0
-            for m in (m for lo, hi in runs for m in automaton.finditer(text, lo, hi)):
-                now = bytes(to_byte[c] for c in m[0]).decode("utf-8")
-                if _believable(text, m.start(), m.end(), now):
-                    out += text[at : m.start()], now
-                    at = m.end()
-                    size += m.end() - m.start()
+            for a, b, now in spans:
+                if _believable(text, a, b, now):
+                    out += text[at:a], now
+                    at = b
+                    size += b - a
             if size and size >= best:
                 texts = [*(texts if size == best else []), "".join(out) + text[at:]]
                 best = size
@@ -351,22 +357,34 @@ def _byte_tables() -> tuple[np.ndarray, ...]:
 
 def repair(text: str, model: np.ndarray) -> tuple[bool, str, bool]:
     """(damaged, text restored as far as possible, whether no known damage is left)."""
-    decoded = undo_utf8(text, model)
-    now = undo_confusion(decoded, model)
-    if decoded != text:
+    now = _restored(text, undo_utf8(text, model), True, True, model)
+    lost = "�" in now
+    return now != text or lost, now, not lost
+
+
+def _restored(text: str, decoded: str, confused_before: bool, confused_after: bool, model: np.ndarray) -> str:
+    now = undo_confusion(decoded, model) if confused_after else decoded
+    if decoded != text and confused_before:
         # What looks like multibyte spans may come from a one-byte encoding, too.
         other = undo_confusion(text, model)
         if other != text:
             now = max(now, undo_utf8(other, model), key=lambda t: likelihood(t, model))
-    lost = "�" in now
-    return now != text or lost, now, not lost
+    return now
 
 
 def repairs(texts: list[str], model: np.ndarray) -> list[tuple[int, str, bool]]:
     """(index, restored, complete) of the damaged texts; only those that can be damaged are looked at one by one."""
-    maybe = np.flatnonzero(structured(texts) | confused(texts, model))
-    found = ((int(i), *repair(texts[i], model)) for i in maybe)
-    return [(i, now, complete) for i, damaged, now, complete in found if damaged]
+    before, shaped = confused(texts, model), structured(texts)
+    maybe = np.flatnonzero(before | shaped).tolist()
+    decoded = [undo_utf8(texts[i], model) if shaped[i] else texts[i] for i in maybe]
+    after = confused(decoded, model)
+    out = []
+    for i, d, c in zip(maybe, decoded, after.tolist(), strict=True):
+        now = _restored(texts[i], d, bool(before[i]), c, model)
+        lost = "�" in now
+        if lost or now != texts[i]:
+            out.append((i, now, not lost))
+    return out
 
 
 def damaged(texts: list[str], model: np.ndarray) -> np.ndarray:

@@ -84,7 +84,7 @@ def statistics(texts: list[str], common: np.ndarray, letters: np.ndarray | None
         words = Words(part)
         cp, start = words.cp, words.start
         n = np.diff(words.first)
-        per_doc = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[start]).astype(float)  # noqa: B023, E731
+        per_doc = lambda x: np.add.reduceat(x, start[:-1], dtype=float)  # noqa: B023, E731
         per_word = lambda x: np.bincount(words.doc, x, minlength=hi - lo)  # noqa: B023, E731
         ink = ~space[cp]
         size = np.maximum(per_doc(ink), 1)
@@ -166,7 +166,7 @@ def survey(rows: DataFrame) -> Collection:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernel import Words, blocks, distinct_by_doc
+        from .kernel import Words, blocks, distinct_by_doc, mix64
         from .mojibake import count_letters
 
         def emit(kind: int, lang: list[str], key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -179,14 +179,12 @@ def survey(rows: DataFrame) -> Collection:
             both[LETTERS] += count_letters(texts)
             names, code = np.unique(np.array(langs, object), return_inverse=True)
             yield emit(TEXTS, names.tolist(), np.zeros(len(names)), np.bincount(code))
-            for lo, hi in blocks(texts, 4_000_000):
+            for lo, hi in blocks(texts):
                 w = Words([t.lower() for t in texts[lo:hi]])
                 h, doc = distinct_by_doc(w.hash, w.doc)
                 c = code[lo:hi][doc]
-                order = np.lexsort((h, c))
-                h, c = h[order], c[order]
-                edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else np.zeros(0, np.int64)
-                yield emit(WORDS, names[c[edge]].tolist(), h[edge].view(np.int64), np.diff(np.append(edge, len(h))))
+                _, first, n = np.unique(h ^ mix64(c), return_index=True, return_counts=True)
+                yield emit(WORDS, names[c[first]].tolist(), h[first].view(np.int64), n)
         for kind, sums in both.items():
             at = np.flatnonzero(sums)
             yield emit(kind, [""] * len(at), at, np.asarray(sums)[at] if len(at) else at)
