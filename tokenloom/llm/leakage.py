@@ -33,7 +33,7 @@ from .frames import cut, spread
 RUN = 12
 BLOCK_ITEMS = 8
 K1, B = 1.2, 0.75
-#: An index holds items of about so many characters (some 30 MB); more items mean more indexes and passes, never a larger one.
+#: An index holds items of about so many characters (some 20 MB); more items mean more indexes and passes, never a larger one.
 SLICE_CHARS = 4_000_000
 #: Passages that are searched in step.
 STEP_ROWS = 8192
