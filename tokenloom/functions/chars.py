@@ -84,6 +84,15 @@ def _decimals(n: Column, unit: int, places: int) -> Column:
     return F.bround(exact, places).cast("string")
 
 
+def _decimals_wide(n: Column, unit: int, places: int) -> Column:
+    """The same for whole numbers of up to 38 digits: whole units and the rest apart, so that no digit of the rest is cut."""
+    n = n.cast("decimal(38,0)")
+    rest = n % F.lit(unit).cast("decimal(20,0)")
+    whole = ((n - rest) / F.lit(unit).cast("decimal(20,0)")).cast("decimal(32,0)")
+    part = F.bround(rest.cast("decimal(26,6)") / F.lit(unit).cast("decimal(20,0)"), places)
+    return (whole + part.cast(f"decimal({places + 1},{places})")).cast("string")
+
+
 def format_bytes(n: Column) -> Column:
     """The short ladder: B, KB, MB."""
     return (
@@ -94,8 +103,8 @@ def format_bytes(n: Column) -> Column:
 
 
 def format_bytes_long(n: Column) -> Column:
-    """The long ladder: B to PB, one decimal."""
-    out = F.concat(_decimals(n, 1024**5, 1), F.lit(" PB"))
+    """The long ladder: B to PB, one decimal; sizes may be decimals of up to 38 digits."""
+    out = F.concat(_decimals_wide(n, 1024**5, 1), F.lit(" PB"))
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
         out = F.when(n < 1024 ** (k + 1), F.concat(_decimals(n, 1024**k, 1), F.lit(f" {unit}"))).otherwise(out)
     return out

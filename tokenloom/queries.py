@@ -622,9 +622,16 @@ _LONG = "case " + " ".join(f"when b < {1024 ** (k + 1)} then printf('%.1f {u}',
 @_query(f"""select doc_id, {_LONG} as size, case when ms < 1000 then printf('%.2f ms', ms) else printf('%.2f s', ms / 1000.0) end as took, round((b / 1048576.0) / (ms / 1000.0), 9) as mb_per_s
     from (select doc_id, cast(octet_length(encode(text)) as bigint) * doc_id * doc_id as b, cast(10 * (octet_length(encode(text)) + 1) as double) as ms from documents where text is not null)""")
 def long_sizes_shown(spark: SparkSession, d: str) -> DataFrame:
-    """The long ladder of sizes, times and throughput, of figures made from the texts."""
-    rows = _docs(spark, d).where("text is not null").select("doc_id", (F.octet_length("text").cast("long") * F.col("doc_id") * F.col("doc_id")).alias("b"), (10 * (F.octet_length("text") + 1)).cast("double").alias("ms"))
-    return rows.select("doc_id", chars.format_bytes_long(F.col("b")).alias("size"), chars.format_millis(F.col("ms")).alias("took"), F.round(chars.throughput_mb(F.col("b"), F.col("ms")), 9).alias("mb_per_s"))
+    """The long ladder of sizes, times and throughput, of figures made from the texts.
+
+    Products of large ids pass 64 bits, so they are decimals, exact to 38 digits.
+    """
+    squared = F.col("doc_id").cast("decimal(19,0)") * F.col("doc_id").cast("decimal(19,0)")
+    b = (squared * F.octet_length("text").cast("decimal(10,0)")).cast("decimal(38,0)")
+    rows = _docs(spark, d).where("text is not null").select("doc_id", b.alias("b"), (10 * (F.octet_length("text").cast("long") + 1)).cast("double").alias("ms"))
+    # As the database rounds: the scaled number to a whole one, then back.
+    rate = F.round(chars.throughput_mb(F.col("b").cast("double"), F.col("ms")) * 1e9, 0) / F.lit(1e9)
+    return rows.select("doc_id", chars.format_bytes_long(F.col("b")).alias("size"), chars.format_millis(F.col("ms")).alias("took"), rate.alias("mb_per_s"))
 
 
 @_query(f"""select c, regexp_matches(c, '^[{WS_BPE}]$') as blank, regexp_matches(c, '^[{WS_SP}]$') as blank_sp, regexp_matches(c, '^[{PUNCT}]$') as punct, c in ('-', '_', '/', chr(39)) as connector, c between 'a' and 'z' as lower, c between 'A' and 'Z' as upper, count(*) as n
