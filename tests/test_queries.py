@@ -1,3 +1,4 @@
+import random
 from fractions import Fraction
 
 import __spark_entry__ as entry
@@ -19,3 +20,25 @@ def test_sizes_beyond_64_bits(spark, tmp_path):
         assert got[i].size == f"{tenths // 10}.{tenths % 10} {name}" and got[i].took == "100.00 s"
         assert got[i].mb_per_s == round(float(9999 * i * i) / 1048576.0 / 100.0 * 1e9) / 1e9
     assert got[3].size == "87.9 KB"
+
+
+def test_places_where_texts_and_numbers_differ_in_size(spark, tmp_path):
+    """The texts fill several partitions when they are written, the numbers alone would fit one."""
+    rng = random.Random(1)
+    lines = [(f"f{k}.csv", 1, "id,Text") for k in range(6)] + [(f"f{k}.csv", i, f'{i},"{k}-{i} {rng.randbytes(1000).hex()}"') for k in range(6) for i in range(2, 60)]
+    d = written(spark, tmp_path, "essay_csv_lines", [(n, *x) for n, x in enumerate(lines)], "line_id long, file_name string, line_no int, line string")
+    docs = [(k, "\n".join(f"{k}/{i}" + rng.randbytes(500).hex() for i in range(k % 5))) for k in range(1, 150)]
+    written(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    wanted = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        got = entry.queries()["csv_corpus_files"](spark, d).collect()
+        assert {r.place: r.text.split()[0] for r in got} == {n: x for n, x in enumerate((f"{k}-{i}" for k in range(6) for i in range(2, 60)), 1)} and len(got) == 6 * 58
+        got = entry.queries()["text_corpus_files"](spark, d).collect()
+        want = [line for _, text in docs for line in text.split("\n") if line]
+        assert {r.place: r.text for r in got} == dict(enumerate(want, 1)) and len(got) == len(want)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

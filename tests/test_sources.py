@@ -110,3 +110,29 @@ def test_strict_lines(spark):
     assert out[5].reason is None and len(out[5].text) == 300_000 and out[5].grade is None
     assert out[6].reason == out[7].reason == "column_count"
     assert strictcsv.rejected(lines.limit(0)).count() == 0 and strictcsv.valid(lines).count() == 2
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 64])
+def test_blocks_of_any_size_give_each_line_once(tmp_path, monkeypatch, block):
+    data = "﻿id,tExt\n\n1,ab\n2,\"x, y\"\n\n,\n3\nlast,líne\r".encode() + b"\xff"
+    (tmp_path / "a.csv").write_bytes(data)
+    path = f"file:{tmp_path}/a.csv"
+    monkeypatch.setattr(corpus, "READ_BYTES", 4)
+    cuts = [(i, min(i + block, len(data))) for i in range(0, len(data), block)]
+    got = [x for c in cuts for x in corpus.block_lines(path, *c)]
+    assert [x[1] for x in got] == data.split(b"\n") and all(data[at : at + len(x)] == x for at, x in got)
+    assert [x[1] for c in cuts for x in corpus.block_texts(path, *c, True)] == [b"ab", b"x, y", b"3", "líne\r".encode() + b"\xff"]
+
+
+def test_files_with_odd_names_empty_hidden_or_packed(spark, tmp_path):
+    import gzip
+
+    for name, text in {"a b%20#ü.txt": b"one\n", "b.txt": b"", "_c.txt": b"hidden\n", "d.txt.gz": gzip.compress(b"two\n\nthree"), "e.txt": b"\xef\xbb\xbfx\n\n"}.items():
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/x.txt").write_bytes(b"not of this folder\n")
+    assert {r.path.rpartition("/")[2]: r.size for r in corpus.files(spark, str(tmp_path)).collect()}.keys() == {"a b%20#ü.txt", "b.txt", "d.txt.gz", "e.txt"}
+    assert [(r.place, r.text) for r in corpus.placed_texts(spark, str(tmp_path)).orderBy("place").collect()] == [(1, "one"), (2, "two"), (3, "three"), (4, "﻿x")]
+    assert [r.text for r in corpus.text_corpus(spark, str(tmp_path / "e*.txt")).collect()] == ["﻿x"]
+    with pytest.raises(FileNotFoundError):
+        corpus.files(spark, str(tmp_path / "none"))

@@ -553,7 +553,7 @@ def csv_corpus_files(spark: SparkSession, d: str) -> DataFrame:
     whole = once.groupBy("file_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     folder = _folder(spark)
     corpora.write_files(whole.select(F.col("file_name").alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
-    return _places(corpora.csv_corpus(spark, folder))
+    return corpora.placed_texts(spark, folder, csv=True)
 
 
 @_query("""select cast(row_number() over (order by doc_id, i) as bigint) as place, line as text from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null) where line <> ''""")
@@ -562,7 +562,7 @@ def text_corpus_files(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     named = _docs(spark, d).where("text is not null").select(F.format_string("%012d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
     corpora.write_files(named, folder)
-    return _places(corpora.text_corpus(spark, folder))
+    return corpora.placed_texts(spark, folder)
 
 
 @_query("select cast(d.doc_id as varchar) || '.txt' as name, sha256(text) as h, cast(octet_length(encode(text)) as bigint) as size from documents d where text is not null")
@@ -599,18 +599,6 @@ def _folder(spark: SparkSession) -> str:
     return f"{named or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """Texts numbered in order; only counts per range of ids meet in one place."""
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m"))
-    sizes = {r.part: r.n for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for k in range(max(sizes, default=-1) + 1):
-        before.append(total)
-        total += sizes.get(k, 0)
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("part") + 1)
-    return ordered.select((start + F.col("m").bitwiseAND((1 << 33) - 1) + 1).alias("place"), "text")
-
-
 @_query("select doc_id, case when b < 1024 then printf('%d B', b) when b < 1048576 then printf('%.2f KB', b / 1024.0) else printf('%.2f MB', b / 1048576.0) end as size from (select doc_id, octet_length(encode(text)) as b from documents where text is not null)")
 def byte_sizes_shown(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", chars.format_bytes(F.octet_length("text")).alias("size"))
