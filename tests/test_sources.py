@@ -136,3 +136,15 @@ def test_files_with_odd_names_empty_hidden_or_packed(spark, tmp_path):
     assert [r.text for r in corpus.text_corpus(spark, str(tmp_path / "e*.txt")).collect()] == ["﻿x"]
     with pytest.raises(FileNotFoundError):
         corpus.files(spark, str(tmp_path / "none"))
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.txt").write_text(f"{i}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        for rows in (corpus.files(spark, str(tmp_path)), corpus.lines(spark, str(tmp_path))):
+            assert rows.count() == 200 and rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
