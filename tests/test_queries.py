@@ -1,5 +1,7 @@
+import hashlib
 import random
 from fractions import Fraction
+from pathlib import Path
 
 import __spark_entry__ as entry
 
@@ -42,3 +44,12 @@ def test_places_where_texts_and_numbers_differ_in_size(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_files_in_between_are_removed(spark, tmp_path):
+    d = written(spark, tmp_path, "documents", [(i, "text " * i) for i in range(9)] + [(9, None)], "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(Path(folder).glob("files-*/*"))
+    got = entry.queries()["file_codec_roundtrip"](spark, d).collect()
+    assert {r.name: r.h for r in got} == {f"{i}_decompressed.txt": hashlib.sha256(b"text " * i).hexdigest() for i in range(9)}
+    assert {p.name for p in set(Path(folder).glob("files-*/*")) - before if p.is_dir()} == {"out"}

@@ -40,7 +40,9 @@ def compress_files(spark: SparkSession, path: str, folder: str, cfg: CodecConfig
         name = F.concat(F.regexp_replace(_file_name(F.col("id")), r"\.[^.]*$", ""), F.lit("_compressed.clm")).alias("name")
         corpora.write_files(container.containers(chunks, cfg.chunk_size).select(name, F.col("container").alias("content")), folder)
         stats = container.statistics(chunks).select(F.col("id").alias("path"), name, *[c for c in container.STATISTICS])
-        return spark.createDataFrame(stats.collect(), stats.schema)  # one row per file
+        kept = corpora.scratch(spark)  # one row per file, which need not fit the driver
+        stats.write.parquet(kept)
+        return spark.read.schema(stats.schema).parquet(kept)
     finally:
         chunks.unpersist()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -551,7 +549,7 @@ def csv_corpus_files(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "essay_csv_lines").where("file_name is not null and line is not null and line_no is not null and not contains(line, '\n')")
     once = rows.groupBy("file_name", "line_no").agg(F.min("line").alias("line"))
     whole = once.groupBy("file_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    folder = _folder(spark)
+    folder = corpora.scratch(spark)
     corpora.write_files(whole.select(F.col("file_name").alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
     return corpora.placed_texts(spark, folder, csv=True)
 
@@ -559,7 +557,7 @@ def csv_corpus_files(spark: SparkSession, d: str) -> DataFrame:
 @_query("""select cast(row_number() over (order by doc_id, i) as bigint) as place, line as text from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null) where line <> ''""")
 def text_corpus_files(spark: SparkSession, d: str) -> DataFrame:
     """The lines of text files in file order: one file is written for each document, then all are scanned."""
-    folder = _folder(spark)
+    folder = corpora.scratch(spark)
     named = _docs(spark, d).where("text is not null").select(F.format_string("%012d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
     corpora.write_files(named, folder)
     return corpora.placed_texts(spark, folder)
@@ -568,7 +566,7 @@ def text_corpus_files(spark: SparkSession, d: str) -> DataFrame:
 @_query("select cast(d.doc_id as varchar) || '.txt' as name, sha256(text) as h, cast(octet_length(encode(text)) as bigint) as size from documents d where text is not null")
 def whole_files(spark: SparkSession, d: str) -> DataFrame:
     """Whole files written and read again, as bytes."""
-    folder = _folder(spark)
+    folder = corpora.scratch(spark)
     corpora.write_files(_bytes(spark, d).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), "content"), folder)
     return corpora.files(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"), "size")
 
@@ -576,29 +574,23 @@ def whole_files(spark: SparkSession, d: str) -> DataFrame:
 @_query("select cast(d.doc_id as varchar) || '_decompressed.txt' as name, sha256(text) as h from documents d where text is not null")
 def file_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Files compressed to containers and restored, all on Spark."""
-    folder = _folder(spark)
+    folder = corpora.scratch(spark)
     corpora.write_files(_bytes(spark, d).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), "content"), f"{folder}/in")
     pipeline.compress_files(spark, f"{folder}/in", f"{folder}/packed", CodecConfig(chunk_size=_CHUNK))
+    corpora.remove(f"{folder}/in")
     pipeline.decompress_files(spark, f"{folder}/packed", f"{folder}/out")
+    corpora.remove(f"{folder}/packed")
     return corpora.files(spark, f"{folder}/out").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
 
 
 @_query(f"{_merged_sql(_K)} select subword from {_HARVEST}")
 def bpe_model_file(spark: SparkSession, d: str) -> DataFrame:
     """A trained vocabulary saved as a table and read again."""
-    path = f"{_folder(spark)}/model"
+    path = f"{corpora.scratch(spark)}/model"
     models.save(_vocab(spark, d), path)
     return models.load(spark, path)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for the files of a query, in the folder all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{named or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
-
-
 @_query("select doc_id, case when b < 1024 then printf('%d B', b) when b < 1048576 then printf('%.2f KB', b / 1024.0) else printf('%.2f MB', b / 1048576.0) end as size from (select doc_id, octet_length(encode(text)) as b from documents where text is not null)")
 def byte_sizes_shown(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", chars.format_bytes(F.octet_length("text")).alias("size"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 from pathlib import Path
@@ -318,6 +320,25 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))
 
 
+def _rooted(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder if "://" in folder else Path(folder).resolve().as_uri())
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files in between, in the folder all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.gettempdir()}/files-{uuid.uuid4().hex}"
+
+
+def remove(folder: str) -> None:
+    """Delete a folder of files in between; one that was never written is no error."""
+    where, root = _rooted(folder)
+    if where.get_file_info(root).type == fs.FileType.Directory:
+        where.delete_dir(root)
+
+
 def write_files(df: DataFrame, folder: str) -> None:
     """Write each (name, content) to a file of its own in a folder all executors reach, on any file system Arrow knows by its URI."""
     where = folder if "://" in folder else Path(folder).resolve().as_uri()
