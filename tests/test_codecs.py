@@ -223,3 +223,32 @@ def test_character_files(spark):
     got = {r.path: r for r in rows}
     assert got["a"].same and got["a"].saving_pct > 50 and charcodec.decompress(bytes(got["a"].content)) == "ab" * 500
     assert got["b"].same and got["b"].ratio is None and got["c"].content is None
+
+
+def test_token_rows_leave_in_bounded_batches(spark, monkeypatch):
+    """A batch is sent on once it holds enough tokens; chunks, empty and null containers keep their places."""
+    monkeypatch.setattr(container, "BATCH_TOKENS", 50)
+    texts = [random.Random(i).randbytes(40 * i) for i in range(12)]
+    sizes = []
+    kept = container.pa.RecordBatch.from_arrays
+
+    class Counted:
+        @staticmethod
+        def from_arrays(*a, **k):
+            out = kept(*a, **k)
+            sizes.append(out.num_rows)
+            return out
+
+    rows = container.token_reader()
+    monkeypatch.setattr(container.pa, "RecordBatch", Counted)
+    packed = [container.compress(t, CodecConfig(chunk_size=100)) for t in texts] + [None]
+    out = list(rows([kept([container.pa.array(range(13)), container.pa.array(packed, container.pa.binary())], names=["id", "container"])]))
+    assert len(out) == len(sizes) > 20 and max(sizes) < 50 + 100
+    flat = [r for b in out for r in b.to_pylist()]
+    for i, t in enumerate(texts):
+        own = [r for r in flat if r["id"] == i]
+        assert lz77.expand(iter([(r["flag"], r["byte_val"], r["offset"], r["length"]) for r in own])) == t
+        assert [(r["chunk_idx"], r["pos"]) for r in own] == sorted((r["chunk_idx"], r["pos"]) for r in own)
+    for bad in (b"\0", b"\1ab", b"\2"):
+        with pytest.raises(ValueError):
+            lz77.token_arrays(bad)

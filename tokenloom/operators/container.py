@@ -186,22 +186,50 @@ def parse_column(container: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct(kinds)))
 
 
-TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("flag", "byte_val", "offset", "length")]))
+#: So many tokens at least are sent on in one batch; a chunk is never cut.
+BATCH_TOKENS = 1 << 17
 
 
-@F.arrow_udf(TOKEN_TYPE)
-def token_column(chunk: pa.Array) -> pa.Array:
-    """The literals (flag 0) and references (flag 1) of each compressed chunk (a struct of padding, lengths, data), in order, read from its stream."""
-    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("flag", "byte_val", "offset", "length")]))
-    rows = [None if c is None else lz77.token_arrays(chunk_stream(Chunk(0, c["padding"], c["lengths"], c["data"]))) for c in chunk.to_pylist()]
-    return pa.array(rows, kind)
+TOKEN_NAMES = ("chunk_idx", "pos", "flag", "byte_val", "offset", "length")
+
+
+def token_reader():
+    """Batches of (id, container) to batches of tokens, each of bounded size."""
+
+    def batch(ids: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(x[2]) for x in held]
+        own = ids.take(pa.array(np.repeat([x[0] for x in held], sizes)))
+        chunk = np.repeat(np.array([x[1] for x in held], np.int32), sizes)
+        pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        rest = [np.concatenate([x[k] for x in held]).astype(np.int32) for k in range(2, 6)]
+        return pa.RecordBatch.from_arrays([own, *map(pa.array, (chunk, pos, *rest))], names=["id", *TOKEN_NAMES])
+
+    def read(batches):
+        for b in batches:
+            held, size = [], 0
+            for row, packed in enumerate(b.column(1)):
+                if not packed.is_valid:
+                    continue
+                for i, c in enumerate(parse(packed.as_py())[2]):
+                    tokens = lz77.token_arrays(chunk_stream(c))
+                    held.append((row, i, *tokens))
+                    size += len(tokens[0])
+                    if size >= BATCH_TOKENS:
+                        yield batch(b.column(0), held)
+                        held, size = [], 0
+            if held:
+                yield batch(b.column(0), held)
+
+    return read
 
 
 def token_rows(containers: DataFrame) -> DataFrame:
-    """(id, chunk_idx, pos, flag, byte_val, offset, length): the tokens of containers (id, container) as rows."""
-    chunks = containers.select("id", F.explode(parse_column("container")).alias("c"))
-    part = F.struct("c.padding", "c.lengths", "c.data")
-    return chunks.select("id", "c.chunk_idx", F.posexplode(token_column(part)).alias("pos", "t")).select("id", "chunk_idx", "pos", "t.*")
+    """(id, chunk_idx, pos, flag, byte_val, offset, length): the literals (flag 0) and references (flag 1) of containers (id, container) as rows, in order, read from their streams.
+
+    Rows leave in batches of bounded size, so a task holds the tokens of one batch and one chunk only.
+    """
+    rows = containers.select("id", "container")
+    return rows.mapInArrow(token_reader(), T.StructType([rows.schema["id"], *[T.StructField(n, T.IntegerType()) for n in TOKEN_NAMES]]))
 
 
 def token_text(flag: Column, byte: Column, offset: Column, length: Column) -> Column:
