@@ -46,6 +46,16 @@ def test_places_where_texts_and_numbers_differ_in_size(spark, tmp_path):
             spark.conf.set(key, value)
 
 
+def test_lines_of_files_without_texts_and_with_any_numbers(spark, tmp_path):
+    """No text at all is an empty corpus, no error; numbers of any sign and length keep their order."""
+    d = written(spark, tmp_path / "none", "documents", [(1, None), (2, None)], "doc_id long, text string")
+    assert entry.queries()["text_corpus_files"](spark, d).collect() == []
+    ids = [-(2**63), -12, -3, 0, 7, 10**12 - 1, 9 * 10**12, 10**13, 2**63 - 1]
+    d = written(spark, tmp_path / "some", "documents", [(i, f"{i}\n\nend {i}") for i in reversed(ids)], "doc_id long, text string")
+    got = sorted((r.place, r.text) for r in entry.queries()["text_corpus_files"](spark, d).collect())
+    assert got == list(enumerate((x for i in ids for x in (f"{i}", f"end {i}")), 1))
+
+
 def test_files_in_between_are_removed(spark, tmp_path):
     d = written(spark, tmp_path, "documents", [(i, "text " * i) for i in range(9)] + [(9, None)], "doc_id long, text string")
     folder = spark.conf.get("spark.checkpoint.dir")

@@ -558,7 +558,9 @@ def csv_corpus_files(spark: SparkSession, d: str) -> DataFrame:
 def text_corpus_files(spark: SparkSession, d: str) -> DataFrame:
     """The lines of text files in file order: one file is written for each document, then all are scanned."""
     folder = corpora.scratch(spark)
-    named = _docs(spark, d).where("text is not null").select(F.format_string("%012d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    # Names of one length, so that they sort as the numbers do, the negative ones too.
+    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    named = _docs(spark, d).where("text is not null").select(F.concat(number, F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
     corpora.write_files(named, folder)
     return corpora.placed_texts(spark, folder)
 

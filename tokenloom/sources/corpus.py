@@ -342,6 +342,8 @@ def remove(folder: str) -> None:
 def write_files(df: DataFrame, folder: str) -> None:
     """Write each (name, content) to a file of its own in a folder all executors reach, on any file system Arrow knows by its URI."""
     where = folder if "://" in folder else Path(folder).resolve().as_uri()
+    made, top = _rooted(folder)
+    made.create_dir(top, recursive=True)  # no rows leave an empty folder, which can be scanned
 
     def put(rows) -> None:
         files, root = fs.FileSystem.from_uri(where)
