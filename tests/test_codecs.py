@@ -252,3 +252,17 @@ def test_token_rows_leave_in_bounded_batches(spark, monkeypatch):
     for bad in (b"\0", b"\1ab", b"\2"):
         with pytest.raises(ValueError):
             lz77.token_arrays(bad)
+
+
+def test_chunks_are_compressed_in_bounded_slices(spark, monkeypatch):
+    """However large a batch is, Python holds a slice of it; null and empty chunks keep their places."""
+    monkeypatch.setattr(container, "SLICE_BYTES", 1000)
+    seen = []
+    kept = container.compress_chunks
+    monkeypatch.setattr(container, "compress_chunks", lambda chunks, cfg: seen.append(chunks) or kept(chunks, cfg))
+    texts = [None if i % 7 == 3 else random.Random(i).randbytes(i * 13 % 1500) for i in range(90)]
+    out = container.chunk_encoder().func(container.pa.array(texts, container.pa.binary())).to_pylist()
+    assert max(len(c) == 1 or sum(map(len, c)) for c in seen) <= 1000 and len(seen) > 20 and sum(seen, []) == [t for t in texts if t is not None]
+    for t, z in zip(texts, out, strict=True):
+        assert z is None if t is None else container.decompress_chunk(container.Chunk(**z)) == t
+    assert container.chunk_encoder().func(container.pa.array([], container.pa.binary())).to_pylist() == []

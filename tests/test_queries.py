@@ -56,6 +56,20 @@ def test_lines_of_files_without_texts_and_with_any_numbers(spark, tmp_path):
     assert got == list(enumerate((x for i in ids for x in (f"{i}", f"end {i}")), 1))
 
 
+def test_laws_of_compression_hold_nothing_in_memory(spark, tmp_path):
+    """Chunks are compressed once and read from files, which are removed; containers are put together once."""
+    texts = [(1, "the same words again " * 300), (2, ""), (3, None), (4, "a"), (5, "".join(map(chr, range(32, 1200))) * 900)]
+    d = written(spark, tmp_path, "documents", texts, "doc_id long, text string")
+    before, kept = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("files-*/*")), spark._jsc.getPersistentRDDs().size()
+    laws = entry.queries()["compression_laws"](spark, d)
+    assert "InMemoryTableScan" not in laws._jdf.queryExecution().toString()
+    got = {r.id: tuple(r)[1:] for r in laws.collect()}
+    sizes = {i: len(t.encode()) for i, t in texts if t is not None}
+    assert got == {i: (n, max(1, -(-n // (512 * 1024))), n, True, True, n > 2000) for i, n in sizes.items()} and sizes[5] > 3 * 512 * 1024
+    assert spark._jsc.getPersistentRDDs().size() == kept
+    assert {p.name for p in set(Path(spark.conf.get("spark.checkpoint.dir")).glob("files-*/*")) - before} == {"laws"}
+
+
 def test_files_in_between_are_removed(spark, tmp_path):
     d = written(spark, tmp_path, "documents", [(i, "text " * i) for i in range(9)] + [(9, None)], "doc_id long, text string")
     folder = spark.conf.get("spark.checkpoint.dir")

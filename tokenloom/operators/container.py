@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,13 +127,30 @@ def join(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("id").agg(ordered.alias("c")).select("id", F.aggregate("c", F.lit(b""), lambda acc, x: F.concat(acc, x["chunk"])).alias("content"))
 
 
+#: Chunks of a batch are compressed in slices of so many bytes, so what Python holds does not grow with the batch.
+SLICE_BYTES = 1 << 20
+
+
+def slices(values: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive parts of a binary column that hold about SLICE_BYTES each, at least one value."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield values.slice(at, end - at)
+        at = end
+
+
 def chunk_encoder(cfg: CodecConfig = CodecConfig()):
+    kinds = pa.struct([("orig_size", pa.int64()), ("padding", pa.int32()), ("lengths", pa.binary()), ("data", pa.binary()), ("literals", pa.int64()), ("refs", pa.int64())])
+
+    def encode(part: pa.Array) -> pa.Array:
+        done = iter(compress_chunks(part.drop_null().to_pylist(), cfg))
+        return pa.array([next(done)._asdict() if there else None for there in part.is_valid().to_pylist()], kinds)
+
     @F.arrow_udf(CHUNK_TYPE)
     def run(chunk: pa.Array) -> pa.Array:
-        done = iter(compress_chunks([c for c in chunk.to_pylist() if c is not None], cfg))
-        rows = [next(done)._asdict() if there else None for there in chunk.is_valid().to_pylist()]
-        kinds = [("orig_size", pa.int64()), ("padding", pa.int32()), ("lengths", pa.binary()), ("data", pa.binary()), ("literals", pa.int64()), ("refs", pa.int64())]
-        return pa.array(rows, pa.struct(kinds))
+        return pa.concat_arrays([encode(part) for part in slices(chunk)] or [pa.array([], kinds)])
 
     return run
 

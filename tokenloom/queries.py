@@ -472,15 +472,20 @@ def compression_stats(spark: SparkSession, d: str) -> DataFrame:
     octet_length(encode(text)) as covered, true as size_of_container, true as shares_agree, octet_length(encode(text)) > 2000 as must_shrink from documents where text is not null""".replace("octet_length(encode(text)) as covered", "cast(octet_length(encode(text)) as bigint) as covered"))
 def compression_laws(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of the statistics: sizes are those of the containers, tokens cover all bytes, shares follow from sizes, and long texts shrink."""
-    chunks = container.compressed_chunks(_bytes(spark, d)).persist()
+    folder = corpora.scratch(spark)
+    container.compressed_chunks(_bytes(spark, d)).write.parquet(f"{folder}/chunks")  # compressed once, and not kept in memory
+    chunks = spark.read.parquet(f"{folder}/chunks").where("id is not null")  # the same rows for the join and the tokens, so containers are put together once
     packed = container.containers(chunks)
     tokens = container.token_rows(packed).groupBy("id").agg(F.sum(F.when(F.col("flag") == 0, 1).otherwise(F.col("length"))).cast("long").alias("covered"), F.count_if(F.col("flag") == 0).alias("lits"), F.count_if(F.col("flag") == 1).alias("refs"))
-    both = container.statistics(chunks).join(packed, "id").join(tokens, "id", "left")
+    both = container.statistics(chunks).join(packed.select("id", F.octet_length("container").alias("held")), "id").join(tokens, "id", "left")
     counted = (F.coalesce("lits", F.lit(0)) == F.col("lz77_literals")) & (F.coalesce("refs", F.lit(0)) == F.col("lz77_refs"))
     share = F.col("compressed_bytes") / F.nullif("original_bytes", F.lit(0))
     agree = F.coalesce((F.abs(F.col("ratio") - share) < 1e-9) & (F.abs(F.col("saving_pct") - (1 - share) * 100) < 1e-6), F.col("ratio").isNull()) & counted
     must = (F.col("original_bytes") > 2000) & (F.col("ratio") < 1)
-    return both.select("id", "original_bytes", "num_chunks", F.coalesce("covered", F.lit(0).cast("long")).alias("covered"), (F.octet_length("container") == F.col("compressed_bytes")).alias("size_of_container"), agree.alias("shares_agree"), must.alias("must_shrink"))
+    laws = both.select("id", "original_bytes", "num_chunks", F.coalesce("covered", F.lit(0).cast("long")).alias("covered"), (F.col("held") == F.col("compressed_bytes")).alias("size_of_container"), agree.alias("shares_agree"), must.alias("must_shrink"))
+    laws.write.parquet(f"{folder}/laws")
+    corpora.remove(f"{folder}/chunks")
+    return spark.read.parquet(f"{folder}/laws")
 
 
 @_query("select doc_id as id, cast(octet_length(encode(text)) as bigint) as n_bytes from documents where text is not null and text <> ''")
